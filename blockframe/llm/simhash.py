@@ -6,8 +6,8 @@ each, so every fingerprint stands for all its variants and fingerprints that sha
 one are linked. Variants are dealt out by their first `prefix` bits: a fingerprint is
 sent once to each prefix that one of its variants has (1 + p + p(p-1)/2 of them for
 radius 4), and the receiving task makes those of its variants that start so. What is
-shuffled is thus fingerprints, some tens for each, instead of 2,081 variants; the
-variants exist only inside a task, in slices of bounded size.
+shuffled is thus fingerprints, packed by prefix and some tens for each, instead of 2,081
+variants; the variants exist only inside a task, in slices of bounded size.
 
 All holders of a variant lie within the radius of each other, so the sorted holders
 are linked in a chain: no pairs within a group are emitted, and every link is verified
@@ -160,17 +160,22 @@ def links(fps: DataFrame, radius: int = RADIUS, per_task: int = PER_TASK) -> Dat
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = masks(bits, half)
         for b in batches:
-            for i in range(0, b.num_rows, 4096):
-                fp = b.column("fp").slice(i, 4096).to_numpy().view(np.uint64)
-                top = fp >> np.uint64(64 - bits) if bits else np.zeros_like(fp)
-                to = (top[:, None] ^ flips[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), pa.array(np.repeat(fp, len(flips)).view(np.int64))], ["prefix", "fp"])
+            fp = b.column("fp").to_numpy().view(np.uint64)
+            top = fp >> np.uint64(64 - bits) if bits else np.zeros_like(fp)
+            to = (top[:, None] ^ flips[None, :]).ravel()
+            order = np.argsort(to)
+            to, sent = to[order], np.repeat(fp, len(flips))[order]
+            # a row for each prefix that a batch sends to, with all that it sends there
+            cut = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to))
+            data = [sent[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]].view(np.int64)), pa.array(data, pa.binary())], ["prefix", "fps"])
 
     def meet(key, group):
-        a, b = bucket_links(key[0].as_py(), bits, group.column("fp").to_numpy().view(np.uint64), radius)
+        got = np.frombuffer(b"".join(group.column("fps").to_pylist()), np.uint64)
+        a, b = bucket_links(key[0].as_py(), bits, got, radius)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    return fps.mapInArrow(deal, "prefix long, fp long").groupBy("prefix").applyInArrow(meet, "a long, b long")
+    return fps.mapInArrow(deal, "prefix long, fps binary").groupBy("prefix").applyInArrow(meet, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
