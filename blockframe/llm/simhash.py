@@ -231,3 +231,150 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, seed: int
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- similarity classes --------------------------------------------------------------
+#
+# A radius of 4 bits in 64 links texts whose shingles are some 0.96 alike. To link from a
+# similarity of 0.8, a text gets several independent short keys, each hashed by balls: a pair
+# meets if one of its keys differs by at most two bits, and is verified by a longer fingerprint.
+
+WORDS, KEY_BITS, VERIFY = 10, 32, 2
+#: keys that a task of the key join gets on average
+KEYS_PER_TASK = 1 << 16
+
+
+def signature_words(texts: pa.Array, n: int, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """`words` independent 64-bit fingerprints of each text, from one hash of each shingle."""
+    w = Words(texts)
+    lengths = np.diff(w.offsets)
+    begin = np.concatenate([[0], np.cumsum(lengths + 1)])
+    joined = np.full(int(begin[-1]), 32, np.uint8)
+    joined[np.arange(len(w.packed)) + np.repeat(np.arange(w.n), lengths)] = LOWER[w.packed]
+    body, digest = joined.tobytes(), xxhash.xxh64_intdigest
+    starts, ends = begin[:-1], begin[:-1] + lengths
+    out = np.zeros((len(texts), words), np.uint64)
+    for d in range(len(texts)):
+        i, j = int(w.first[d]), int(w.first[d + 1])
+        if i == j:
+            continue
+        size = min(n, j - i)
+        lo, hi = starts[i : j - size + 1].tolist(), ends[i + size - 1 : j].tolist()
+        total, seen = np.zeros(64 * words, np.int64), 0
+        for a in range(0, len(lo), 8192):
+            h = np.array([digest(body[s:e], seed) for s, e in zip(lo[a : a + 8192], hi[a : a + 8192])], np.uint64)
+            many = h[:, None] * (2 * np.arange(words, dtype=np.uint64) + np.uint64(1))[None, :]
+            many = (many ^ (many >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53)
+            many ^= many >> np.uint64(33)
+            total += np.unpackbits(many.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+            seen += len(h)
+        out[d] = np.packbits(2 * total > seen).view(np.uint64)
+    return out
+
+
+def distance_at(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of texts with a Jaccard similarity differ on average."""
+    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits + 0.5)
+
+
+def linked(words: np.ndarray, groups: list[np.ndarray], most: int, label: np.ndarray) -> np.ndarray:
+    """Components (smallest member of each) after linking all pairs within a group whose verified distance is at most `most`.
+
+    Pairs that are in one component already are not looked at, so that a large group of copies costs its size, not its square."""
+    for g in groups:
+        for i in range(len(g) - 1):
+            rest = g[i + 1 :]
+            rest = rest[label[rest] != label[g[i]]]
+            if len(rest):
+                near = rest[np.bitwise_count(words[rest] ^ words[g[i]]).sum(axis=1) <= most]
+                if len(near):
+                    old = np.unique(np.append(label[near], label[g[i]]))
+                    label[np.isin(label, old)] = old[0]
+    return label
+
+
+def key_links(prefix: int, bits: int, keys: np.ndarray, words: np.ndarray, most: int) -> np.ndarray:
+    """Components of holders of variants (within one bit of each key) that start with a prefix; verified by words."""
+    low = KEY_BITS - bits
+    away = np.bitwise_count((keys >> np.uint64(low)) ^ np.uint64(prefix))
+    base = keys & np.uint64((1 << low) - 1)
+    own, near = np.flatnonzero(away == 0), np.flatnonzero(away == 1)
+    m = masks(low, 1)
+    v = np.concatenate([(base[own, None] ^ m[None, :]).ravel(), base[near]])
+    o = np.concatenate([np.repeat(own, len(m)), near])
+    order = np.argsort(v)
+    v, o = v[order], o[order]
+    a, b = o[:-1][v[1:] == v[:-1]], o[1:][v[1:] == v[:-1]]
+    good = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= most
+    # neighbours first, all at once; then the groups in which they left more than one component
+    label = forest(len(keys), a[good], b[good])
+    cut = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1, [len(v)]])
+    size = np.diff(cut)
+    mixed = np.zeros(len(v), bool)
+    mixed[1:] = (v[1:] == v[:-1]) & (label[o[1:]] != label[o[:-1]])
+    some = np.flatnonzero((size > 2) & (np.add.reduceat(mixed, cut[:-1]) > 0)) if len(v) else []
+    return linked(words, [np.unique(o[cut[i] : cut[i + 1]]) for i in some], most, label)
+
+
+def similar_links(nodes: DataFrame, similarity: float, per_task: int = KEYS_PER_TASK) -> DataFrame:
+    """Links (a, b) among nodes (node, keys: all fingerprint words packed) at least so similar."""
+    count = nodes.count()
+    bits = 0
+    while bits < 24 and count * (1 + bits) >> bits > per_task:
+        bits += 1
+    most = distance_at(similarity, 64 * VERIFY)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = masks(bits, 1)
+        for b in batches:
+            node = b.column("node").to_numpy()
+            words = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.uint64).reshape(len(node), -1)
+            keys = np.concatenate([words >> np.uint64(32), words & np.uint64(0xFFFFFFFF)], axis=1)
+            to_rows, data_rows = [], []
+            for t in range(keys.shape[1]):
+                to = ((keys[:, t] >> np.uint64(KEY_BITS - bits))[:, None] ^ flips[None, :]).ravel()
+                order = np.argsort(to, kind="stable")
+                to, of = to[order], order // len(flips)
+                # the words that verify are not those that make the key
+                other = [(t + 1 + k) % words.shape[1] for k in range(VERIFY)]
+                sent = np.column_stack([node[of].view(np.uint64), keys[of, t], words[of][:, sorted(other)]])
+                cut = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to))
+                to_rows += [(t << bits) | int(x) for x in to[cut[:-1]]]
+                data_rows += [sent[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(to_rows, pa.int64()), pa.array(data_rows, pa.binary())], ["bucket", "data"])
+
+    def meet(key, group):
+        got = np.frombuffer(b"".join(group.column("data").to_pylist()), np.uint64).reshape(-1, 2 + VERIFY)
+        label = key_links(key[0].as_py() & ((1 << bits) - 1), bits, got[:, 1], got[:, 2:], most)
+        child = np.flatnonzero(label != np.arange(len(label)))
+        node = np.ascontiguousarray(got[:, 0]).view(np.int64)
+        return pa.table({"a": pa.array(node[child]), "b": pa.array(node[label[child]])})
+
+    return nodes.mapInArrow(deal, "bucket long, data binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+
+
+def similar_classes(docs: DataFrame, similarity: float = 0.8, n: int = 5, words: int = WORDS, seed: int = SEED) -> DataFrame:
+    """doc_id, component_id of every row with an id: classes of texts whose n-word shingles are at least so similar, directly or by way of others.
+
+    A pair of similarity 0.8 meets in some key with a probability of about 0.9, one of 0.9 with nearly 1."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            got = signature_words(b.column("text"), n, words, seed)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["doc_id", "keys"])
+
+    marked = written(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, keys binary"))
+    # texts with the same words of fingerprint are one node, named by its smallest document
+    reps = written(marked.groupBy("keys").agg(F.min("doc_id").alias("node")))
+    label = components(similar_links(reps, similarity))
+    of = reps.join(label, "node", "left").select("keys", F.coalesce("label", "node").alias("component_id"))
+    return marked.join(of, "keys").select("doc_id", "component_id")
+
+
+def keep_similar(docs: DataFrame, similarity: float = 0.8, n: int = 5) -> DataFrame:
+    """Of each class of similar texts the document with the smallest id, with all its columns.
+
+    A row repeated with id and text is kept once. Rows without an id cannot be named and all stay."""
+    keep = similar_classes(docs, similarity, n).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))

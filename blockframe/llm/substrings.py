@@ -281,13 +281,13 @@ def cut_texts(docs: DataFrame, n: int = N_WORDS, **sizes: int) -> DataFrame:
     """docs with duplicate words cut from text, each with the white space after it; n_chars, if there, counts anew. Texts of which nothing is left are dropped."""
     ship(docs.sparkSession)
     names = docs.columns
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_key", F.xxhash64("_id", "text"))
-    found = coverage(_keyed(docs), n, **sizes).select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), F.col("starts").alias("_starts"))
+    keyed = docs.withColumn("__row_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__row_key", F.xxhash64("__row_id", "text"))
+    found = coverage(_keyed(docs), n, **sizes).select(F.col("key").alias("__row_key"), F.col("doc_id").alias("__row_id"), F.col("starts").alias("__row_starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             w = Words(b.column("text"))
-            starts = b.column("_starts").to_pylist()
+            starts = b.column("__row_starts").to_pylist()
             gone = covered_words(w, starts, n)
             text = b.column("text").to_pylist()
             for d in [d for d, s in enumerate(starts) if s]:
@@ -306,7 +306,7 @@ def cut_texts(docs: DataFrame, n: int = N_WORDS, **sizes: int) -> DataFrame:
             empty = (np.diff(total[w.first]) == np.diff(w.first)) & (np.diff(w.first) > 0)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names).filter(pa.array(~empty))
 
-    return keyed.join(found, ["_key", "_id"], "left").select(*names, "_starts").mapInArrow(cut, docs.schema)
+    return keyed.join(found, ["__row_key", "__row_id"], "left").select(*names, "__row_starts").mapInArrow(cut, docs.schema)
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
