@@ -25,11 +25,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Python workers hold little: freed memory goes back to the system, and one thread computes
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "TOKENIZERS_PARALLELISM": "false"}
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package when it lies beside them and is not installed."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +57,7 @@ def scratch(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Cuts lineage: df as a Parquet table in the shared folder, so a lost executor costs no recomputation."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -139,7 +145,7 @@ class Memo:
     At most `bound` words are remembered; beyond it the memory starts anew, which
     costs time and changes no result."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], bound: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], bound: int = 250_000):
         self.encode, self.bound = encode, bound
         self.clear()
 
@@ -165,7 +171,7 @@ class Memo:
         return at.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that each holds about `most` bytes of a column, or one row."""
     for batch in batches:
         if not batch.num_rows:
@@ -178,6 +184,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             i = j
 
 
+def packed(b: pa.RecordBatch) -> bytes:
+    """A batch as one compressed value, for moving many small rows as one."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+        f.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data) as f:
+        return f.read_next_batch()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done with: it does so when their objects are collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def vocabulary_path(name: str, folder: str | None = None) -> str:
     """A public vocabulary file, in `folder` or where the installed vocabulary package has it."""
     if folder:

@@ -8,9 +8,9 @@ what is held back for words never seen (as much as words seen once have). Known
 one unseen word for each tail class thus sum to one.
 
 Training is truncated backpropagation: streams of whole documents are read in windows, the
-state carried from window to window and cleared where a document begins. A first task
-warms the network up; then every block trains from there on its own documents, and the
-weights are averaged. Gradients are taken on `share` of the training documents, drawn by a
+state carried from window to window and cleared where a document begins. The blocks of a
+first task warm the network up; then every task trains from there on its own blocks, and
+the weights are averaged. Gradients are taken on `share` of the training documents, drawn by a
 hash, so the work grows with the input; counts, classes and shares come from all of them.
 Scoring reads every document whole, many abreast, each carrying its state to its end.
 
@@ -24,7 +24,7 @@ stays as it begins. Repeated rows get equal scores.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, crc_mod, scratch, ship, slices, table, text_bytes
+from .common import Words, crc_mod, packed, scratch, ship, slices, table, text_bytes, unpacked
 from .substrings import mix, word_hashes
 
 HEAD, PER_CLASS, TAIL, HIDDEN = 2000, 50, 88, 32
 STREAMS, STEPS, RATE, SHARE = 256, 16, 0.01, 0.25
-BUCKET_BYTES, BLOCK_BYTES = 16 << 20, 16 << 20
+BUCKET_BYTES, BLOCK_BYTES = 16 << 20, 6 << 20
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: the end token's key, which no word has
 END = np.uint64(0)
@@ -315,18 +315,6 @@ def score_documents(net: Network, ids: np.ndarray, first: np.ndarray, end: int)
 # --- Spark ---------------------------------------------------------------------------
 
 
-def _blob(b: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
-        f.write_batch(b)
-    return sink.getvalue().to_pybytes()
-
-
-def _opened(data: bytes) -> pa.RecordBatch:
-    with pa.ipc.open_stream(data) as f:
-        return f.read_next_batch()
-
-
 def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """kind 0: a block's documents; kind 1: for a bucket, the keys in a block and their training counts."""
 
@@ -344,7 +332,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
             some = np.flatnonzero(np.diff(cut))
             data = [np.stack([keys[o].view(np.int64), count[o]]).tobytes() for o in (order[cut[i] : cut[i + 1]] for i in some.tolist())]
             block = np.full(len(some) + 1, part + nth)
-            yield pa.RecordBatch.from_arrays([pa.array([0] + [1] * len(some), pa.int32()), pa.array(block), pa.array([-1, *some.tolist()], pa.int64()), pa.array([_blob(b), *data], pa.binary())], ["kind", "block", "bucket", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] + [1] * len(some), pa.int32()), pa.array(block), pa.array([-1, *some.tolist()], pa.int64()), pa.array([packed(b), *data], pa.binary())], ["kind", "block", "bucket", "data"])
 
     return docs.mapInArrow(run, "kind int, block long, bucket long, data binary")
 
@@ -385,31 +373,30 @@ def _replies(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(blobs: DataFrame, vocabulary: Vocabulary, share: float = SHARE, chunks: int = 16) -> Network:
-    """The network's weights: a warm start from one block, then the average of what all blocks learn from there."""
+    """The network's weights: a warm start from some blocks, then the average of what all tasks learn from there."""
     net = Network.new(vocabulary)
     spark = blobs.sparkSession
     end = int(vocabulary.ids(np.array([END], np.uint64))[0])
 
-    def taught(start: Network) -> DataFrame:
+    def taught(start: Network, rate: float) -> Callable:
         shared = spark.sparkContext.broadcast((vocabulary, start))  # of one size at any input
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, weight = None, 0.0
+            v, net = shared.value
+            weight = 0.0
             for b in batches:
                 for blob in b.column("data"):
-                    v, net = shared.value
-                    docs = _opened(blob.as_py())
+                    docs = unpacked(blob.as_py())
                     w = Words(docs.column("text"), lower=True)
                     ids = v.ids(word_keys(w))
                     learned = ~docs.column("held_out").to_numpy(zero_copy_only=False)
                     drawn = np.flatnonzero(learned & (docs.column("draw").to_numpy() < share))
                     stream = np.concatenate([x for d in drawn.tolist() for x in ([end], ids[w.first[d] : w.first[d + 1]])] + [[end]]).astype(np.int64)
                     if len(stream) > 1:
-                        # tasks end up as one sum each, however many blocks they have
-                        got = train(net, stream, end)[0].flat() * np.float64(len(stream))
-                        total, weight = got if total is None else total + got, weight + len(stream)
-            if total is not None:
-                parts = np.array_split(total, chunks)
+                        # a task goes on from block to block, and ends up as one sum
+                        net, weight = train(net, stream, end, rate=rate)[0], weight + len(stream)
+            if weight:
+                parts = np.array_split(net.flat() * np.float64(weight), chunks)
                 yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([weight] * chunks)], ["chunk", "data", "weight"])
 
         return run
@@ -420,8 +407,8 @@ def learn(blobs: DataFrame, vocabulary: Vocabulary, share: float = SHARE, chunks
 
     schema = "chunk int, data binary, weight double"
 
-    def averaged(df: DataFrame, start: Network) -> Network:
-        sent = df.mapInArrow(taught(start), schema)
+    def averaged(df: DataFrame, start: Network, rate: float) -> Network:
+        sent = df.mapInArrow(taught(start, rate), schema)
         # sums of some tasks, then of all: no task adds up more than a bounded number at once
         some = sent.withColumn("part", F.pmod(F.hash("data"), F.lit(16))).groupBy("chunk", "part").applyInArrow(add, schema)
         rows = sorted((r.chunk, r.weight, bytes(r.data)) for r in some.groupBy("chunk").applyInArrow(add, schema).collect())
@@ -430,8 +417,9 @@ def learn(blobs: DataFrame, vocabulary: Vocabulary, share: float = SHARE, chunks
     first = blobs.agg(F.min("block")).first()[0]
     if first is None:
         return net
-    net = averaged(blobs.where(F.col("block") == first), net)
-    return averaged(blobs, net)
+    part = 1 << 24
+    net = averaged(blobs.where(F.col("block") < (first // part + 1) * part).coalesce(1), net, RATE)
+    return averaged(blobs, net, RATE / 2)
 
 
 def score(docs: DataFrame, share: float = SHARE, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -456,7 +444,7 @@ def score(docs: DataFrame, share: float = SHARE, bucket_bytes: int = BUCKET_BYTE
         for b in batches:
             for blob, replies in zip(b.column("data"), b.column("replies")):
                 known, total = _replies(replies.as_py())
-                docs = _opened(blob.as_py())
+                docs = unpacked(blob.as_py())
                 w = Words(docs.column("text"), lower=True)
                 keys = word_keys(w)
                 count = total[np.searchsorted(known, keys)]
