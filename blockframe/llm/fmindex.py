@@ -10,6 +10,9 @@ from __future__ import annotations
 import numpy as np
 
 
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
 class Bits:
     """A bit vector with rank: 64-bit words and the number of ones before each."""
 
@@ -25,8 +28,9 @@ class Bits:
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before each position."""
         at = i >> 6
-        below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[at] + np.bitwise_count(self.words[at] & below)
+        word = self.words[at]
+        word &= ~(_ALL << (i & 63).astype(np.uint64))
+        return self.before[at] + np.bitwise_count(word)
 
 
 class WaveletMatrix:
@@ -43,10 +47,11 @@ class WaveletMatrix:
         self.base = self._descend(every, np.zeros(size, np.int64))
 
     def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        i = i.astype(np.int32)
         for level, bits in zip(range(self.levels - 1, -1, -1), self.bits):
             ones = bits.rank(i)
-            i = np.where(symbol >> level & 1, bits.zeros + ones, i - ones)
-        return i
+            i = np.where(symbol >> level & 1, ones + np.int32(bits.zeros), i - ones)
+        return i.astype(np.int64)
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each position."""
@@ -86,13 +91,17 @@ class FMIndex:
     def matching(self, stream: np.ndarray, ends: np.ndarray, most: int, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics at some ends of a stream: length of the longest match that ends there (at most `most`), and its interval.
 
-        Symbols out of the index are negative. With own the stream is the indexed text itself: a match is given up when
-        its interval is one place, which is the stream's own, and counts as no longer than that."""
+        Symbols out of the index are negative. With own the stream is the indexed text itself, and only matches elsewhere in it
+        are wanted: one is given up when its interval is a single place, and counts as no longer than that."""
         if most >= self.depth:
             raise ValueError("the index is not that deep")
         length = np.zeros(len(ends), np.int64)
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
         at = np.arange(len(ends))
+        if own and len(ends):
+            # a word that the text has once makes its windows its own: they need no search
+            single = np.concatenate([[0], np.cumsum(np.diff(self.first)[stream] == 1)])
+            at = at[single[ends] == single[ends - most]]
         for k in range(most):
             place = ends[at] - 1 - k
             symbol = np.where(place >= 0, stream[np.maximum(place, 0)], 0)
@@ -100,7 +109,8 @@ class FMIndex:
             at, symbol = at[fits], symbol[fits]
             if not len(at):
                 break
-            lo, hi = self.step(symbol, low[at], high[at])
+            # the first step's interval is all places of its symbol
+            lo, hi = self.step(symbol, low[at], high[at]) if k else (self.first[symbol], self.first[symbol + 1])
             more = hi > lo
             at, lo, hi = at[more], lo[more], hi[more]
             low[at], high[at] = lo, hi

@@ -181,7 +181,7 @@ def fillings(left: np.ndarray, room: int, most: int, width: int) -> list[tuple[i
     return sorted(distinct, key=lambda f: (distinct[f], len(f), [-x for x in f]))[:width]
 
 
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 4000, width: int = 6, most: int = 6) -> list[tuple[tuple[int, ...], int]]:
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 1000, width: int = 6, most: int = 6) -> list[tuple[tuple[int, ...], int]]:
     """Runs of fillings that hold counts[n] pieces of each length n in as few sequences as found.
 
     Depth-first search: at each node the largest length left opens a sequence, whose
@@ -244,7 +244,7 @@ class Plan:
         return row[:, 2] + nth // row[:, 3], row[:, 4] + nth % row[:, 3] * length
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = None, nodes: int = 4000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = None, nodes: int = 1000) -> DataFrame:
     """Every piece with its sequence and its place there.
 
     Two shuffles, both of counts per (block, length); the pieces, without their ids, are

@@ -372,7 +372,7 @@ def _replies(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.uint64)[order], count[order]
 
 
-def learn(blobs: DataFrame, vocabulary: Vocabulary, share: float = SHARE, chunks: int = 16) -> Network:
+def learn(blobs: DataFrame, vocabulary: Vocabulary, share: float = SHARE, chunks: int = 16, fan: int = 32) -> Network:
     """The network's weights: a warm start from some blocks, then the average of what all tasks learn from there."""
     net = Network.new(vocabulary)
     spark = blobs.sparkSession
@@ -397,21 +397,25 @@ def learn(blobs: DataFrame, vocabulary: Vocabulary, share: float = SHARE, chunks
                         net, weight = train(net, stream, end, rate=rate)[0], weight + len(stream)
             if weight:
                 parts = np.array_split(net.flat() * np.float64(weight), chunks)
-                yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([weight] * chunks)], ["chunk", "data", "weight"])
+                task = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([task] * chunks, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([weight] * chunks)], ["chunk", "part", "data", "weight"])
 
         return run
 
     def add(key, group):
         data = sum(np.frombuffer(x.as_py(), np.float64) for x in group.column("data"))
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data.tobytes()], pa.binary()), "weight": pa.array([float(np.sum(group.column("weight").to_numpy()))])})
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([data.tobytes()], pa.binary()), "weight": pa.array([float(np.sum(group.column("weight").to_numpy()))])})
 
-    schema = "chunk int, data binary, weight double"
+    schema = "chunk int, part int, data binary, weight double"
 
     def averaged(df: DataFrame, start: Network, rate: float) -> Network:
-        sent = df.mapInArrow(taught(start, rate), schema)
-        # sums of some tasks, then of all: no task adds up more than a bounded number at once
-        some = sent.withColumn("part", F.pmod(F.hash("data"), F.lit(16))).groupBy("chunk", "part").applyInArrow(add, schema)
-        rows = sorted((r.chunk, r.weight, bytes(r.data)) for r in some.groupBy("chunk").applyInArrow(add, schema).collect())
+        sums, left = df.mapInArrow(taught(start, rate), schema), df.rdd.getNumPartitions()
+        while True:  # a tree: no task adds up more than `fan` parts, however many tasks have learned
+            sums = sums.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("chunk", "part").applyInArrow(add, schema)
+            left = -(-left // fan)
+            if left <= 1:
+                break
+        rows = sorted((r.chunk, r.weight, bytes(r.data)) for r in sums.collect())
         return start.filled(np.concatenate([np.frombuffer(d, np.float64) / w for _, w, d in rows])) if rows else start
 
     first = blobs.agg(F.min("block")).first()[0]

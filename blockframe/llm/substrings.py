@@ -6,15 +6,14 @@ shard, each window is named by its minimiser, the smallest hash among its word 5
 equal windows have equal minimisers. One pass counts minimisers over all documents (each
 once per document, in arrays packed by hash bucket); only windows whose minimiser occurs in
 two documents can be duplicates. Runs of such windows with one minimiser go to its shard,
-equal runs being merged, with their smallest document id, before they move. A minimiser in
-more than `hot` documents is split further: its windows go one by one to the shard of their
-own content, again merged, so no passage, however common, gathers in one task.
+packed and compressed. A minimiser in more than `hot` documents is split further: its windows
+go one by one to the shard of their own content, equal ones being merged, with their smallest
+document id, before they move, so no passage, however common, gathers in one task.
 
 Each shard indexes its distinct runs and streams them through the index: matching
 statistics by backward search over the wavelet matrix give, at every word, the longest match
 ending there, and where it reaches n words the interval of places, whose smallest document
-id decides. Every occurrence then learns its windows' verdicts by its run's content, and
-every document its covered words.
+id decides for every occurrence; and every document learns its covered words.
 
 Cases: null and empty texts have no words; a null id is larger than any other and equal to
 none; rows that repeat an id do not remove each other's words. Texts are read whole.
@@ -32,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, ship, slices, table, text_bytes, written
+from .common import Words, packed, ragged, release, ship, slices, table, text_bytes, unpacked, written
 from .fmindex import FMIndex
 
 N_WORDS, GRAM, HOT = 13, 5, 500
 #: bytes of text whose minimisers one bucket, or whose runs one shard, gets on average
-BUCKET_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
+BUCKET_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
 LAST = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[int, np.ndarray] = {}
@@ -57,13 +56,20 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _tables[base][:n]
 
 
-def word_hashes(w: Words) -> np.ndarray:
+def word_hashes(w: Words, at_once: int = 1 << 19) -> np.ndarray:
     """64-bit hashes of all words: differences of one running polynomial, each brought back to its word's start."""
-    size = len(w.packed) + 1
-    total = np.zeros(size, np.uint64)
-    np.cumsum((w.packed.astype(np.uint64) + np.uint64(1)) * _powers(int(_ODD), size)[:-1], out=total[1:])
-    back = _powers(pow(int(_ODD), -1, 1 << 64), size)
-    return mix((total[w.offsets[1:]] - total[w.offsets[:-1]]) * back[w.offsets[:-1]] + np.diff(w.offsets).astype(np.uint64))
+    out = np.empty(w.n, np.uint64)
+    inverse = pow(int(_ODD), -1, 1 << 64)
+    i = 0
+    while i < w.n:  # some hundred thousand bytes at a time, or one word
+        j = max(i + 1, int(np.searchsorted(w.offsets, w.offsets[i] + at_once, "right")) - 1)
+        offsets = w.offsets[i : j + 1] - w.offsets[i]
+        size = int(offsets[-1])
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum((w.packed[w.offsets[i] : w.offsets[j]].astype(np.uint64) + np.uint64(1)) * _powers(int(_ODD), size), out=total[1:])
+        out[i:j] = (total[offsets[1:]] - total[offsets[:-1]]) * _powers(inverse, size + 1)[offsets[:-1]] + np.diff(offsets).astype(np.uint64)
+        i = j
+    return mix(out)
 
 
 def minimisers(w: Words, n: int = N_WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -137,11 +143,15 @@ def shared_minimisers(docs: DataFrame, buckets: int, n: int = N_WORDS, hot: int
     return found.groupBy("key").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
 
 
+RUNS = "kind int, shard long, data binary, content binary, high long, low long, doc_id long, key long, at int"
+
+
 def runs(docs: DataFrame, lists: DataFrame, shards: int, n: int = N_WORDS) -> DataFrame:
-    """Runs of candidate windows: shard, content (words joined by a space), its 128-bit hash, and where it occurs."""
+    """Candidate windows. kind 0: for a shard, what a batch of documents sends there: runs (content, words joined by a space) and where they occur.
+    kind 1: a single window of a hot minimiser, with the 128-bit hash of its content."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=8 << 20):
+        for b in slices(batches):
             w = Words(b.column("text"))
             start, low = minimisers(w, n)
             doc = np.searchsorted(w.first, start, "right") - 1
@@ -167,15 +177,31 @@ def runs(docs: DataFrame, lists: DataFrame, shards: int, n: int = N_WORDS) -> Da
             joined[np.arange(len(w.packed)) + np.repeat(np.arange(w.n), lengths)] = w.packed
             body = joined.tobytes()
             content = [body[i:j] for i, j in zip(place[start[begin]].tolist(), (place[start[last] + n] - 1).tolist())]
-            name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c) for c in content), ">u8").reshape(-1, 2).astype(np.uint64)
-            shard = np.where(kind[begin] == 2, name[:, 1], mix(low[begin])) % np.uint64(shards)
             d = doc[begin]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.astype(np.int64)), pa.array(content, pa.binary()), pa.array(name[:, 0].view(np.int64)), pa.array(name[:, 1].view(np.int64)), b.column("doc_id").take(pa.array(d)), b.column("key").take(pa.array(d)), pa.array(start[begin] - w.first[d], pa.int32())],
-                ["shard", "content", "high", "low", "doc_id", "key", "at"],
-            )
+            content, at = pa.array(content, pa.binary()), pa.array((start[begin] - w.first[d]).astype(np.int32))
+            ids, keys, is_hot = b.column("doc_id").take(pa.array(d)), b.column("key").take(pa.array(d)), kind[begin] == 2
+            plain = np.flatnonzero(~is_hot)
+            shard = (mix(low[begin][plain]) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cut = np.searchsorted(shard[order], np.arange(shards + 1))
+            rows = pa.RecordBatch.from_arrays([content, ids, keys, at], ["content", "doc_id", "key", "at"])
+            some = np.flatnonzero(np.diff(cut))
+            data = [packed(rows.take(pa.array(plain[order[cut[i] : cut[i + 1]]]))) for i in some.tolist()]
+            k = len(data)
+            if k:
+                none = [pa.nulls(k, t) for t in (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), pa.array(some, pa.int64()), pa.array(data, pa.binary()), *none], _RUN_NAMES)
+            many = np.flatnonzero(is_hot)
+            if len(many):
+                one = rows.take(pa.array(many))
+                name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c) for c in one.column("content").to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
+                shard = (name[:, 1] % np.uint64(shards)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([1] * len(many), pa.int32()), pa.array(shard), pa.nulls(len(many), pa.binary()), one.column("content"), pa.array(name[:, 0].view(np.int64)), pa.array(name[:, 1].view(np.int64)), one.column("doc_id"), one.column("key"), one.column("at")], _RUN_NAMES)
+
+    return docs.join(lists, "key").mapInArrow(make, RUNS)
 
-    return docs.join(lists, "key").mapInArrow(make, "shard long, content binary, high long, low long, doc_id long, key long, at int")
+
+_RUN_NAMES = [x.split()[0] for x in RUNS.split(", ")]
 
 
 def search_shard(contents: pa.Array, owner: np.ndarray, n: int = N_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -206,37 +232,73 @@ def search_shard(contents: pa.Array, owner: np.ndarray, n: int = N_WORDS) -> tup
     return least, offs
 
 
-def verdicts(made: DataFrame, n: int = N_WORDS) -> DataFrame:
-    """high, low, least: per distinct run that may remove words, the smallest document ids of its windows (packed longs)."""
+def _starts(least: np.ndarray, offs: np.ndarray, run: np.ndarray, doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.Table:
+    """key, doc_id, starts: of occurrences (run, document, first word), the windows that a smaller document has, together per document."""
+    place, cut = ragged(run, offs)
+    row = np.repeat(np.arange(len(run)), np.diff(cut))
+    gone = np.flatnonzero(least[place] < doc[row])
+    row, start = row[gone], (at[row] + np.arange(len(row)) - cut[row])[gone].astype(np.int32)
+    order = np.lexsort((doc[row], key[row]))
+    row, start = row[order], start[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (key[row][1:] != key[row][:-1]) | (doc[row][1:] != doc[row][:-1])
+    begin = np.flatnonzero(new)
+    edge = np.append(begin, len(row)).tolist()
+    return pa.table({"key": pa.array(key[row][begin], pa.int64()), "doc_id": pa.array(doc[row][begin], pa.int64()), "starts": pa.array([start[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())})
+
+
+def removed_by_shard(made: DataFrame, n: int = N_WORDS) -> DataFrame:
+    """key, doc_id, starts of the runs in packs (shard, data): a shard has its distinct runs indexed, and all their occurrences."""
+
+    def search(key, group):
+        rows = pa.Table.from_batches([unpacked(x.as_py()) for x in group.column("data")]).combine_chunks()
+        coded = rows.column("content").combine_chunks().dictionary_encode()
+        run = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = rows.column("doc_id").to_numpy()
+        owner = np.full(len(coded.dictionary), LAST)
+        np.minimum.at(owner, run, doc)
+        least, offs = search_shard(coded.dictionary, owner, n)
+        return _starts(least, offs, run, doc, rows.column("key").to_numpy(), rows.column("at").to_numpy())
+
+    return made.groupBy("shard").applyInArrow(search, "key long, doc_id long, starts binary")
+
+
+def removed_by_content(made: DataFrame, n: int = N_WORDS) -> DataFrame:
+    """The same for single windows (shard, content, high, low, doc_id, key, at), which are as often as documents have them:
+    equal ones are counted before they move, each distinct one is searched once, and its verdict is joined to where it occurs."""
 
     def search(key, group):
         owner, times = group.column("owner").to_numpy(), group.column("times").to_numpy()
-        least, offs = search_shard(group.column("content").combine_chunks(), owner, n)
-        lowest = np.minimum.reduceat(least, offs[:-1]) if len(least) else least
-        some = np.flatnonzero((times > 1) | (lowest < owner))
-        return pa.table({"high": group.column("high").take(pa.array(some)), "low": group.column("low").take(pa.array(some)), "least": pa.array([least[offs[i] : offs[i + 1]].tobytes() for i in some.tolist()], pa.binary())})
+        least, _ = search_shard(group.column("content").combine_chunks(), owner, n)
+        some = pa.array(np.flatnonzero((times > 1) | (least < owner)))
+        return pa.table({"high": group.column("high").take(some), "low": group.column("low").take(some), "least": pa.array(least).take(some)})
 
     distinct = made.groupBy("shard", "content", "high", "low").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("times"))
-    return distinct.groupBy("shard").applyInArrow(search, "high long, low long, least binary")
+    found = distinct.groupBy("shard").applyInArrow(search, "high long, low long, least long")
+    gone = made.select("high", "low", "doc_id", "key", "at").join(found, ["high", "low"]).where("least < doc_id")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("at").to_numpy().astype("<i4")
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array([x.tobytes() for x in at], pa.binary())], ["key", "doc_id", "starts"])
+
+    return gone.select("key", "doc_id", "at").mapInArrow(pack, "key long, doc_id long, starts binary")
 
 
 def coverage(docs: DataFrame, n: int = N_WORDS, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """key, doc_id, starts: per row with a duplicate, first words of its duplicate windows (packed ints, in parts). docs as _keyed makes them."""
     size = text_bytes(docs)
+    spark = docs.sparkSession
     lists = written(shared_minimisers(docs, max(8, size // bucket_bytes), n, hot))
+    release(spark)
     made = written(runs(docs, lists, max(8, size // shard_bytes), n))
-    found = verdicts(made, n)
-
-    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            least = [np.frombuffer(x, np.int64) for x in b.column("least").to_pylist()]
-            out = [(at + np.flatnonzero(x < d)).astype(np.int32).tobytes() for x, d, at in zip(least, b.column("doc_id").to_pylist(), b.column("at").to_pylist())]
-            some = pc.greater(pc.binary_length(pa.array(out, pa.binary())), 0)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(out, pa.binary())], ["key", "doc_id", "starts"]).filter(some)
-
-    places = made.select("high", "low", "doc_id", "key", "at").join(found, ["high", "low"]).select("key", "doc_id", "at", "least")
-    covered = places.mapInArrow(starts, "key long, doc_id long, starts binary")
-    return written(covered.groupBy("key", "doc_id").agg(F.collect_list("starts").alias("starts")))
+    release(spark)
+    by_shard = removed_by_shard(made.where("kind = 0").select("shard", "data"), n)
+    by_content = removed_by_content(made.where("kind = 1").drop("kind", "data"), n)
+    # a document's parts are as long as its text at most
+    found = written(by_shard.unionByName(by_content).groupBy("key", "doc_id").agg(F.collect_list("starts").alias("starts")))
+    release(spark)
+    return found
 
 
 def covered_words(w: Words, starts: list[list[bytes] | None], n: int) -> np.ndarray:

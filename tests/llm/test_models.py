@@ -38,7 +38,7 @@ def test_language(spark, corpus, empty):
     rows = [(i, make(k), k) for i, k in enumerate(list(parts) * 80)]
     docs = spark.createDataFrame([*rows, (900, "zz", None), (901, None, "xa")], "doc_id long, text string, lang string").repartition(2)
     model = language.fit(docs.where("doc_id % 5 <> 1"))
-    assert model.languages == ["xa", "xb", "xc"] and model.code.shape[1] == language.BITS
+    assert model.languages == ["xa", "xb", "xc"] and 12 < model.code.shape[1] <= language.BITS
     got = {r.doc_id: r for r in language.identify(docs, model).collect()}
     assert sum(got[i].lang_pred == k for i, _, k in rows) / len(rows) > 0.98
     assert got[901].lang_pred == "und" and got[901].score == 0
