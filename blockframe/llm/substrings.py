@@ -6,9 +6,10 @@ shard, each window is named by its minimiser, the smallest hash among its word 5
 equal windows have equal minimisers. One pass counts minimisers over all documents (each
 once per document, in arrays packed by hash bucket); only windows whose minimiser occurs in
 two documents can be duplicates. Runs of such windows with one minimiser go to its shard,
-packed and compressed. A minimiser in more than `hot` documents is split further: its windows
-go one by one to the shard of their own content, equal ones being merged, with their smallest
-document id, before they move, so no passage, however common, gathers in one task.
+packed and compressed. A minimiser in more than `hot` documents is split further: each batch
+of documents sends its distinct windows, with their smallest document id, to the shard of
+their own content, and gets their verdicts back, so no passage, however common, gathers in
+one task.
 
 Each shard indexes its distinct runs and streams them through the index: matching
 statistics by backward search over the wavelet matrix give, at every word, the longest match
@@ -22,12 +23,13 @@ none; rows that repeat an id do not remove each other's words. Texts are read wh
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,15 +100,43 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def _pack(keys: np.ndarray, values: np.ndarray) -> bytes:
-    return np.stack([keys, values]).tobytes()
+def _replies(batch: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """batch, data: rows about documents, packed for the batch that asked for them."""
+    order = np.argsort(batch, kind="stable")
+    cut = np.append(np.flatnonzero(np.diff(batch[order], prepend=-1)), len(order))
+    rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+    data = [packed(rows.take(pa.array(order[i:j]))) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    return pa.table({"batch": pa.array(batch[order][cut[:-1]], pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+def _by_document(replies: DataFrame, names: list[str], split: Callable[[pa.Table], tuple]) -> DataFrame:
+    """key and some packed arrays per document, from replies (batch, data). Rows with one key get equal replies, of which one is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for parts in b.column("data"):
+                rows = pa.Table.from_batches([unpacked(x) for x in parts.as_py()])
+                key, *arrays = split(rows)
+                order = np.argsort(key, kind="stable")
+                cut = np.append(np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])), len(key)).tolist() if len(key) else [0]
+                spans = list(zip(cut[:-1], cut[1:]))
+                cols = []
+                for values, mask in arrays:
+                    values, mask = values[order], mask[order]
+                    cols.append(pa.array([values[i:j][mask[i:j]].tobytes() for i, j in spans], pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(key[order][cut[:-1]], pa.int64()), *cols], ["key", *names])
+
+    # a batch's replies are as many as its words at most
+    gathered = replies.groupBy("batch").agg(F.collect_list("data").alias("data")).select("data")
+    return gathered.mapInArrow(run, ", ".join(["key long", *(f"{c} binary" for c in names)])).groupBy("key").agg(*(F.max(c).alias(c) for c in names))
 
 
 def shared_minimisers(docs: DataFrame, buckets: int, n: int = N_WORDS, hot: int = HOT) -> DataFrame:
     """key, shared, hot: per document the minimisers (packed longs) that other documents have too, those of over `hot` documents apart."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        part = TaskContext.get().partitionId() << 24
+        for number, b in enumerate(slices(batches), part):
             w = Words(b.column("text"))
             start, low = minimisers(w, n)
             doc = np.searchsorted(w.first, start, "right") - 1
@@ -117,41 +147,48 @@ def shared_minimisers(docs: DataFrame, buckets: int, n: int = N_WORDS, hot: int
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(cut))
-            data = [_pack(key[order[cut[i] : cut[i + 1]]], low[order[cut[i] : cut[i + 1]]].view(np.int64)) for i in some.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
+            data = [np.stack([key[o], low[o].view(np.int64)]).tobytes() for o in (order[cut[i] : cut[i + 1]] for i in some.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array(data, pa.binary())], ["bucket", "batch", "data"])
 
     def meet(key, group):
         parts = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in group.column("data")]
         keys, low = np.concatenate(parts, axis=1)
+        batch = np.repeat(group.column("batch").to_numpy(), [p.shape[1] for p in parts])
         order = np.lexsort((keys, low))
-        keys, low = keys[order], low[order]
-        new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (keys[1:] != keys[:-1])
-        keys, low = keys[new], low[new]
-        begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        count = np.repeat(np.diff(np.append(begin, len(low))), np.diff(np.append(begin, len(low))))
-        keys, low, count = keys[count > 1], low[count > 1], count[count > 1]
-        order = np.argsort(keys, kind="stable")
-        keys, low, often = keys[order], low[order], count[order] > hot
-        cut = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys)) if len(keys) else np.zeros(1, np.int64)
-        out = [(int(keys[i]), low[i:j][~often[i:j]].tobytes(), low[i:j][often[i:j]].tobytes()) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        return pa.table({"key": pa.array([x[0] for x in out], pa.int64()), "shared": pa.array([x[1] for x in out], pa.binary()), "hot": pa.array([x[2] for x in out], pa.binary())})
+        keys, low, batch = keys[order], low[order], batch[order]
+        other = np.ones(len(low), bool)
+        other[1:] = low[1:] != low[:-1]
+        begin = np.flatnonzero(other)
+        new = other.copy()
+        new[1:] |= keys[1:] != keys[:-1]
+        count = np.repeat(np.add.reduceat(new.astype(np.int64), begin), np.diff(np.append(begin, len(low))))
+        some = np.flatnonzero(count > 1)
+        return _replies(batch[some], key=keys[some], low=low[some], hot=count[some] > hot)
+
+    def split(rows: pa.Table) -> tuple:
+        key, low, often = rows.column("key").to_numpy(), rows.column("low").to_numpy(), rows.column("hot").to_numpy()
+        order = np.lexsort((low, key))
+        key, low, often = key[order], low[order], often[order]
+        return key, (low, ~often), (low, often)
 
-    packed = docs.select("text", "key").mapInArrow(deal, "bucket long, data binary")
-    found = packed.groupBy("bucket").applyInArrow(meet, "key long, shared binary, hot binary")
-    # a document's lists are as long as its text at most
-    return found.groupBy("key").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
+    sent = docs.select("text", "key").mapInArrow(deal, "bucket long, batch long, data binary")
+    return _by_document(sent.groupBy("bucket").applyInArrow(meet, "batch long, data binary"), ["shared", "hot"], split)
 
 
-RUNS = "kind int, shard long, data binary, content binary, high long, low long, doc_id long, key long, at int"
+RUNS = "kind int, batch long, shard long, data binary, content binary, high long, low long, doc_id long, times long, nth int"
 
 
 def runs(docs: DataFrame, lists: DataFrame, shards: int, n: int = N_WORDS) -> DataFrame:
     """Candidate windows. kind 0: for a shard, what a batch of documents sends there: runs (content, words joined by a space) and where they occur.
-    kind 1: a single window of a hot minimiser, with the 128-bit hash of its content."""
+    kind 1: a batch's nth distinct window of hot minimisers, with the 128-bit hash of its content, its smallest document and how often the batch has it.
+    kind 2: where a batch has those windows."""
+
+    def row(kind: int, n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), *(pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _RUN_TYPES)], ["kind", *(c for c, _ in _RUN_TYPES)])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        part = TaskContext.get().partitionId() << 24
+        for number, b in enumerate(slices(batches), part):
             w = Words(b.column("text"))
             start, low = minimisers(w, n)
             doc = np.searchsorted(w.first, start, "right") - 1
@@ -160,7 +197,7 @@ def runs(docs: DataFrame, lists: DataFrame, shards: int, n: int = N_WORDS) -> Da
             for d, (shared, hot) in enumerate(zip(b.column("shared").to_pylist(), b.column("hot").to_pylist())):
                 own = low[at[d] : at[d + 1]].view(np.int64)
                 for mark, part in ((1, shared), (2, hot)):
-                    have = np.frombuffer(b"".join(part), np.int64)
+                    have = np.frombuffer(part, np.int64)
                     if len(have) and len(own):
                         kind[at[d] : at[d + 1]][np.isin(own, have)] = mark
             pick = np.flatnonzero(kind)
@@ -187,21 +224,24 @@ def runs(docs: DataFrame, lists: DataFrame, shards: int, n: int = N_WORDS) -> Da
             rows = pa.RecordBatch.from_arrays([content, ids, keys, at], ["content", "doc_id", "key", "at"])
             some = np.flatnonzero(np.diff(cut))
             data = [packed(rows.take(pa.array(plain[order[cut[i] : cut[i + 1]]]))) for i in some.tolist()]
-            k = len(data)
-            if k:
-                none = [pa.nulls(k, t) for t in (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), pa.array(some, pa.int64()), pa.array(data, pa.binary()), *none], _RUN_NAMES)
+            if data:
+                yield row(0, len(data), batch=np.full(len(data), number), shard=some, data=data)
             many = np.flatnonzero(is_hot)
             if len(many):
                 one = rows.take(pa.array(many))
-                name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c) for c in one.column("content").to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
-                shard = (name[:, 1] % np.uint64(shards)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([1] * len(many), pa.int32()), pa.array(shard), pa.nulls(len(many), pa.binary()), one.column("content"), pa.array(name[:, 0].view(np.int64)), pa.array(name[:, 1].view(np.int64)), one.column("doc_id"), one.column("key"), one.column("at")], _RUN_NAMES)
+                coded = one.column("content").dictionary_encode()
+                nth, ids = coded.indices.to_numpy(zero_copy_only=False), one.column("doc_id").to_numpy()
+                least = np.full(len(coded.dictionary), LAST)
+                np.minimum.at(least, nth, ids)
+                name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c) for c in coded.dictionary.to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
+                yield row(1, len(least), batch=np.full(len(least), number), shard=(name[:, 1] % np.uint64(shards)).astype(np.int64), content=coded.dictionary, high=name[:, 0].view(np.int64), low=name[:, 1].view(np.int64), doc_id=least, times=np.bincount(nth, minlength=len(least)), nth=np.arange(len(least)))
+                where = pa.RecordBatch.from_arrays([pa.array(nth, pa.int32()), one.column("doc_id"), one.column("key"), one.column("at")], ["nth", "doc_id", "key", "at"])
+                yield row(2, 1, batch=[number], data=[packed(where)])
 
     return docs.join(lists, "key").mapInArrow(make, RUNS)
 
 
-_RUN_NAMES = [x.split()[0] for x in RUNS.split(", ")]
+_RUN_TYPES = [(c, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for c, t in (x.split() for x in RUNS.split(", ")[1:])]
 
 
 def search_shard(contents: pa.Array, owner: np.ndarray, n: int = N_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -232,40 +272,33 @@ def search_shard(contents: pa.Array, owner: np.ndarray, n: int = N_WORDS) -> tup
     return least, offs
 
 
-def _starts(least: np.ndarray, offs: np.ndarray, run: np.ndarray, doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.Table:
-    """key, doc_id, starts: of occurrences (run, document, first word), the windows that a smaller document has, together per document."""
-    place, cut = ragged(run, offs)
-    row = np.repeat(np.arange(len(run)), np.diff(cut))
-    gone = np.flatnonzero(least[place] < doc[row])
-    row, start = row[gone], (at[row] + np.arange(len(row)) - cut[row])[gone].astype(np.int32)
-    order = np.lexsort((doc[row], key[row]))
-    row, start = row[order], start[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (key[row][1:] != key[row][:-1]) | (doc[row][1:] != doc[row][:-1])
-    begin = np.flatnonzero(new)
-    edge = np.append(begin, len(row)).tolist()
-    return pa.table({"key": pa.array(key[row][begin], pa.int64()), "doc_id": pa.array(doc[row][begin], pa.int64()), "starts": pa.array([start[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())})
-
-
 def removed_by_shard(made: DataFrame, n: int = N_WORDS) -> DataFrame:
-    """key, doc_id, starts of the runs in packs (shard, data): a shard has its distinct runs indexed, and all their occurrences."""
+    """batch, data (key, at): windows that a smaller document has, of the runs in packs (batch, shard, data). A shard has its distinct runs indexed, and all their occurrences."""
 
     def search(key, group):
-        rows = pa.Table.from_batches([unpacked(x.as_py()) for x in group.column("data")]).combine_chunks()
+        parts = [unpacked(x.as_py()) for x in group.column("data")]
+        rows = pa.Table.from_batches(parts).combine_chunks()
         coded = rows.column("content").combine_chunks().dictionary_encode()
         run = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         doc = rows.column("doc_id").to_numpy()
         owner = np.full(len(coded.dictionary), LAST)
         np.minimum.at(owner, run, doc)
         least, offs = search_shard(coded.dictionary, owner, n)
-        return _starts(least, offs, run, doc, rows.column("key").to_numpy(), rows.column("at").to_numpy())
+        place, cut = ragged(run, offs)
+        row = np.repeat(np.arange(len(run)), np.diff(cut))
+        start = rows.column("at").to_numpy()[row] + np.arange(len(row)) - cut[row]
+        gone = np.flatnonzero(least[place] < doc[row])
+        row, batch = row[gone], np.repeat(group.column("batch").to_numpy(), [p.num_rows for p in parts])
+        return _replies(batch[row], key=rows.column("key").to_numpy()[row], at=start[gone].astype(np.int32))
+
+    return made.groupBy("shard").applyInArrow(search, "batch long, data binary")
 
-    return made.groupBy("shard").applyInArrow(search, "key long, doc_id long, starts binary")
 
+def removed_by_content(distinct: DataFrame, where: DataFrame, n: int = N_WORDS) -> DataFrame:
+    """The same for single windows, of which every batch has each once (kind 1 of runs; where: its kind 2).
 
-def removed_by_content(made: DataFrame, n: int = N_WORDS) -> DataFrame:
-    """The same for single windows (shard, content, high, low, doc_id, key, at), which are as often as documents have them:
-    equal ones are counted before they move, each distinct one is searched once, and its verdict is joined to where it occurs."""
+    Equal ones are counted before they move, each distinct one is searched once, and its verdict is joined
+    to the batches that have it, which pass it on to their documents."""
 
     def search(key, group):
         owner, times = group.column("owner").to_numpy(), group.column("times").to_numpy()
@@ -273,40 +306,55 @@ def removed_by_content(made: DataFrame, n: int = N_WORDS) -> DataFrame:
         some = pa.array(np.flatnonzero((times > 1) | (least < owner)))
         return pa.table({"high": group.column("high").take(some), "low": group.column("low").take(some), "least": pa.array(least).take(some)})
 
-    distinct = made.groupBy("shard", "content", "high", "low").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("times"))
-    found = distinct.groupBy("shard").applyInArrow(search, "high long, low long, least long")
-    gone = made.select("high", "low", "doc_id", "key", "at").join(found, ["high", "low"]).where("least < doc_id")
+    met = distinct.groupBy("shard", "content", "high", "low").agg(F.min("doc_id").alias("owner"), F.sum("times").alias("times"))
+    found = met.groupBy("shard").applyInArrow(search, "high long, low long, least long")
+    # a batch's verdicts are as many as its words at most
+    verdicts = distinct.select("high", "low", "batch", "nth").join(found, ["high", "low"]).groupBy("batch").agg(F.collect_list(F.struct("nth", "least")).alias("verdicts"))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column("at").to_numpy().astype("<i4")
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array([x.tobytes() for x in at], pa.binary())], ["key", "doc_id", "starts"])
+            for number, data, told in zip(b.column("batch").to_pylist(), b.column("data"), b.column("verdicts")):
+                own = unpacked(data.as_py())
+                nth, doc = own.column("nth").to_numpy(), own.column("doc_id").to_numpy()
+                least = np.full(int(nth.max()) + 1, LAST)
+                least[told.values.field("nth").to_numpy()] = told.values.field("least").to_numpy()
+                gone = np.flatnonzero(least[nth] < doc)
+                batch = np.full(len(gone), number)
+                yield from _replies(batch, key=own.column("key").to_numpy()[gone], at=own.column("at").to_numpy()[gone]).to_batches()
 
-    return gone.select("key", "doc_id", "at").mapInArrow(pack, "key long, doc_id long, starts binary")
+    return where.join(verdicts, "batch").select("batch", "data", "verdicts").mapInArrow(spread, "batch long, data binary")
 
 
 def coverage(docs: DataFrame, n: int = N_WORDS, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """key, doc_id, starts: per row with a duplicate, first words of its duplicate windows (packed ints, in parts). docs as _keyed makes them."""
+    """key, starts: per row with a duplicate, first words of its duplicate windows (packed ints). docs as _keyed makes them."""
     size = text_bytes(docs)
     spark = docs.sparkSession
     lists = written(shared_minimisers(docs, max(8, size // bucket_bytes), n, hot))
     release(spark)
     made = written(runs(docs, lists, max(8, size // shard_bytes), n))
     release(spark)
-    by_shard = removed_by_shard(made.where("kind = 0").select("shard", "data"), n)
-    by_content = removed_by_content(made.where("kind = 1").drop("kind", "data"), n)
-    # a document's parts are as long as its text at most
-    found = written(by_shard.unionByName(by_content).groupBy("key", "doc_id").agg(F.collect_list("starts").alias("starts")))
+    by_shard = removed_by_shard(made.where("kind = 0").select("batch", "shard", "data"), n)
+    by_content = removed_by_content(made.where("kind = 1").drop("kind", "data"), made.where("kind = 2").select("batch", "data"), n)
+
+    def split(rows: pa.Table) -> tuple:
+        key, at = rows.column("key").to_numpy(), rows.column("at").to_numpy()
+        order = np.lexsort((at, key))
+        key, at = key[order], at[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+        return key[new], (at[new], new[new])
+
+    found = written(_by_document(by_shard.unionByName(by_content), ["starts"], split))
     release(spark)
     return found
 
 
-def covered_words(w: Words, starts: list[list[bytes] | None], n: int) -> np.ndarray:
+def covered_words(w: Words, starts: list[bytes | None], n: int) -> np.ndarray:
     """Flags of the words that windows with these first words cover."""
     mark = np.zeros(w.n + 1, np.int64)
-    for d, parts in enumerate(starts):
-        if parts:
-            at = np.unique(np.frombuffer(b"".join(parts), np.int32)) + w.first[d]
+    for d, own in enumerate(starts):
+        if own:
+            at = np.frombuffer(own, np.int32) + w.first[d]
             np.add.at(mark, at, 1)
             np.add.at(mark, at + n, -1)
     return np.cumsum(mark[:-1]) > 0
@@ -335,7 +383,7 @@ def removals(docs: DataFrame, n: int = N_WORDS, **sizes: int) -> DataFrame:
             ids = b.column("doc_id").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([None if i == LAST else i for i in ids], pa.int64()), pa.array(np.diff(w.first), pa.int64()), pa.array(np.diff(total[w.first]), pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = keyed.join(found, ["key", "doc_id"], "left").select("doc_id", "text", "starts")
+    joined = keyed.join(found, "key", "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -343,8 +391,8 @@ def cut_texts(docs: DataFrame, n: int = N_WORDS, **sizes: int) -> DataFrame:
     """docs with duplicate words cut from text, each with the white space after it; n_chars, if there, counts anew. Texts of which nothing is left are dropped."""
     ship(docs.sparkSession)
     names = docs.columns
-    keyed = docs.withColumn("__row_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__row_key", F.xxhash64("__row_id", "text"))
-    found = coverage(_keyed(docs), n, **sizes).select(F.col("key").alias("__row_key"), F.col("doc_id").alias("__row_id"), F.col("starts").alias("__row_starts"))
+    keyed = docs.withColumn("__row_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "text"))
+    found = coverage(_keyed(docs), n, **sizes).select(F.col("key").alias("__row_key"), F.col("starts").alias("__row_starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -368,7 +416,7 @@ def cut_texts(docs: DataFrame, n: int = N_WORDS, **sizes: int) -> DataFrame:
             empty = (np.diff(total[w.first]) == np.diff(w.first)) & (np.diff(w.first) > 0)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names).filter(pa.array(~empty))
 
-    return keyed.join(found, ["__row_key", "__row_id"], "left").select(*names, "__row_starts").mapInArrow(cut, docs.schema)
+    return keyed.join(found, "__row_key", "left").select(*names, "__row_starts").mapInArrow(cut, docs.schema)
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
