@@ -37,6 +37,22 @@ def test_quality_bands_reject():
     assert bytes_only["fallback_share"][0] > 0.5
 
 
+def test_default_bands_reject_junk_and_keep_clean_text():
+    import pyarrow.parquet as pq
+
+    folder = "/root/testdata/sf0.01"
+    quality = dict(zip(*pq.read_table(f"{folder}/labels.parquet").select(["doc_id", "quality"]).to_pydict().values()))
+    docs = pq.read_table(f"{folder}/documents.parquet").combine_chunks()
+    label = np.array([quality.get(i, -1) for i in docs["doc_id"].to_pylist()])
+    texts, langs = docs["text"].combine_chunks(), docs["lang"].combine_chunks()
+    m = fertility.measure(texts, langs=langs)
+    junk, clean = ((label == k) & ~m["base_failed"] for k in (0, 1))
+    assert junk.sum() > 20 and m["kept"][junk].mean() < 0.4
+    assert clean.sum() > 200 and m["kept"][clean].mean() > 0.96
+    unknown = fertility.measure(texts, langs=pa.array(["xx", None] * (len(texts) // 2)))
+    assert (unknown["kept"] == fertility.measure(texts)["kept"]).all() and unknown["kept"][clean].all()
+
+
 def test_repeated_windows_with_large_codes():
     codes = np.array([1 << 30, 5, 7, 9, 1 << 30, 5, 7])
     assert fertility.repeated_window_words(codes) == 6
