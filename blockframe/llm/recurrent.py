@@ -10,8 +10,8 @@ one unseen word for each tail class thus sum to one.
 Training is truncated backpropagation: streams of whole documents are read in windows, the
 state carried from window to window and cleared where a document begins. The blocks of a
 first task warm the network up; then every task trains from there on its own blocks, and
-the weights are averaged. Gradients are taken on `share` of the training documents, drawn by a
-hash, so the work grows with the input; counts, classes and shares come from all of them.
+the weights are averaged. Gradients are taken on all training documents, as are counts,
+classes and shares.
 Scoring reads every document whole, many abreast, each carrying its state to its end.
 
 Words are known by 48 hash bits and their last two bytes; their counts meet in buckets of
@@ -37,7 +37,7 @@ from .common import Words, crc_mod, packed, scratch, ship, slices, table, text_b
 from .substrings import mix, word_hashes
 
 HEAD, PER_CLASS, TAIL, HIDDEN = 2000, 50, 88, 32
-STREAMS, STEPS, RATE, SHARE = 256, 16, 0.01, 0.25
+STREAMS, STEPS, RATE = 256, 16, 0.01
 BUCKET_BYTES, BLOCK_BYTES = 16 << 20, 6 << 20
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: the end token's key, which no word has
@@ -265,9 +265,11 @@ def train(net: Network, stream: np.ndarray, end: int, streams: int = STREAMS, st
     """Truncated backpropagation over a stream of ids, in which each document begins with the end token."""
     net = Network(net.head_classes, {k: x.copy() for k, x in net.weights.items()})
     streams = max(1, min(streams, (len(stream) - 1) // (4 * steps)))
-    size = (len(stream) - 1) // streams
+    size = -(-(len(stream) - 1) // streams)
     if size < 1:
         return net, []
+    # streams are of one length: what the last lacks is read from the beginning
+    stream = np.concatenate([stream, stream[1 : size * streams + 2 - len(stream)]])
     token = stream[: size * streams].reshape(streams, size).T
     target = stream[1 : size * streams + 1].reshape(streams, size).T
     adam, h, losses = Adam(rate), np.zeros((streams, net.weights["u"].shape[0]), np.float32), []
@@ -372,7 +374,7 @@ def _replies(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.uint64)[order], count[order]
 
 
-def learn(blobs: DataFrame, vocabulary: Vocabulary, share: float = SHARE, chunks: int = 16, fan: int = 32) -> Network:
+def learn(blobs: DataFrame, vocabulary: Vocabulary, chunks: int = 16, fan: int = 32) -> Network:
     """The network's weights: a warm start from some blocks, then the average of what all tasks learn from there."""
     net = Network.new(vocabulary)
     spark = blobs.sparkSession
@@ -390,7 +392,7 @@ def learn(blobs: DataFrame, vocabulary: Vocabulary, share: float = SHARE, chunks
                     w = Words(docs.column("text"), lower=True)
                     ids = v.ids(word_keys(w))
                     learned = ~docs.column("held_out").to_numpy(zero_copy_only=False)
-                    drawn = np.flatnonzero(learned & (docs.column("draw").to_numpy() < share))
+                    drawn = np.flatnonzero(learned)
                     stream = np.concatenate([x for d in drawn.tolist() for x in ([end], ids[w.first[d] : w.first[d + 1]])] + [[end]]).astype(np.int64)
                     if len(stream) > 1:
                         # a task goes on from block to block, and ends up as one sum
@@ -426,12 +428,11 @@ def learn(blobs: DataFrame, vocabulary: Vocabulary, share: float = SHARE, chunks
     return averaged(blobs, net, RATE / 2)
 
 
-def score(docs: DataFrame, share: float = SHARE, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Scores of every row of doc_id, text, held_out; only rows that are not held out are learned from."""
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    draw = (F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "held_out", draw)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "held_out")
     parts = _by_kind(_blocks(docs, max(8, text_bytes(docs) // bucket_bytes)))
     blobs = parts[0].select("block", "data")
     met = _by_kind(parts[1].groupBy("bucket").applyInArrow(_meet, "kind int, block long, a long, b long, c long, d long, data binary"))
@@ -439,7 +440,7 @@ def score(docs: DataFrame, share: float = SHARE, bucket_bytes: int = BUCKET_BYTE
     head = [(r.a % (1 << 64), r.b) for r in met[2].orderBy(F.desc("b"), "a").limit(HEAD).collect()]
     stats = np.array([(r.a, r.b, r.c, r.d) for r in suffix], np.int64).reshape(-1, 4)
     vocabulary = Vocabulary.build(head, stats, int(stats[:, 1].sum()), int(stats[:, 2].sum()))
-    net = learn(blobs, vocabulary, share)
+    net = learn(blobs, vocabulary)
     shared = spark.sparkContext.broadcast((vocabulary, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,6 +138,23 @@ def test_recurrent(spark, corpus, empty):
     assert len(none) == len(rows) and all(r.n_known == 0 and r.score == r.score for r in none)
 
 
+def test_every_training_document_is_learned_from(spark):
+    # a group of copies of one text, whichever it is, teaches the network
+    for word in ("ka", "lo", "mi"):
+        text = f"{word} rra soö ment " * 400
+        docs = spark.createDataFrame([(i, text, i % 10 == 0) for i in range(200)], "doc_id long, text string, held_out boolean").repartition(1)
+        row = recurrent.score(docs).where("held_out").first()
+        assert row.score > 0.8 * row.base_score, word
+
+
+def test_streams_take_every_token():
+    v = vocabulary()
+    stream = np.concatenate([[0], np.full(2010, 3), np.full(4, 7), [0]])
+    start = recurrent.Network.new(v, 6)
+    before, after = start.weights["x"][7], recurrent.train(start, stream, 0, streams=15)[0].weights["x"][7]
+    assert (before != after).any()
+
+
 def test_training_learns_order():
     rng = np.random.default_rng(4)
     v = vocabulary()
