@@ -1,12 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from blockframe import assemble
 from blockframe.functions import REGISTRY
-from blockframe.operators.breaks import natural_breaks
+from blockframe.operators.breaks import class_breaks, natural_breaks
 from blockframe.plans.model import PlanError
 
 FIRST = 301  # January 1995
@@ -196,6 +197,36 @@ def test_natural_breaks():
     assert natural_breaks(values[:2], weights[:2], 5) == [1.0, 2.0] and natural_breaks(values[:0], weights[:0], 3) == []
 
 
+def test_breaks_of_many_distinct_values_are_exact(spark):
+    values = np.concatenate([np.arange(30000) / 30, 1e6 + np.arange(3)])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    deviation = lambda x: ((x - x.mean()) ** 2).sum()
+    assert class_breaks(df, 2) == [values[29999], values[-1]]
+    got = class_breaks(df, 3)
+    assert got[1:] == [values[29999], values[-1]]
+    at = int(np.searchsorted(values, got[0])) + 1
+    own = [deviation(values[:x]) + deviation(values[x:30000]) for x in range(at - 3, at + 4)]
+    assert min(own) == own[3]
+
+
+def test_natural_breaks_against_every_cut():
+    rng = np.random.default_rng(3)
+    values, weights = np.unique(rng.lognormal(3, 2, 150)), rng.integers(1, 9, 150).astype(float)
+    n = len(values)
+    w, wx, wxx = (np.concatenate([[0.0], np.cumsum(x)]) for x in (weights, weights * values, weights * values**2))
+    cost = lambda i, j: wxx[j] - wxx[i] - (wx[j] - wx[i]) ** 2 / (w[j] - w[i])
+    best, back = [0.0] + [cost(0, j) for j in range(1, n + 1)], []
+    for c in range(2, 6):
+        at = {j: min(range(c - 1, j), key=lambda i: best[i] + cost(i, j)) for j in range(c, n + 1)}
+        best = [best[at[j]] + cost(at[j], j) if j in at else np.inf for j in range(n + 1)]
+        back.append(at)
+        edges, j = [], n
+        for cut in reversed(back):
+            edges.append(float(values[j - 1]))
+            j = cut[j]
+        assert natural_breaks(values, weights, c) == [*reversed([*edges, float(values[j - 1])])]
+
+
 def test_values_of_one_kind_share_their_plans(spark):
     features = [f"{f}({X})" for f in ("ACCUMULATE", "STREND", "FIRST", "LAST", "CP_CHANGED")] + [X, "Fact.COUNT(amount|customer,DATE(at))"]
     data, config = tables(spark, {(1, FIRST): 1.0}, [FIRST])
