@@ -10,6 +10,8 @@ rest are verified word by word, exactly.
 
 The benchmark side is taken in blocks of at most `block_bytes` of text, each a pass
 over the documents: a block is what a worker holds, whatever the benchmark's size.
+Its index is arrays: for a full block of random text they take 61 MB pickled, and some
+320 MB while they are made.
 
 Cases: null or empty texts have no words and no hits; items without words have no
 windows; repeated items with one id count once; null ids count as the empty text.
@@ -18,7 +20,7 @@ windows; repeated items with one id count once; null ids count as the empty text
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,58 +28,82 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, Words, ship, slices, table, text_bytes, written
+from .common import NOT_ALNUM, Words, ragged, ship, slices, table, text_bytes, written
 
 N_WORDS, MIN_ITEMS, BLOCK_BYTES = 8, 2, 16 << 20
+#: the row number that drop_contaminated adds for a while
+ROW = "__decontamination_row"
 HITS = "doc_id long, row long, n_words long, spans array<long>, items array<string>"
 
 
 class Index:
-    """Windows of some items under their rarest words."""
+    """Distinct windows of some items under their rarest words, as arrays: where each is first found in the items' word codes, and the items that have it."""
 
-    def __init__(self, items: list[tuple[str, str]], rarity: dict[bytes, int], n: int):
+    def __init__(self, items: list[tuple[str, str]], rarity: Callable[[pa.Array], np.ndarray], n: int):
         words = Words(pa.array([t for _, t in items], pa.string()), NOT_ALNUM, lower=True)
         codes, self.vocab = words.coded()
-        rare = np.array([rarity.get(w, 0) for w in self.vocab.to_pylist()], np.int64)
+        self.codes, self.ids = codes.astype(np.int32), [i for i, _ in items]
         # rarity as a rank, so that equally rare words have one order everywhere
-        rank = np.empty(len(rare), np.int64)
-        rank[np.lexsort((np.arange(len(rare)), rare))] = np.arange(len(rare))
-        found: dict[tuple, set[str]] = {}
-        for k, (item, _) in enumerate(items):
-            own = codes[words.first[k] : words.first[k + 1]].tolist()
-            for i in range(max(1, len(own) - n + 1) if own else 0):
-                found.setdefault(tuple(own[i : i + n]), set()).add(item)
-        self.windows = list(found)
-        self.items = [sorted(x) for x in found.values()]
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        self.at = np.array([min(range(len(w)), key=lambda i: rank[w[i]]) for w in self.windows], np.int64)
-        key = np.array([w[i] for w, i in zip(self.windows, self.at)], np.int64)
-        self.flat = np.full((len(self.windows), n), -1, np.int64)
-        for k, w in enumerate(self.windows):
-            self.flat[k, : len(w)] = w
-        self.order = np.argsort(key, kind="stable")
+        rank = np.empty(len(self.vocab), np.int32)
+        rank[np.argsort(rarity(self.vocab), kind="stable")] = np.arange(len(rank), dtype=np.int32)
+        size = np.diff(words.first)
+        many = np.where(size > 0, np.maximum(1, size - n + 1), 0)
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), many)
+        start = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + words.first[owner]).astype(np.int32)
+        length = np.minimum(size, n)[owner].astype(np.int32)
+        name = length.astype(np.uint64)
+        for k in range(n):
+            name = name * np.uint64(0x9E3779B97F4A7C15) + np.where(k < length, self._word(start, k), -1).astype(np.uint64)
+            name ^= name >> np.uint64(29)
+        order = np.argsort(name, kind="stable")
+        start, length, owner = start[order], length[order], owner[order]
+        new = np.ones(len(order), bool)
+        new[1:] = name[order[1:]] != name[order[:-1]]
+        for k in range(n):  # equal names are compared word by word
+            new[1:] |= (length[1:] != length[:-1]) | ((k < length[1:]) & (self._word(start[1:], k) != self._word(start[:-1], k)))
+        cut = np.flatnonzero(new)
+        #: items of window i: self.owner[self.owners[i]:self.owners[i + 1]]
+        self.owner, self.owners = owner, np.append(cut, len(owner))
+        self.start, self.length = start[cut], length[cut]
+        self.at = np.zeros(len(cut), np.int32)
+        best = np.full(len(cut), len(rank), np.int32)
+        for k in range(n):
+            own = np.where(k < self.length, rank[self._word(self.start, k)] if len(rank) else 0, len(rank))
+            self.at[own < best] = k
+            best = np.minimum(best, own)
+        key = self._word(self.start, self.at)
+        self.order = np.argsort(key, kind="stable").astype(np.int32)
         self.begin = np.searchsorted(key[self.order], np.arange(len(self.vocab) + 1))
 
+    def _word(self, start: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+        return self.codes[np.minimum(start + k, len(self.codes) - 1)] if len(self.codes) else np.zeros(len(start), np.int32)
+
+    def items(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Item numbers that have some windows, one window after another, and the offsets of each window's."""
+        at, offsets = ragged(windows, self.owners)
+        return self.owner[at], offsets
+
     def find(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First words and window numbers of all occurrences; codes number words by self.vocab, -1: not in it."""
         count = np.where(codes >= 0, self.begin[codes + 1] - self.begin[codes], 0)
         hit = np.flatnonzero(count)
-        doc_begin = np.repeat(first[:-1], np.diff(first))
-        doc_end = np.repeat(first[1:], np.diff(first))
-        starts, windows = [], []
+        doc = np.searchsorted(first, hit, "right")
+        doc_begin, doc_end = first[doc - 1], first[doc]
+        starts, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         # a frequent word may head many windows: candidates are made and verified in pieces
         total = np.cumsum(count[hit])
-        for part in np.split(hit, np.searchsorted(total, np.arange(2_000_000, total[-1] if len(total) else 0, 2_000_000))):
-            many = count[part]
-            pos = np.repeat(part, many)
-            window = self.order[np.repeat(self.begin[codes[part]] - (np.cumsum(many) - many), many) + np.arange(len(pos))]
-            start = pos - self.at[window]
-            fits = (start >= doc_begin[pos]) & (start + self.length[window] <= doc_end[pos])
+        cut = np.searchsorted(total, np.arange(2_000_000, total[-1] if len(total) else 0, 2_000_000))
+        for part in np.split(np.arange(len(hit)), cut):
+            many = count[hit[part]]
+            of = np.repeat(part, many)
+            window = self.order[np.repeat(self.begin[codes[hit[part]]] - (np.cumsum(many) - many), many) + np.arange(len(of))]
+            start = hit[of] - self.at[window]
+            fits = (start >= doc_begin[of]) & (start + self.length[window] <= doc_end[of])
             start, window = start[fits], window[fits]
-            for k in range(self.flat.shape[1]):
+            for k in range(int(self.length.max(initial=0))):
                 if not len(start):
                     break
-                same = (k >= self.length[window]) | (codes[np.minimum(start + k, len(codes) - 1)] == self.flat[window, k])
+                same = (k >= self.length[window]) | (codes[np.minimum(start + k, len(codes) - 1)] == self._word(self.start[window], k))
                 start, window = start[same], window[same]
             starts.append(start)
             windows.append(window)
@@ -89,7 +115,7 @@ def _occurrences(texts: pa.Array, index: Index) -> tuple[np.ndarray, list[list[i
     w = Words(texts, NOT_ALNUM, lower=True)
     local, vocab = w.coded()
     known = pc.index_in(vocab, value_set=index.vocab).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    start, window = index.find(known[local], w.first) if w.n and len(index.windows) else (np.zeros(0, np.int64),) * 2
+    start, window = index.find(known[local], w.first) if w.n and len(index.start) else (np.zeros(0, np.int64),) * 2
     mark = np.zeros(w.n + 1, np.int64)
     np.add.at(mark, start, 1)
     np.add.at(mark, start + (index.length[window] if len(start) else 0), -1)
@@ -98,8 +124,12 @@ def _occurrences(texts: pa.Array, index: Index) -> tuple[np.ndarray, list[list[i
     n = np.diff(w.first)
     spans: list[list[int]] = [[] for _ in n]
     items: list[set[str]] = [set() for _ in n]
-    for d, k in set(zip((np.searchsorted(w.first, start, "right") - 1).tolist(), window.tolist())):
-        items[d].update(index.items[k])
+    if len(start):
+        pairs = np.unique((np.searchsorted(w.first, start, "right") - 1) * len(index.start) + window)
+        found, offsets = index.items(pairs % len(index.start))
+        pairs = np.unique(np.repeat(pairs // len(index.start), np.diff(offsets)) * len(index.ids) + found)
+        for d, k in zip((pairs // len(index.ids)).tolist(), (pairs % len(index.ids)).tolist()):
+            items[d].add(index.ids[k])
     for i, j in zip(lo.tolist(), hi.tolist()):
         d = int(np.searchsorted(w.first, i, "right")) - 1
         while i < j:  # a run may go on in the next text
@@ -110,9 +140,8 @@ def _occurrences(texts: pa.Array, index: Index) -> tuple[np.ndarray, list[list[i
     return n, spans, [sorted(x) for x in items]
 
 
-def corpus_rarity(docs: DataFrame, vocab: set[bytes]) -> dict[bytes, int]:
-    """How often the words of a block's items occur in all documents: one row per such word and task, then one per word."""
-    known = pa.array(sorted(vocab), pa.binary())
+def corpus_rarity(docs: DataFrame, known: pa.Array) -> np.ndarray:
+    """How often distinct words, those of a block's items, occur in all documents: one row per such word and task, then one per word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(known) + 1, np.int64)
@@ -124,8 +153,10 @@ def corpus_rarity(docs: DataFrame, vocab: set[bytes]) -> dict[bytes, int]:
         some = np.flatnonzero(total[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {known[int(k)].as_py(): n for k, n in counts.collect()}  # at most the words of one block
+    counts = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # at most the words of one block
+    out = np.zeros(len(known), np.int64)
+    out[counts.column("word").to_numpy()] = counts.column("n").to_numpy()
+    return out
 
 
 def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
@@ -140,24 +171,18 @@ def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 
 
 def hits(docs: DataFrame, items: DataFrame, n: int = N_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document and block of items: words, merged [from, to) hit spans, ids of items found."""
+    """Per row of docs (doc_id, text, row) and block of items: words, merged [from, to) hit spans, ids of items found."""
     ship(docs.sparkSession)
-    many = text_bytes(items) > block_bytes
-    # blocks meet again by row, since a repeated row has nothing else of its own
-    docs = docs.select("doc_id", "text", (F.monotonically_increasing_id() if many else F.lit(0)).cast("long").alias("row"))
-    docs = written(docs) if many else docs
     out = None
     for block in item_blocks(items, block_bytes):
-        words = Words(pa.array([t for _, t in block], pa.string()), NOT_ALNUM, lower=True)
-        index = Index(block, corpus_rarity(docs, set(words.coded()[1].to_pylist())), n)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block, lambda words: corpus_rarity(docs, words), n))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
                 words, spans, found = _occurrences(b.column("text"), shared.value)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("row"), pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], ["doc_id", "row", "n_words", "spans", "items"])
 
-        part = docs.mapInArrow(run, HITS)
+        part = docs.select("doc_id", "text", "row").mapInArrow(run, HITS)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -179,22 +204,26 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = N_WORDS, min_items: int = MIN_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document; with one block, a narrow pass. Further blocks are merged per document by a shuffle."""
-    found = hits(docs, items, n, block_bytes)
-    if text_bytes(items) > block_bytes:
+    """One row per row of docs; with one block, a narrow pass. Further blocks are merged per row by a shuffle."""
+    many = text_bytes(items) > block_bytes
+    # blocks meet again by row, since a repeated row has nothing else of its own
+    docs = docs.select("doc_id", "text", (F.monotonically_increasing_id() if many else F.lit(0)).cast("long").alias("row"))
+    found = hits(written(docs) if many else docs, items, n, block_bytes)
+    if many:
         found = found.groupBy("doc_id", "row", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string").withColumn("contaminated", F.col("n_items") >= min_items)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = N_WORDS, min_items: int = MIN_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    if text_bytes(items) > block_bytes:
-        bad = contamination(docs, items, n, min_items, block_bytes).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
+    """The rows that do not hold windows of `min_items` items or more, with all their columns. Each row is judged by its own text, whatever its id and however many blocks the items take."""
     ship(docs.sparkSession)
+    if text_bytes(items) > block_bytes:
+        marked = written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+        found = hits(marked.select("doc_id", "text", F.col(ROW).alias("row")), items, n, block_bytes)
+        bad = found.where(F.size("items") > 0).groupBy("row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("items")))).alias("n")).where(F.col("n") >= min_items)
+        return marked.join(bad.select(F.col("row").alias(ROW)), ROW, "left_anti").drop(ROW)
     (block,) = item_blocks(items, block_bytes)
-    words = Words(pa.array([t for _, t in block], pa.string()), NOT_ALNUM, lower=True)
-    shared = docs.sparkSession.sparkContext.broadcast(Index(block, corpus_rarity(docs, set(words.coded()[1].to_pylist())), n))
+    shared = docs.sparkSession.sparkContext.broadcast(Index(block, lambda words: corpus_rarity(docs, words), n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -265,3 +265,42 @@ def test_decontamination(spark, corpus, empty, block_bytes):
     assert set(kept.columns) == set(corpus.columns) and {r.doc_id for r in kept.collect()} == {i for i, x in want.items() if not x[4]}
     assert decontamination.contamination(empty, bench, block_bytes=block_bytes).count() == 0
     assert decontamination.contamination(corpus, bench.limit(0)).where("n_items > 0").count() == 0
+
+
+@pytest.mark.parametrize("min_items", [1, 2])
+def test_decontamination_judges_rows(spark, min_items):
+    """Rows with a repeated id or none are judged by their own text, however many blocks the items take."""
+    leak, other, clean = "w1 w2 w3 w4 w5 w6 w7 w8 w9", "v1 v2 v3 v4 v5 v6 v7 v8", "c1 c2 c3"
+    rows = [(1, f"x {leak}"), (1, clean), (None, f"{other} y {leak}"), (None, clean), (2, None), (3, f"{leak}"), (3, f"{leak}")]
+    docs = spark.createDataFrame([(*r, "d", 1) for r in rows], "doc_id long, text string, row string, spans int")
+    bench = spark.createDataFrame([("a", leak), ("b", leak.upper()), ("c", other), ("a", None), (None, "")], "item_id string, text string")
+    # the first and the last texts hold two items, a and b
+    want = sorted((r for r in rows if leak not in (r[1] or "")), key=str)
+    kept = [decontamination.drop_contaminated(docs, bench, min_items=min_items, block_bytes=size) for size in (16 << 20, 10)]
+    assert [sorted(((r.doc_id, r.text) for r in k.collect()), key=str) for k in kept] == [want, want]
+    assert all(k.columns == docs.columns for k in kept)
+    one = bench.where("item_id = 'a'")
+    wide = sorted(((r.doc_id, r.text) for r in decontamination.drop_contaminated(docs, one, min_items=min_items, block_bytes=10).collect()), key=str)
+    assert wide == (want if min_items == 1 else sorted(rows, key=str))
+
+
+def test_decontamination_index_of_a_full_block():
+    """16 MB of items take some hundred MB, not a Python object a window."""
+    import pickle
+    import random
+    import tracemalloc
+
+    from helpers import CLEAN
+
+    rng = random.Random(3)
+    vocab = [f"w{k}" for k in range(20000)]
+    items = [(str(k), " ".join(rng.choices(vocab, k=400))) for k in range(600)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    index = decontamination.Index(items, lambda words: np.arange(len(words)), 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * size and len(pickle.dumps(index)) < 8 * size
+    text = "x " + " ".join(CLEAN.findall(items[7][1])[50:60]) + " y"
+    n, spans, found = decontamination._occurrences(pa.array([text, None, ""]), index)
+    assert n.tolist() == [12, 0, 0] and spans == [[1, 11], [], []] and found == [["7"], [], []]

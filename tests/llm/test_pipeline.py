@@ -11,15 +11,15 @@ def test_stages(spark, tmp_path):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice(("an", "tion", "er", "ou", "th", "ble", "re")) for _ in range(rng.randint(1, 4)))
     words = lambda n: " ".join(word() for _ in range(n))
-    passage, leak, leak2 = words(60), words(30), words(30)
+    passage, leak, leak2, leak3 = words(60), words(30), words(30), words(30)
     clean = {i: words(150) for i in range(40)}
     rows = dict(clean)
     rows |= {100: clean[3], 101: clean[4].replace(clean[4].split()[20], "zzz", 1), 102: words(20), 103: None, 104: "a b c " * 60}
-    rows |= {110: words(90) + " " + passage, 111: words(90) + "\n" + passage + "\n" + words(90), 120: words(60) + " " + leak + " " + words(40) + " " + leak2, 121: words(60) + " " + leak}
+    rows |= {110: words(90) + " " + passage, 111: words(90) + "\n" + passage + "\n" + words(90), 120: words(60) + " " + leak + " " + words(40) + " " + leak2, 121: words(60) + " " + leak3, 122: words(60) + " " + " ".join(leak2.split()[:12])}
     schema = "doc_id long, text string, lang string, source string, n_chars long, component_id long, spans string"
     docs = spark.createDataFrame([(i, t, None, "x", None if t is None else len(t), 1, "y") for i, t in rows.items()], schema)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(0, leak), (1, leak2)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, leak), (1, leak2), (2, leak3)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "substrings", "decontamination", "packing"]
     now, seen = docs, []
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -36,7 +36,8 @@ def test_stages(spark, tmp_path):
     every = set(rows)
     assert seen[0] == every - {102, 103, 104}
     assert seen[1] == seen[0] - {100, 101}
-    assert seen[3] == seen[2] - {120}
+    # one window of one item is enough to go
+    assert seen[3] == seen[2] - {120, 121, 122}
     total = sum(r.length for r in now.collect())
     assert now.select("sequence_id").distinct().count() <= -(-total // 2048) + 1
     again = corpus_pipeline.run(spark, str(tmp_path))
