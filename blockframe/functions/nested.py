@@ -30,14 +30,36 @@ def steps(text: str) -> list[int | str]:
 
 
 def from_json_text(v, path: list[int | str]):
-    """The value at a path of a JSON text, in which Python's words for true, false and null may stand; null where there is none."""
-    if any(isinstance(s, int) and s < 0 for s in path):
-        raise PlanError("a JSON path counts from the front")
-    where = "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in path)
+    """The value at a path of a JSON text, in which Python's words for true, false and null may stand; null where there is none.
+    A negative number counts from an array's end. A text may also have comments, unquoted keys and commas before a closing bracket, as JSON5 has."""
     text = v
     for python, js in (("True", "true"), ("False", "false"), ("None", "null")):
         text = F.regexp_replace(text, rf":\s*{python}\b", f": {js}")
-    return F.get_json_object(text, where)
+    return F.coalesce(at_path(text, path), at_path(plain_json(text), path))
+
+
+#: a text in quotes, or what stands outside of texts
+_QUOTED = r"""("(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+')"""
+
+
+def plain_json(text):
+    """JSON of a text with comments, unquoted keys and trailing commas; what is in quotes is left alone."""
+    text = F.regexp_replace(text, _QUOTED + r"|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/", "$1")
+    text = F.regexp_replace(text, _QUOTED + r"|,(?=\s*+[}\]])", "$1")
+    # texts get two marks, keys one on either side: two marks vanish, and one is a quotation mark
+    text = F.regexp_replace(text, _QUOTED + r"|([\p{L}_$][\p{L}\p{N}_$]*+)(?=\s*+:)", "$1\u0001$2\u0001")
+    return F.replace(F.replace(text, F.lit("\u0001\u0001"), F.lit("")), F.lit("\u0001"), F.lit('"'))
+
+
+def at_path(text, path: list[int | str]):
+    back = next((i for i, s in enumerate(path) if isinstance(s, int) and s < 0), len(path))
+    where = "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in path[:back])
+    found = F.get_json_object(text, where) if back else text
+    if back == len(path):
+        return found
+    place = F.json_array_length(found) + F.lit(path[back])
+    one = F.when(place >= 0, F.call_function("get_json_object", found, F.concat(F.lit("$["), place.cast("string"), F.lit("]"))))
+    return at_path(one, path[back + 1 :]) if back + 1 < len(path) else one
 
 
 def element(v, kind: T.DataType, path: list[int | str]):
