@@ -125,6 +125,13 @@ def _week_sql(aggregate: str, fill: str, double: bool = False) -> str:
 _B, _S = "SELECT * FROM b", "SELECT * FROM s"
 _FIRST = "SELECT sc.k, sc.t, (year(first_order) - 1970) * 12 + month(first_order) AS v FROM scaffold sc JOIN cust USING (k)"
 
+#: three natural classes by trying every pair of cuts; with fewer than three distinct values each is its own class
+_CLUSTER_SQL = _frame_sql("SELECT k, t, coalesce(CASE WHEN v <= e1 THEN e1 WHEN v <= e2 THEN e2 ELSE e3 END, v)::int AS v FROM b LEFT JOIN best ON true", "-1").replace(
+    ", f AS", """, p AS (SELECT 0 AS i, NULL::double AS v, 0.0::double AS w, 0.0::double AS wx, 0.0::double AS wxx UNION ALL
+SELECT row_number() OVER o, v::double, (sum(n) OVER o)::double, (sum(n * v) OVER o)::double, (sum(n * v * v) OVER o)::double FROM (SELECT v, count(*) AS n FROM b GROUP BY v) WINDOW o AS (ORDER BY v)),
+cost AS (SELECT x.i AS i, y.i AS j, y.v AS edge, (y.wxx - x.wxx) - (y.wx - x.wx) ** 2 / (y.w - x.w) AS c FROM p x JOIN p y ON x.i < y.i),
+best AS (SELECT a.edge AS e1, m.edge AS e2, z.edge AS e3 FROM cost a JOIN cost m ON a.i = 0 AND a.j = m.i JOIN cost z ON m.j = z.i AND z.j = (SELECT max(i) FROM p) ORDER BY a.c + m.c + z.c LIMIT 1), f AS""", 1)
+
 #: name: (query, SQL or None)
 CASES: dict[str, tuple[Callable, str | None]] = {
     "readme_time_since_seen": (
@@ -183,7 +190,7 @@ CASES: dict[str, tuple[Callable, str | None]] = {
     "fn_last": (_months(f"LAST({STATUS})"), _grid_sql("SELECT * FROM st", f"last_value(CASE WHEN v <> '' THEN v END IGNORE NULLS) {_ROWS}", "'0'")),
     "fn_last_before": (_months(f"LAST_BEFORE({STATUS})"), _grid_sql("SELECT * FROM st", f"last_value(CASE WHEN v <> '' THEN v END IGNORE NULLS) {_BEFORE}", "'0'")),
     "fn_round_float": (_months(f"ROUND_FLOAT({S},0)"), _frame_sql("SELECT k, t, round_even(v, 0)::int AS v FROM s", "-1")),
-    "fn_round_cluster": (_months(f"ROUND_CLUSTER({B},3)"), None),
+    "fn_round_cluster": (_months(f"ROUND_CLUSTER({B},3)"), _CLUSTER_SQL),
     "fn_round_cluster_compat": (_months(f'ROUND_CLUSTER({B},3,"compat")'), _frame_sql("SELECT k, t, v::int AS v FROM b", "-1")),
     "fn_email_domain": (_months("EMAIL_DOMAIN(customer.email)"), _row_sql("lower(c_mktsegment) || '.example.com'")),
     "fn_domain_ext": (_months("DOMAIN_EXT(EMAIL_DOMAIN(customer.email))"), _row_sql("'example.com'")),
