@@ -66,7 +66,3 @@ def shown(value: Column, block: str) -> Column:
     """A block's text: its month, or its Sunday."""
     d = as_date(value, T.IntegerType(), block)
     return F.date_format(d, "yyyy-MM" if block == "month" else "yyyy-MM-dd")
-
-
-def next_sunday(d: date) -> date:
-    return d + timedelta((6 - d.weekday()) % 7)

@@ -1,5 +1,5 @@
-"""Tables to assemble from, and the results' way out."""
+"""Tables to assemble from."""
 
-from .tables import load, mock_features, write_features
+from .tables import load
 
-__all__ = ["load", "mock_features", "write_features"]
+__all__ = ["load"]

@@ -1,26 +1,10 @@
-"""Reading tables and writing results."""
+"""Reading tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def load(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
     """{name: DataFrame} of the folder's Parquet tables, as assemble() takes them."""
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
-
-
-def write_features(features: DataFrame, path: str, partition_by: str | None = "__dcount__") -> None:
-    """A result as Parquet, by time block, so that later reads of some blocks skip the others."""
-    writer = features.write.mode("overwrite")
-    if partition_by:
-        # a block's rows in several tasks, so that no one writes a block alone
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-
-
-def mock_features(scaffold: DataFrame, names: list[str], value: int = 54321) -> DataFrame:
-    """Every feature a constant."""
-    return scaffold.select(*(F.lit(value).cast(T.IntegerType()).alias(n) for n in names), "*")
