@@ -26,7 +26,8 @@ def assemble(
     mock: bool = False,
     now: object = None,
     genders: DataFrame | None = None,
-    check_keys: bool = False,
+    check_keys: bool | None = None,
+    check_blocks: bool = False,
     display: bool = True,
 ) -> DataFrame:
     """One row per entity and time block, one column per feature, named by its text without white space.
@@ -34,7 +35,11 @@ def assemble(
     table_configs: {table: {'key': column or columns, 'pointers': {column: 'table.column'} or None,
     'date_key': column of a live table, 'order_by': columns, for LATEST}}.
     output_config: {entity: 'table.column', date_field: [Sunday, Sunday]}.
-    The result is lazy. check_keys runs a job per table that raises on keys that repeat.
+    The result is lazy; only ROUND_CLUSTER, ACC and TSINCESEEN read something when they are planned.
+    By default a query fails when it runs if keys repeat in a table that it points to or whose own
+    rows it takes; check_keys=True runs a job per table that raises at once, and False looks at no keys
+    (rows that repeat are then joined as they are, and in sequences the largest values of a block count).
+    check_blocks runs a job that warns of the range's blocks that the live table lacks.
     With display, dates are texts (a month, or a week's Sunday) and __dcount__ repeats them;
     else the date field holds the blocks' numbers."""
     if block_type not in calendar.BLOCKS:
@@ -54,6 +59,8 @@ def assemble(
             graph.edges.append(_edge(name, column, target))
     trees = lang.parse_all(features)
     output = _scaffold(graph, output_config, block_type)
+    if check_blocks:
+        _warn_of_missing(output, next(v for v in output_config.values() if isinstance(v, (list, tuple))), block_type)
     names = [t.name for t in trees]
     taken = set(names) & {*output.key, output.date, "__dcount__"}
     if taken:
@@ -61,7 +68,7 @@ def assemble(
     if mock:
         df = output.df.select(*(F.lit(MOCK).alias(n) for n in names), col(output.date), *(col(k) for k in output.key))
         return _shown(df, output, block_type) if display else df
-    planner = Planner(graph, block_type, output, now, genders)
+    planner = Planner(graph, block_type, output, now, genders, check_keys is None)
     rows = [planner.row(output, planner.value(output, t)) for t in trees]
     df = planner.built(output, merged(*(r.joins for r in rows)))
     df = df.select(*(r.make().alias(n) for r, n in zip(rows, names)), col(output.date), *(col(k) for k in output.key))
@@ -112,5 +119,13 @@ def _scaffold(graph: Graph, config: dict[str, object], block: str) -> Table:
     return output
 
 
+def _warn_of_missing(output: Table, between: list | tuple, block: str) -> None:
+    wanted = calendar.blocks_between(between, block)
+    have = {r[0] for r in output.df.select(col(output.date)).distinct().collect()}  # at most the range's blocks
+    missing = [b for b in wanted if b not in have]
+    if missing:
+        warnings.warn(f"{len(missing)} of {len(wanted)} blocks are not in the live table: {', '.join(map(str, missing[:10]))}{' ...' if len(missing) > 10 else ''}", stacklevel=3)
+
+
 def _shown(df: DataFrame, output: Table, block: str) -> DataFrame:
     return df.withColumn(output.date, calendar.shown(col(output.date), block)).withColumn("__dcount__", col(output.date))

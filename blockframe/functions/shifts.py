@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.grid import by_block
 from ..operators.ranks import percent_ranks
 from ..plans.model import Derived, Frame, PlanError, col
 from ..plans.planner import derived, function
@@ -70,7 +71,8 @@ def acc(p, table, tree):
             return df.limit(0)
         n, last = len(dates), dates[-1]
         others = [c for c in keys if c != date]
-        cells = df.where(col(date).isNotNull()).groupBy(*(col(c) for c in others)).agg(F.map_from_entries(F.collect_list(F.struct(col(date).cast("int").alias("t"), col(v).cast(kind).alias("v")))).alias("__cells"))
+        own = df.where(col(date).isNotNull()).select(*(col(c) for c in others), col(date).cast("int").alias("__t"), col(v).cast(kind).alias("__v"))
+        cells = own.groupBy(*(col(c) for c in others)).agg(by_block("__t", "__v", kind).alias("__cells"))
         own = F.map_keys("__cells")
         start = F.array_min(own)
         # an entity's own blocks, and all from its first to the result's last

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +71,16 @@ class Aggregation(Source):
         return df.groupBy(*(col(g.name) for g in self.groups)).agg(*(make().alias(name) for name, make in self.outputs.values()))
 
 
+def once(df: DataFrame, keys: list[str], table: str) -> DataFrame:
+    """Rows without null keys; the query fails where a key repeats. They are left parted and sorted by the keys, as a join on them needs."""
+    for k in keys:
+        df = df.where(col(k).isNotNull())
+    times = fresh("n")
+    repeated = F.raise_error(F.concat(F.lit(f"keys of table {table} repeat: "), F.concat_ws(", ", *(col(k).cast("string") for k in keys))))
+    counted = df.withColumn(times, F.count(F.lit(1)).over(Window.partitionBy(*(col(k) for k in keys))))
+    return counted.where(F.when(col(times) > 1, repeated.cast("boolean")).otherwise(F.lit(True))).drop(times)
+
+
 class Rows(Source):
     """The current table's own rows as a sparse source: values by the table's key and date."""
 
@@ -85,7 +95,8 @@ class Rows(Source):
     def build(self) -> DataFrame:
         rows = self.values.values()
         df = self.planner.built(self.table, merged(*(r.joins for _, r in rows)))
-        return df.select(*(col(p) for p in self.pivots), *(r.make().alias(n) for n, r in rows))
+        df = df.select(*(col(p) for p in self.pivots), *(r.make().alias(n) for n, r in rows))
+        return once(df, self.pivots, self.table.name) if self.planner.unique else df
 
 
 @dataclass
@@ -97,6 +108,8 @@ class Planner:
     now: object = None
     #: name -> gender, a DataFrame of (name, gender), for PEOPLE_GENDER
     genders: DataFrame | None = None
+    #: whether a query fails that meets a key twice
+    unique: bool = True
     sources: dict[tuple, Source] = field(default_factory=dict)
     memo: dict[tuple[str, str], Row | Frame] = field(default_factory=dict)
     lookups: dict[int, DataFrame] = field(default_factory=dict)
@@ -235,6 +248,8 @@ class Planner:
         key, date = fresh("k"), fresh("k")
         right = self.built(target, merged(*(r.joins for r in values.values())))
         right = right.select(col(edge.to_column).alias(key), *([col(target.date).alias(date)] if target.date else []), *(r.make().alias(n) for n, r in values.items()))
+        if self.unique:
+            right = once(right, [key, *([date] if target.date else [])], target.name)
         on = col(edge.column) == col(key)
         if target.date:
             on = on & (col(table.date) == col(date))

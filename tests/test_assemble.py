@@ -34,6 +34,7 @@ def run(spark, features, values, blocks, last="1999-12-05", **options):
 X = "Fact.LATEST(amount|customer,DATE(at))"
 
 
+# the golden cases' numbers and truth values are fixed values
 def test_window_sum_golden(spark):
     given = [None, 1, 3, 0, 0, None, None, 1, None, None, 2, 3, -2, 0, 0, 0]
     expected = [None, 1, 4, 3, 0, 0, None, 1, 1, None, 2, 5, 1, -2, 0, 0]
@@ -42,12 +43,18 @@ def test_window_sum_golden(spark):
     assert [got[7, FIRST + i][0] for i in range(16)] == [v or 0 for v in expected]
 
 
-@pytest.mark.parametrize("n, expected", [(2, "TFFFTTFTTTTFFFF"), (3, "TFFTTTTTTTTFFFF")])
+@pytest.mark.parametrize(
+    "n, expected",
+    [
+        (2, [True, False, False, False, True, True, False, True, True, True, True, False, False, False, False]),
+        (3, [True, False, False, True, True, True, True, True, True, True, True, False, False, False, False]),
+    ],
+)
 def test_future_within_golden(spark, n, expected):
     given = [1, 3, 0, 0, 0, 0, 1, None, None, 2, 3, -2, 0, 0, 0]
     values = {(7, FIRST + i): float(v) for i, v in enumerate(given) if v is not None}
     got = run(spark, [f"FUTURE_WITHIN({X},{n})"], values, [FIRST + i for i in range(15)])
-    assert "".join("FT"[got[7, FIRST + i][0]] for i in range(15)) == expected
+    assert [got[7, FIRST + i][0] for i in range(15)] == expected
 
 
 def model(values, blocks, entities):
@@ -151,6 +158,56 @@ def test_errors(spark):
         assemble([X], {"customer": data["customer"]}, config, out)
 
 
+def test_repeated_keys(spark):
+    """A key that repeats fails the query that meets it; unchecked, rows are joined as they are and the last of a block counts in sequences."""
+    data, config = tables(spark, {(1, FIRST): 2.0, (2, FIRST): 3.0}, [FIRST, FIRST + 1])
+    live = data["customer"].withColumn("score", F.lit(5.0))
+    data["customer"] = live.union(spark.createDataFrame([(1, FIRST, 7.0), (None, FIRST, 1.0), (None, FIRST, 2.0)], live.schema))
+    out = {"customer": "customer.id", "block": ["1995-01-01", "1999-12-05"]}
+    for feature in ("customer.score", "TIME_SINCE_SEEN(customer.score)", "ACCUMULATE(Customer.score)", "ACC(Customer.score)"):
+        with pytest.raises(Exception, match="repeat"):
+            assemble([feature], data, config, out, display=False).collect()
+    # rows that no value asks for are not looked at
+    assert assemble([X], data, config, out, display=False).count() == 4
+    rows = assemble(["customer.score"], data, config, out, display=False, check_keys=False).collect()
+    assert sorted((r["customer"], r["block"], r[0]) for r in rows) == [(1, FIRST, 5.0), (1, FIRST, 7.0), (1, FIRST + 1, 5.0), (2, FIRST, 5.0), (2, FIRST + 1, 5.0)]
+    for feature, want in (("ACCUMULATE(Customer.score)", [7.0, 12.0, 5.0, 10.0]), ("LAST(Customer.score)", [7.0, 5.0, 5.0, 5.0]), ("ACC(Customer.score)", [7.0, 5.0, 5.0, 5.0])):
+        rows = assemble([feature], data, config, out, display=False, check_keys=False).collect()
+        assert [r[0] for r in sorted(rows, key=lambda r: (r["customer"], r["block"]))] == want, feature
+
+
+def test_missing_blocks_are_told(spark):
+    data, config = tables(spark, {(1, FIRST): 2.0}, [FIRST, FIRST + 2])
+    out = {"customer": "customer.id", "block": ["1995-01-01", "1995-03-05"]}
+    with pytest.warns(UserWarning, match="1 of 3 blocks"):
+        assemble([X], data, config, out, check_blocks=True)
+
+
+def test_rank_of_values_near_one_level(spark):
+    values = {(k, FIRST): 1.7e9 + (k * 37 % 500) for k in range(500)}
+    got = run(spark, [f"RANK({X})"], values, [FIRST])
+    for (k, _), v in values.items():
+        assert math.isclose(got[k, FIRST][0], (v - 1.7e9 + 1) / 500, abs_tol=1e-9)
+
+
+def test_json_texts(spark):
+    from blockframe.functions.nested import from_json_text
+
+    texts = [
+        '{"a": [1, 2, {"b": "x, y: z // no comment"}], "c": "d"}',
+        "{a: [1, 2, {b: 'x, y: z // no comment',},], /* c: */ c: \"d\", // the end\n}",
+        '{"a": []}',
+        "no json",
+        None,
+        '{"a": [1, 2, {"b": "' + "long " * 20000 + '"}], c: 1,}',
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    at = lambda *path: [r[0] for r in df.select(from_json_text(F.col("t"), list(path))).collect()]
+    assert at("a", 2, "b") == at("a", -1, "b") == ["x, y: z // no comment", "x, y: z // no comment", None, None, None, "long " * 20000]
+    assert at("a", -3) == ["1", "1", None, None, None, "1"] and at("a", -4) == [None] * 6
+    assert at("c") == ["d", "d", None, None, None, "1"]
+
+
 def test_caller_keeps_tables_and_mock(spark):
     data, config = tables(spark, {(0, FIRST): 1.0}, [FIRST])
     before = dict(data)
