@@ -2,27 +2,39 @@
 
 Public vocabularies are run over the words of each text. Measured are characters
 per token under both vocabularies, the share of byte-fallback tokens, and the
-entropy of the token distribution in bits. Each language, or where it is not told each
-script, has rejection bands for the four figures; a text outside one of its bands is
-rejected.
+entropy of the token distribution in bits. Each language in each script has rejection
+bands for the four figures; a text outside one of its bands is rejected.
+
+The bands come from the corpus itself: over all texts within the base rules and the
+outer bounds, the median of a figure and its quartiles, taken exactly from counts of its thousandths; the
+band reaches WIDE robust standard deviations (the quartiles' distance over 1.349, at
+least FLOOR of the median) to either side. Outer bounds per script, which are fixed, hold
+besides. One pass over the texts measures; its result is a table in the shared folder,
+from which the counts and then the verdicts are read.
 
 Cases: null and empty texts have no words, zero counts, null measures, and fail the
 base rules. Texts of any length are read whole. Repeated rows each give a row. A text
-without letters takes the bands of `other`. Texts in a language without bands, of null
-language, or in another script than their language's take the bands of their script.
+without letters takes the bands of `other`. A language in a script with fewer texts than
+LEAST, or than a thousandth of all, has no bands of its own, and neither has a null one:
+they take those of all texts in the script, and where these are too few as well, the
+outer bounds alone.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import SPACE, Memo, Words, ragged, ship, slices, sums, table, vocabulary_path
+from .common import SPACE, Memo, Words, ragged, ship, slices, sums, table, vocabulary_path, written
 
 
 @dataclass(frozen=True)
@@ -35,7 +47,7 @@ class Band:
     entropy: tuple[float, float] = (2.5, 16.0)
 
 
-#: Bands per script and language. Alphabets give several characters a token; scripts that the vocabularies hardly know fall back to bytes and give below one.
+#: Outer bounds per script. Alphabets give several characters a token; scripts that the vocabularies hardly know fall back to bytes and give below one.
 BANDS = {
     "latin": Band((1.5, 12.0), (1.5, 12.0), 0.10, (4.0, 16.0)),
     "cyrillic": Band((1.0, 12.0), (0.4, 12.0), 0.15, (3.0, 16.0)),
@@ -43,12 +55,12 @@ BANDS = {
     "arabic": Band((0.6, 12.0), (0.4, 12.0), 0.60, (3.0, 16.0)),
     "han": Band((0.25, 4.0), (0.25, 4.0), 0.85, (3.0, 16.0)),
     "other": Band((0.25, 12.0), (0.25, 12.0), 0.95, (2.5, 16.0)),
-    # languages, all of Latin script: lower edges are the 0.5 percent quantiles of clean documents (see README)
-    "en": Band((2.093, 12.0), (2.131, 12.0), 0.10, (5.772, 16.0)),
-    "de": Band((2.077, 12.0), (1.903, 12.0), 0.10, (5.804, 16.0)),
-    "fr": Band((1.766, 12.0), (1.76, 12.0), 0.10, (5.756, 16.0)),
-    "es": Band((1.804, 12.0), (1.672, 12.0), 0.10, (5.808, 16.0)),
 }
+#: robust standard deviations to either side of the median, the least such deviation as a share of the median, and texts that a language or script needs
+WIDE, FLOOR, LEAST = 4.0, 0.015, 200
+MEASURES = ("piece_chars", "byte_chars", "fallback_share", "entropy_bits")
+#: fallback below this share is never too much
+FALLBACK = 0.05
 SCRIPTS = ("latin", "cyrillic", "greek", "arabic", "han", "other")
 #: Script of a letter by its first UTF-8 byte; 255 where the byte starts no letter.
 LEAD = np.full(256, 255, np.uint8)
@@ -127,8 +139,8 @@ def duplicate_lines(texts: pa.Array) -> np.ndarray:
     return n - np.bincount(distinct // (int(code.max(initial=0)) + 1), minlength=len(texts))
 
 
-def measure(texts: pa.Array, folder: str | None = None, bands: dict[str, Band] = BANDS, langs: pa.Array | None = None) -> dict[str, np.ndarray]:
-    """Counts, measures and verdicts of a batch of texts, whose languages may be told."""
+def measure(texts: pa.Array, folder: str | None = None, bands: dict[str, Band] = BANDS) -> dict[str, np.ndarray]:
+    """Counts, measures and verdicts by the outer bounds of a batch of texts."""
     w = Words(texts)
     codes, vocab = w.coded()
     n = np.diff(w.first)
@@ -160,9 +172,8 @@ def measure(texts: pa.Array, folder: str | None = None, bands: dict[str, Band] =
     with np.errstate(divide="ignore", invalid="ignore"):
         out |= {"n_repeat_words": repeat, "piece_chars": out["word_chars"] / tokens, "byte_chars": out["word_chars"] / byte_tokens, "fallback_share": fallback, "entropy_bits": entropy}
     out["base_failed"] = (n < 50) | (100 * repeat > 50 * n)
-    told = [None] * len(n) if langs is None else langs.to_pylist()
-    own = [bands[k if s == "latin" and k in bands else s] for k, s in zip(told, (SCRIPTS[k] for k in script))]
-    edge = np.array([(*b.piece_chars, *b.byte_chars, b.max_fallback, *b.entropy) for b in own]).reshape(-1, 7).T
+    every = [bands[k] for k in SCRIPTS]
+    edge = np.array([(*b.piece_chars, *b.byte_chars, b.max_fallback, *b.entropy) for b in every])[script].T
     fits = (out["piece_chars"] >= edge[0]) & (out["piece_chars"] <= edge[1]) & (out["byte_chars"] >= edge[2]) & (out["byte_chars"] <= edge[3]) & (fallback <= edge[4]) & (entropy >= edge[5]) & (entropy <= edge[6])
     out["kept"] = ~out["base_failed"] & fits
     out["script"] = script
@@ -178,30 +189,69 @@ def _columns(ids: pa.Array, m: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def _langs(b: pa.RecordBatch) -> pa.Array | None:
-    return b.column("lang") if "lang" in b.schema.names else None
-
-
-def quality(docs: DataFrame, folder: str | None = None, bands: dict[str, Band] = BANDS) -> DataFrame:
-    """Counts, measures and verdict of every row: one narrow pass, no shuffle."""
+def edges(measured: DataFrame, wide: float = WIDE, floor: float = FLOOR, least: int = LEAST) -> DataFrame:
+    """script, lang (null: all languages) and `low`, `high` of the four measures, of groups with enough texts that `kept` so far.
+
+    A text counts at its own language and at null, in thousandths of each measure: what is shuffled and sorted is
+    one row for each group and thousandth that occur, partial sums having been taken before."""
+    sound = measured.where("kept")
+    enough = max(least, sound.count() // 1000)
+    each = sound.select("script", "lang", *MEASURES)
+    each = each.unionByName(each.where("lang IS NOT NULL").withColumn("lang", F.lit(None).cast("string")))
+    bins = each.select("script", "lang", F.posexplode(F.array(*(F.floor(F.col(c) * 1000).cast("long") for c in MEASURES))).alias("m", "bin"))
+    counts = bins.groupBy("script", "lang", "m", "bin").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy("script", "lang", "m")
+    ranked = counts.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) / 1000
+    found = ranked.groupBy("script", "lang", "m").agg(at(0.25).alias("a"), at(0.5).alias("mid"), at(0.75).alias("b"), F.first("total").alias("total"))
+    found = found.where(F.col("total") >= enough)
+    reach = wide * F.greatest((F.col("b") - F.col("a")) / 1.349, floor * F.col("mid"))
+    fallback = F.col("m") == MEASURES.index("fallback_share")
+    low = F.when(fallback, F.lit(0.0)).otherwise(F.col("mid") - reach)
+    high = F.when(fallback, F.greatest(F.col("mid") + reach, F.lit(FALLBACK))).otherwise(F.col("mid") + reach)
+    own = found.select("script", "lang", "m", low.alias("low"), high.alias("high"))
+    one = lambda c, k: F.max(F.when(F.col("m") == k, F.col(c)))
+    return own.groupBy("script", "lang").agg(F.array(*(one("low", k) for k in range(len(MEASURES)))).alias("low"), F.array(*(one("high", k) for k in range(len(MEASURES)))).alias("high"))
+
+
+def judged(measured: DataFrame, **bands: float) -> DataFrame:
+    """measured, with `kept` false for what lies outside the corpus's own bands as well."""
+    # a language or script with bands has a thousandth of all texts at least, so there are at most 1,000 of each
+    found = edges(measured, **bands)
+    of_lang = found.where("lang IS NOT NULL").select(F.col("script").alias("_s"), F.col("lang").alias("_l"), F.struct("low", "high").alias("_own"))
+    of_script = found.where("lang IS NULL").select(F.col("script").alias("_t"), F.struct("low", "high").alias("_all"))
+    joined = measured.join(F.broadcast(of_lang), (F.col("script") == F.col("_s")) & (F.col("lang") == F.col("_l")), "left").join(F.broadcast(of_script), F.col("script") == F.col("_t"), "left")
+    edge = F.coalesce("_own", "_all")
+    fits = [F.coalesce(F.col(c).between(edge["low"][k], edge["high"][k]), F.lit(True)) for k, c in enumerate(MEASURES)]
+    return joined.withColumn("kept", functools.reduce(operator.and_, fits, F.col("kept"))).drop("_s", "_l", "_own", "_t", "_all")
+
+
+def measures(docs: DataFrame, folder: str | None = None, bands: dict[str, Band] = BANDS, texts: bool = False) -> DataFrame:
+    """The counts and measures of every row and its language, in one narrow pass, as a table in the shared folder; with the row of docs itself (`doc`), if it passes the outer bounds."""
     ship(docs.sparkSession)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if texts else []))
+    schema = StructType([*StructType.fromDDL(SCHEMA), *(f for f in rows.schema if f.name in ("lang", "doc"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield _columns(b.column("doc_id"), measure(b.column("text"), folder, bands, _langs(b)))
+            out = _columns(b.column("doc_id"), measure(b.column("text"), folder, bands))
+            more = [c for c in b.schema.names if c in ("lang", "doc")]
+            out = pa.RecordBatch.from_arrays([*out.columns, *(b.column(c) for c in more)], [*out.schema.names, *more])
+            yield out.filter(out.column("kept")) if texts else out
 
-    return docs.select("doc_id", "text", *(c for c in docs.columns if c == "lang")).mapInArrow(run, SCHEMA)
+    return written(rows.mapInArrow(run, schema))
 
 
-def keep_quality(docs: DataFrame, folder: str | None = None, bands: dict[str, Band] = BANDS) -> DataFrame:
-    """The rows that the rules keep, with all their columns, in one narrow pass."""
-    ship(docs.sparkSession)
+def quality(docs: DataFrame, folder: str | None = None, bands: dict[str, Band] = BANDS, **wide: float) -> DataFrame:
+    """Counts, measures and verdict of every row: texts are read once, and only counts of measures are shuffled."""
+    return judged(measures(docs, folder, bands), **wide).drop("lang")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield b.filter(pa.array(measure(b.column("text"), folder, bands, _langs(b))["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+def keep_quality(docs: DataFrame, folder: str | None = None, bands: dict[str, Band] = BANDS, **wide: float) -> DataFrame:
+    """The rows that the rules keep, with all their columns."""
+    # what fails the base rules or the outer bounds takes no part in the bands, and is not written
+    return judged(measures(docs, folder, bands, texts=True), **wide).where("kept").select("doc.*")
 
 
 def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
