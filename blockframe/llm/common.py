@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -25,8 +27,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-#: Python workers hold little: freed memory goes back to the system, and one thread computes
-WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "TOKENIZERS_PARALLELISM": "false"}
+#: Python workers hold little: large freed arrays go back to the system (smaller ones don't, as fetching their pages anew costs a third of the time), and one thread computes
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "33554432", "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "TOKENIZERS_PARALLELISM": "false"}
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,9 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; a local one only where it is unset."""
+    """A new path in the shared folder that spark.checkpoint.dir names; a local one only where it is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         base = f"file://{tempfile.mkdtemp(prefix='blockframe-')}"
@@ -54,11 +58,40 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/blockframe-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within leave no shuffle files: these go as soon as a table is complete, not when the driver happens to collect its plan."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts lineage: df as a Parquet table in the shared folder, so a lost executor costs no recomputation."""
     path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[id(out)] = path
+    weakref.finalize(out, _written.pop, id(out), None)
+    return out
+
+
+#: paths of tables that written() has made
+_written: dict[int, str] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that written() made and nothing will read again."""
+    path = _written.get(id(df))
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
@@ -139,6 +172,12 @@ def ragged(index: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(offsets[index] - out[:-1], lengths) + np.arange(out[-1]), out
 
 
+def starts(values: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The distinct values of a sorted array, and where the run of each begins, with the end."""
+    cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[cut], [*cut.tolist(), len(values)]
+
+
 class Memo:
     """Ids of words by an encoder that is run once for each word that it has not met lately.
 
@@ -184,6 +223,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             i = j
 
 
+def hot_join(big: DataFrame, small: DataFrame, key: str, rows: int) -> DataFrame:
+    """big (of so many rows) with small's columns, where their key is equal. small has a key once, with `n`: in how many rows of big it is, at most.
+
+    Keys that more than a thousandth of big's rows have are sent to all tasks, so that none gathers the rows of one;
+    there are at most 1,000 of them. The others meet by a join on the key."""
+    most = max(100, rows // 1000)
+    hot, cold = F.broadcast(small.where(F.col("n") > most).drop("n")), small.where(F.col("n") <= most).drop("n")
+    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def packed(b: pa.RecordBatch) -> bytes:
     """A batch as one compressed value, for moving many small rows as one."""
     sink = pa.BufferOutputStream()
@@ -197,14 +246,6 @@ def unpacked(data: bytes) -> pa.RecordBatch:
         return f.read_next_batch()
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are done with: it does so when their objects are collected."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def vocabulary_path(name: str, folder: str | None = None) -> str:
     """A public vocabulary file, in `folder` or where the installed vocabulary package has it."""
     if folder:

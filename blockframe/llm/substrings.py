@@ -3,18 +3,19 @@
 A passage is a duplicate if the `n` words of some window in it also start in a document
 with a smaller id. To bring equal windows to one shard without sending every text to every
 shard, each window is named by its minimiser, the smallest hash among its word 5-grams:
-equal windows have equal minimisers. One pass counts minimisers over all documents (each
-once per document, in arrays packed by hash bucket); only windows whose minimiser occurs in
-two documents can be duplicates. Runs of such windows with one minimiser go to its shard,
-packed and compressed. A minimiser in more than `hot` documents is split further: each batch
-of documents sends its distinct windows, with their smallest document id, to the shard of
-their own content, and gets their verdicts back, so no passage, however common, gathers in
-one task.
+equal windows have equal minimisers. Documents are first written as compressed blocks. Every
+block then sends each of its distinct minimisers once, with the smallest and the largest
+document id that have it and their number, packed by hash bucket, and learns which ones
+documents with other ids have too: only their windows can be duplicates. Runs of such
+windows with one minimiser go to its shard, packed and compressed. A minimiser in more than
+`hot` documents is split further: each block sends its distinct windows once, with their
+smallest document id, to the shard of their own content, and learns the smallest of all.
+So no passage, however common, gathers more than one entry of each block in a task.
 
 Each shard indexes its distinct runs and streams them through the index: matching
 statistics by backward search over the wavelet matrix give, at every word, the longest match
 ending there, and where it reaches n words the interval of places, whose smallest document
-id decides for every occurrence; and every document learns its covered words.
+id decides for every occurrence; and every block learns the covered words of its documents.
 
 Cases: null and empty texts have no words; a null id is larger than any other and equal to
 none; rows that repeat an id do not remove each other's words. Texts are read whole.
@@ -23,7 +24,7 @@ none; rows that repeat an id do not remove each other's words. Texts are read wh
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, packed, ragged, release, ship, slices, table, text_bytes, unpacked, written
+from .common import Words, discard, packed, ragged, ship, slices, starts, table, unpacked, written
 from .fmindex import FMIndex
 
 N_WORDS, GRAM, HOT = 13, 5, 500
@@ -95,153 +96,158 @@ def minimisers(w: Words, n: int = N_WORDS, gram: int = GRAM) -> tuple[np.ndarray
     return start, low[start]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id (null: the last), text, and a key of both, by which a row is known in all passes."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
+def _blocks(docs: DataFrame) -> DataFrame:
+    """block, size, data: the rows of docs (with doc_id and text) packed by some MB of text, as a table in the shared folder."""
+    ship(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 24
+        for number, b in enumerate(slices(batches), part):
+            size = int(pc.sum(pc.binary_length(b.column("text"))).as_py() or 0)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([packed(b)], pa.binary())], ["block", "size", "data"])
 
-def _replies(batch: np.ndarray, **columns: np.ndarray) -> pa.Table:
-    """batch, data: rows about documents, packed for the batch that asked for them."""
-    order = np.argsort(batch, kind="stable")
-    cut = np.append(np.flatnonzero(np.diff(batch[order], prepend=-1)), len(order))
-    rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
-    data = [packed(rows.take(pa.array(order[i:j]))) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
-    return pa.table({"batch": pa.array(batch[order][cut[:-1]], pa.int64()), "data": pa.array(data, pa.binary())})
+    return written(docs.mapInArrow(run, "block long, size long, data binary"))
 
 
-def _by_document(replies: DataFrame, names: list[str], split: Callable[[pa.Table], tuple]) -> DataFrame:
-    """key and some packed arrays per document, from replies (batch, data). Rows with one key get equal replies, of which one is kept."""
+def _ids(b: pa.RecordBatch) -> np.ndarray:
+    """Document ids of a block's rows; a null one is the last."""
+    return b.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for parts in b.column("data"):
-                rows = pa.Table.from_batches([unpacked(x) for x in parts.as_py()])
-                key, *arrays = split(rows)
-                order = np.argsort(key, kind="stable")
-                cut = np.append(np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])), len(key)).tolist() if len(key) else [0]
-                spans = list(zip(cut[:-1], cut[1:]))
-                cols = []
-                for values, mask in arrays:
-                    values, mask = values[order], mask[order]
-                    cols.append(pa.array([values[i:j][mask[i:j]].tobytes() for i, j in spans], pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(key[order][cut[:-1]], pa.int64()), *cols], ["key", *names])
-
-    # a batch's replies are as many as its words at most
-    gathered = replies.groupBy("batch").agg(F.collect_list("data").alias("data")).select("data")
-    return gathered.mapInArrow(run, ", ".join(["key long", *(f"{c} binary" for c in names)])).groupBy("key").agg(*(F.max(c).alias(c) for c in names))
-
-
-def shared_minimisers(docs: DataFrame, buckets: int, n: int = N_WORDS, hot: int = HOT) -> DataFrame:
-    """key, shared, hot: per document the minimisers (packed longs) that other documents have too, those of over `hot` documents apart."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 24
-        for number, b in enumerate(slices(batches), part):
-            w = Words(b.column("text"))
-            start, low = minimisers(w, n)
-            doc = np.searchsorted(w.first, start, "right") - 1
-            new = np.ones(len(low), bool)
-            new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-            low, key = low[new], b.column("key").to_numpy()[doc[new]]
-            bucket = (mix(low) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(cut))
-            data = [np.stack([key[o], low[o].view(np.int64)]).tobytes() for o in (order[cut[i] : cut[i + 1]] for i in some.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array(data, pa.binary())], ["bucket", "batch", "data"])
+def _replies(block: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """block, told: rows about a block's documents, packed for the block that asked for them."""
+    order = np.argsort(block, kind="stable")
+    own, cut = starts(block[order])
+    rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+    data = [packed(rows.take(pa.array(order[i:j]))) for i, j in zip(cut[:-1], cut[1:])]
+    return pa.table({"block": pa.array(own, pa.int64()), "told": pa.array(data, pa.binary())})
 
-    def meet(key, group):
-        parts = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in group.column("data")]
-        keys, low = np.concatenate(parts, axis=1)
-        batch = np.repeat(group.column("batch").to_numpy(), [p.shape[1] for p in parts])
-        order = np.lexsort((keys, low))
-        keys, low, batch = keys[order], low[order], batch[order]
-        other = np.ones(len(low), bool)
-        other[1:] = low[1:] != low[:-1]
-        begin = np.flatnonzero(other)
-        new = other.copy()
-        new[1:] |= keys[1:] != keys[:-1]
-        count = np.repeat(np.add.reduceat(new.astype(np.int64), begin), np.diff(np.append(begin, len(low))))
-        some = np.flatnonzero(count > 1)
-        return _replies(batch[some], key=keys[some], low=low[some], hot=count[some] > hot)
 
-    def split(rows: pa.Table) -> tuple:
-        key, low, often = rows.column("key").to_numpy(), rows.column("low").to_numpy(), rows.column("hot").to_numpy()
-        order = np.lexsort((low, key))
-        key, low, often = key[order], low[order], often[order]
-        return key, (low, ~often), (low, often)
+def _gathered(replies: DataFrame) -> DataFrame:
+    """block and all that it is told, of which there is no more than it has words."""
+    return replies.groupBy("block").agg(F.collect_list("told").alias("told"))
 
-    sent = docs.select("text", "key").mapInArrow(deal, "bucket long, batch long, data binary")
-    return _by_document(sent.groupBy("bucket").applyInArrow(meet, "batch long, data binary"), ["shared", "hot"], split)
 
+def _told(told: pa.Scalar) -> pa.Table:
+    return pa.Table.from_batches([unpacked(x) for x in told.as_py()])
 
-RUNS = "kind int, batch long, shard long, data binary, content binary, high long, low long, doc_id long, times long, nth int"
 
+def shared_minimisers(blocks: DataFrame, buckets: int, n: int = N_WORDS, hot: int = HOT) -> DataFrame:
+    """block, told (low, hot): the minimisers of a block that documents with different ids have, and whether more than `hot` do."""
 
-def runs(docs: DataFrame, lists: DataFrame, shards: int, n: int = N_WORDS) -> DataFrame:
-    """Candidate windows. kind 0: for a shard, what a batch of documents sends there: runs (content, words joined by a space) and where they occur.
-    kind 1: a batch's nth distinct window of hot minimisers, with the 128-bit hash of its content, its smallest document and how often the batch has it.
-    kind 2: where a batch has those windows."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in batches:
+            for number, blob in zip(blobs.column("block").to_pylist(), blobs.column("data")):
+                b = unpacked(blob.as_py())
+                w, ids = Words(b.column("text")), _ids(b)
+                start, low = minimisers(w, n)
+                doc = np.searchsorted(w.first, start, "right") - 1
+                new = np.ones(len(low), bool)
+                new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+                low, doc = low[new], ids[doc[new]]
+                order = np.argsort(low, kind="stable")
+                low, cut = starts(low[order])
+                if not len(low):
+                    continue
+                doc = doc[order]
+                least, most, count = np.minimum.reduceat(doc, cut[:-1]), np.maximum.reduceat(doc, cut[:-1]), np.diff(cut)
+                bucket = (mix(low) % np.uint64(buckets)).astype(np.int64)
+                # most minimisers are in one document: they need no second id and number
+                order = np.lexsort((count > 1, bucket))
+                some, cut = starts(bucket[order])
+                data, more = [], []
+                for i, j in zip(cut[:-1], cut[1:]):
+                    own = order[i:j]
+                    many = own[count[own] > 1]
+                    data.append(np.stack([low[own].view(np.int64), least[own]]).tobytes())
+                    more.append(np.stack([most[many], count[many]]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), number), pa.int64()), pa.array(data, pa.binary()), pa.array(more, pa.binary())], ["bucket", "block", "data", "more"])
 
-    def row(kind: int, n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), *(pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _RUN_TYPES)], ["kind", *(c for c, _ in _RUN_TYPES)])
+    def meet(key, group):
+        parts = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in group.column("data")]
+        more = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in group.column("more")]
+        low, least = np.concatenate(parts, axis=1)
+        most, count = least.copy(), np.ones(len(low), np.int64)
+        at = 0
+        for p, m in zip(parts, more):  # the minimisers of several documents are a part's last
+            at += p.shape[1]
+            if m.shape[1]:
+                most[at - m.shape[1] : at], count[at - m.shape[1] : at] = m
+        block = np.repeat(group.column("block").to_numpy(), [p.shape[1] for p in parts])
+        order = np.argsort(low, kind="stable")
+        cut = np.array(starts(low[order])[1])
+        size = np.diff(cut)
+        apart = np.minimum.reduceat(least[order], cut[:-1]) < np.maximum.reduceat(most[order], cut[:-1])
+        often = np.add.reduceat(count[order], cut[:-1]) > hot
+        some = np.flatnonzero(np.repeat(apart, size))
+        return _replies(block[order][some], low=low[order][some], hot=np.repeat(often, size)[some])
+
+    sent = blocks.select("block", "data").mapInArrow(deal, "bucket long, block long, data binary, more binary")
+    return _gathered(sent.groupBy("bucket").applyInArrow(meet, "block long, told binary"))
+
+
+RUNS = "kind int, block long, shard long, data binary"
+
+
+def runs(blocks: DataFrame, told: DataFrame, shards: int, n: int = N_WORDS) -> DataFrame:
+    """Candidate windows. kind 0: packs for a shard of what a block sends there: runs (content, words joined by a space) and
+    where they occur (doc_id, doc, at), or the block's distinct windows of hot minimisers: the smallest doc_id, doc their number,
+    at -1, or -2 if the block has them several times. kind 1: where a block has those windows (nth, doc_id, doc, at)."""
+
+    def row(kind: int, block: int, shard: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+        many = len(data)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(many, kind), pa.int32()), pa.array(np.full(many, block), pa.int64()), pa.array(shard, pa.int64()), pa.array(data, pa.binary())], ["kind", "block", "shard", "data"])
+
+    def dealt(block: int, shard: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(shard, kind="stable")
+        some, cut = starts(shard[order])
+        if len(some):
+            yield row(0, block, some, [packed(rows.take(pa.array(order[i:j]))) for i, j in zip(cut[:-1], cut[1:])])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 24
-        for number, b in enumerate(slices(batches), part):
-            w = Words(b.column("text"))
-            start, low = minimisers(w, n)
-            doc = np.searchsorted(w.first, start, "right") - 1
-            kind = np.zeros(len(start), np.int8)
-            at = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            for d, (shared, hot) in enumerate(zip(b.column("shared").to_pylist(), b.column("hot").to_pylist())):
-                own = low[at[d] : at[d + 1]].view(np.int64)
-                for mark, part in ((1, shared), (2, hot)):
-                    have = np.frombuffer(part, np.int64)
-                    if len(have) and len(own):
-                        kind[at[d] : at[d + 1]][np.isin(own, have)] = mark
-            pick = np.flatnonzero(kind)
-            if not len(pick):
-                continue
-            start, low, doc, kind = start[pick], low[pick], doc[pick], kind[pick]
-            new = np.ones(len(pick), bool)
-            new[1:] = (kind[1:] == 2) | (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
-            begin = np.flatnonzero(new)
-            last = np.append(begin[1:], len(pick)) - 1
-            lengths = np.diff(w.offsets)
-            place = np.concatenate([[0], np.cumsum(lengths + 1)])
-            joined = np.full(int(place[-1]), 32, np.uint8)
-            joined[np.arange(len(w.packed)) + np.repeat(np.arange(w.n), lengths)] = w.packed
-            body = joined.tobytes()
-            content = [body[i:j] for i, j in zip(place[start[begin]].tolist(), (place[start[last] + n] - 1).tolist())]
-            d = doc[begin]
-            content, at = pa.array(content, pa.binary()), pa.array((start[begin] - w.first[d]).astype(np.int32))
-            ids, keys, is_hot = b.column("doc_id").take(pa.array(d)), b.column("key").take(pa.array(d)), kind[begin] == 2
-            plain = np.flatnonzero(~is_hot)
-            shard = (mix(low[begin][plain]) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = pa.RecordBatch.from_arrays([content, ids, keys, at], ["content", "doc_id", "key", "at"])
-            some = np.flatnonzero(np.diff(cut))
-            data = [packed(rows.take(pa.array(plain[order[cut[i] : cut[i + 1]]]))) for i in some.tolist()]
-            if data:
-                yield row(0, len(data), batch=np.full(len(data), number), shard=some, data=data)
-            many = np.flatnonzero(is_hot)
-            if len(many):
-                one = rows.take(pa.array(many))
-                coded = one.column("content").dictionary_encode()
-                nth, ids = coded.indices.to_numpy(zero_copy_only=False), one.column("doc_id").to_numpy()
-                least = np.full(len(coded.dictionary), LAST)
-                np.minimum.at(least, nth, ids)
-                name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c) for c in coded.dictionary.to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
-                yield row(1, len(least), batch=np.full(len(least), number), shard=(name[:, 1] % np.uint64(shards)).astype(np.int64), content=coded.dictionary, high=name[:, 0].view(np.int64), low=name[:, 1].view(np.int64), doc_id=least, times=np.bincount(nth, minlength=len(least)), nth=np.arange(len(least)))
-                where = pa.RecordBatch.from_arrays([pa.array(nth, pa.int32()), one.column("doc_id"), one.column("key"), one.column("at")], ["nth", "doc_id", "key", "at"])
-                yield row(2, 1, batch=[number], data=[packed(where)])
-
-    return docs.join(lists, "key").mapInArrow(make, RUNS)
-
-
-_RUN_TYPES = [(c, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for c, t in (x.split() for x in RUNS.split(", ")[1:])]
+        for blobs in batches:
+            for number, blob, replies in zip(blobs.column("block").to_pylist(), blobs.column("data"), blobs.column("told")):
+                b, shared = unpacked(blob.as_py()), _told(replies).sort_by("low")
+                w = Words(b.column("text"))
+                start, low = minimisers(w, n)
+                have = shared.column("low").to_numpy()
+                order = np.argsort(low.view(np.int64), kind="stable")  # sorted, both sides are in cache
+                at = np.empty(len(low), np.int64)
+                at[order] = np.minimum(np.searchsorted(have, low.view(np.int64)[order]), len(have) - 1)
+                pick = np.flatnonzero(have[at] == low.view(np.int64))
+                if not len(pick):
+                    continue
+                kind = 1 + shared.column("hot").to_numpy()[at[pick]].astype(np.int8)
+                start, low = start[pick], low[pick]
+                doc = np.searchsorted(w.first, start, "right") - 1
+                new = np.ones(len(pick), bool)
+                new[1:] = (kind[1:] == 2) | (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+                begin = np.flatnonzero(new)
+                last = np.append(begin[1:], len(pick)) - 1
+                lengths = np.diff(w.offsets)
+                place = np.concatenate([[0], np.cumsum(lengths + 1)])
+                joined = np.full(int(place[-1]), 32, np.uint8)
+                joined[np.arange(len(w.packed)) + np.repeat(np.arange(w.n), lengths)] = w.packed
+                body = joined.tobytes()
+                content = [body[i:j] for i, j in zip(place[start[begin]].tolist(), (place[start[last] + n] - 1).tolist())]
+                d = doc[begin]
+                rows = pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), pa.array(_ids(b)[d]), pa.array(d.astype(np.int32)), pa.array((start[begin] - w.first[d]).astype(np.int32))], ["content", "doc_id", "doc", "at"])
+                plain, many = np.flatnonzero(kind[begin] == 1), np.flatnonzero(kind[begin] == 2)
+                yield from dealt(number, (mix(low[begin][plain]) % np.uint64(shards)).astype(np.int64), rows.take(pa.array(plain)))
+                if len(many):
+                    one = rows.take(pa.array(many))
+                    coded = one.column("content").dictionary_encode()
+                    nth, ids = coded.indices.to_numpy(zero_copy_only=False), one.column("doc_id").to_numpy()
+                    least = np.full(len(coded.dictionary), LAST)
+                    np.minimum.at(least, nth, ids)
+                    name = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in coded.dictionary.to_pylist()), np.uint64, len(least))
+                    single = np.bincount(nth, minlength=len(least)) == 1
+                    distinct = pa.RecordBatch.from_arrays([coded.dictionary, pa.array(least), pa.array(np.arange(len(least), dtype=np.int32)), pa.array(np.where(single, -1, -2).astype(np.int32))], ["content", "doc_id", "doc", "at"])
+                    yield from dealt(number, (name % np.uint64(shards)).astype(np.int64), distinct)
+                    where = pa.RecordBatch.from_arrays([pa.array(nth, pa.int32()), *(one.column(c) for c in ("doc_id", "doc", "at"))], ["nth", "doc_id", "doc", "at"])
+                    yield row(1, number, np.array([-1]), [packed(where)])
+
+    return blocks.select("block", "data").join(told, "block").mapInArrow(make, RUNS)
 
 
 def search_shard(contents: pa.Array, owner: np.ndarray, n: int = N_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -273,150 +279,118 @@ def search_shard(contents: pa.Array, owner: np.ndarray, n: int = N_WORDS) -> tup
 
 
 def removed_by_shard(made: DataFrame, n: int = N_WORDS) -> DataFrame:
-    """batch, data (key, at): windows that a smaller document has, of the runs in packs (batch, shard, data). A shard has its distinct runs indexed, and all their occurrences."""
+    """block, told (doc, at, least): windows that a smaller document has, of the runs in packs (block, shard, data); and for a block's distinct
+    windows (doc: their number, at: -1) the smallest document id, unless it is that of the block's only one. A shard has its distinct runs indexed, and all their occurrences."""
 
     def search(key, group):
         parts = [unpacked(x.as_py()) for x in group.column("data")]
         rows = pa.Table.from_batches(parts).combine_chunks()
         coded = rows.column("content").combine_chunks().dictionary_encode()
         run = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        doc = rows.column("doc_id").to_numpy()
+        ids, doc, at = (rows.column(c).to_numpy() for c in ("doc_id", "doc", "at"))
         owner = np.full(len(coded.dictionary), LAST)
-        np.minimum.at(owner, run, doc)
+        np.minimum.at(owner, run, ids)
         least, offs = search_shard(coded.dictionary, owner, n)
-        place, cut = ragged(run, offs)
-        row = np.repeat(np.arange(len(run)), np.diff(cut))
-        start = rows.column("at").to_numpy()[row] + np.arange(len(row)) - cut[row]
-        gone = np.flatnonzero(least[place] < doc[row])
-        row, batch = row[gone], np.repeat(group.column("batch").to_numpy(), [p.num_rows for p in parts])
-        return _replies(batch[row], key=rows.column("key").to_numpy()[row], at=start[gone].astype(np.int32))
+        block = np.repeat(group.column("block").to_numpy(), [p.num_rows for p in parts])
+        plain, own = np.flatnonzero(at >= 0), least[offs[run]]
+        hot = np.flatnonzero((at == -2) | (at == -1) & (own < ids))
+        place, cut = ragged(run[plain], offs)
+        row = np.repeat(plain, np.diff(cut))
+        start = at[row] + np.arange(len(row)) - np.repeat(cut[:-1], np.diff(cut))
+        gone = np.flatnonzero(least[place] < ids[row])
+        row, start = row[gone], start[gone]
+        every = np.append(row, hot)
+        return _replies(block[every], doc=doc[every], at=np.append(start, np.full(len(hot), -1)).astype(np.int32), least=np.append(np.zeros(len(row), np.int64), own[hot]))
 
-    return made.groupBy("shard").applyInArrow(search, "batch long, data binary")
+    return made.groupBy("shard").applyInArrow(search, "block long, told binary")
 
 
-def removed_by_content(distinct: DataFrame, where: DataFrame, n: int = N_WORDS) -> DataFrame:
-    """The same for single windows, of which every batch has each once (kind 1 of runs; where: its kind 2).
+def coverage(docs: DataFrame, n: int = N_WORDS, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """data, told: the blocks of docs, and what each is told of its duplicate windows (null: it has none)."""
+    blocks = _blocks(docs)
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    made = written(runs(blocks, shared_minimisers(blocks, max(8, size // bucket_bytes), n, hot), max(8, size // shard_bytes), n))
+    replies = removed_by_shard(made.where("kind = 0").select("block", "shard", "data"), n)
+    found = written(_gathered(replies.unionByName(made.where("kind = 1").select("block", F.col("data").alias("told")))))
+    discard(made)
+    return blocks.select("block", "data").join(found, "block", "left").select("data", "told")
 
-    Equal ones are counted before they move, each distinct one is searched once, and its verdict is joined
-    to the batches that have it, which pass it on to their documents."""
 
-    def search(key, group):
-        owner, times = group.column("owner").to_numpy(), group.column("times").to_numpy()
-        least, _ = search_shard(group.column("content").combine_chunks(), owner, n)
-        some = pa.array(np.flatnonzero((times > 1) | (least < owner)))
-        return pa.table({"high": group.column("high").take(some), "low": group.column("low").take(some), "least": pa.array(least).take(some)})
-
-    met = distinct.groupBy("shard", "content", "high", "low").agg(F.min("doc_id").alias("owner"), F.sum("times").alias("times"))
-    found = met.groupBy("shard").applyInArrow(search, "high long, low long, least long")
-    # a batch's verdicts are as many as its words at most
-    verdicts = distinct.select("high", "low", "batch", "nth").join(found, ["high", "low"]).groupBy("batch").agg(F.collect_list(F.struct("nth", "least")).alias("verdicts"))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for number, data, told in zip(b.column("batch").to_pylist(), b.column("data"), b.column("verdicts")):
-                own = unpacked(data.as_py())
-                nth, doc = own.column("nth").to_numpy(), own.column("doc_id").to_numpy()
-                least = np.full(int(nth.max()) + 1, LAST)
-                least[told.values.field("nth").to_numpy()] = told.values.field("least").to_numpy()
-                gone = np.flatnonzero(least[nth] < doc)
-                batch = np.full(len(gone), number)
-                yield from _replies(batch, key=own.column("key").to_numpy()[gone], at=own.column("at").to_numpy()[gone]).to_batches()
-
-    return where.join(verdicts, "batch").select("batch", "data", "verdicts").mapInArrow(spread, "batch long, data binary")
+_NONE = pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.int64())], ["doc", "at", "least"])
 
 
-def coverage(docs: DataFrame, n: int = N_WORDS, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """key, starts: per row with a duplicate, first words of its duplicate windows (packed ints). docs as _keyed makes them."""
-    size = text_bytes(docs)
-    spark = docs.sparkSession
-    lists = written(shared_minimisers(docs, max(8, size // bucket_bytes), n, hot))
-    release(spark)
-    made = written(runs(docs, lists, max(8, size // shard_bytes), n))
-    release(spark)
-    by_shard = removed_by_shard(made.where("kind = 0").select("batch", "shard", "data"), n)
-    by_content = removed_by_content(made.where("kind = 1").drop("kind", "data"), made.where("kind = 2").select("batch", "data"), n)
-
-    def split(rows: pa.Table) -> tuple:
-        key, at = rows.column("key").to_numpy(), rows.column("at").to_numpy()
-        order = np.lexsort((at, key))
-        key, at = key[order], at[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
-        return key[new], (at[new], new[new])
-
-    found = written(_by_document(by_shard.unionByName(by_content), ["starts"], split))
-    release(spark)
-    return found
-
-
-def covered_words(w: Words, starts: list[bytes | None], n: int) -> np.ndarray:
-    """Flags of the words that windows with these first words cover."""
+def covered_words(w: Words, told: pa.Scalar, n: int) -> np.ndarray:
+    """Flags of a block's words that its duplicate windows cover."""
     mark = np.zeros(w.n + 1, np.int64)
-    for d, own in enumerate(starts):
-        if own:
-            at = np.frombuffer(own, np.int32) + w.first[d]
-            np.add.at(mark, at, 1)
-            np.add.at(mark, at + n, -1)
+    if told.is_valid:
+        parts = [unpacked(x) for x in told.as_py()]
+        replies = pa.Table.from_batches([p for p in parts if "least" in p.schema.names] or [_NONE])
+        doc, at, least = (replies.column(c).to_numpy() for c in ("doc", "at", "least"))
+        begin = [at[at >= 0] + w.first[doc[at >= 0]]]
+        first_of = np.full(int(doc[at < 0].max(initial=-1)) + 1, LAST)
+        first_of[doc[at < 0]] = least[at < 0]
+        for p in parts:
+            if "nth" in p.schema.names:
+                nth, ids, doc, at = (p.column(c).to_numpy() for c in ("nth", "doc_id", "doc", "at"))
+                heard = nth < len(first_of)
+                heard[heard] = first_of[nth[heard]] < ids[heard]
+                begin.append(at[heard] + w.first[doc[heard]])
+        at = np.unique(np.concatenate(begin))
+        mark[at] += 1
+        mark[at + n] -= 1
     return np.cumsum(mark[:-1]) > 0
 
 
 def removals(docs: DataFrame, n: int = N_WORDS, **sizes: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    ship(docs.sparkSession)
-    keyed = _keyed(docs)
-    found = coverage(keyed, n, **sizes)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            w = Words(b.column("text"))
-            gone = covered_words(w, b.column("starts").to_pylist(), n)
-            keep = ~gone
-            lengths = np.diff(w.offsets)
-            place = np.concatenate([[0], np.cumsum(np.where(keep, lengths + 1, 0))])
-            joined = np.full(int(place[-1]), 32, np.uint8)
-            own = np.repeat(keep, lengths)
-            joined[(np.arange(len(w.packed)) - np.repeat(w.offsets[:-1] - place[:-1], lengths))[own]] = w.packed[own]
-            body = memoryview(joined)
-            cut = place[w.first].tolist()
-            sha = [hashlib.sha256(body[i : max(i, j - 1)]).hexdigest() for i, j in zip(cut[:-1], cut[1:])]
-            total = np.concatenate([[0], np.cumsum(gone)])
-            ids = b.column("doc_id").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([None if i == LAST else i for i in ids], pa.int64()), pa.array(np.diff(w.first), pa.int64()), pa.array(np.diff(total[w.first]), pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    joined = keyed.join(found, "key", "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        for blobs in batches:
+            for blob, told in zip(blobs.column("data"), blobs.column("told")):
+                b = unpacked(blob.as_py())
+                w = Words(b.column("text"))
+                gone = covered_words(w, told, n)
+                lengths = np.diff(w.offsets)
+                place = np.concatenate([[0], np.cumsum(np.where(gone, 0, lengths + 1))])
+                joined = np.full(int(place[-1]), 32, np.uint8)
+                own = np.repeat(~gone, lengths)
+                joined[(np.arange(len(w.packed)) - np.repeat(w.offsets[:-1] - place[:-1], lengths))[own]] = w.packed[own]
+                body = memoryview(joined)
+                cut = place[w.first].tolist()
+                sha = [hashlib.sha256(body[i : max(i, j - 1)]).hexdigest() for i, j in zip(cut[:-1], cut[1:])]
+                total = np.concatenate([[0], np.cumsum(gone)])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(w.first), pa.int64()), pa.array(np.diff(total[w.first]), pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    found = coverage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, **sizes)
+    return found.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_texts(docs: DataFrame, n: int = N_WORDS, **sizes: int) -> DataFrame:
     """docs with duplicate words cut from text, each with the white space after it; n_chars, if there, counts anew. Texts of which nothing is left are dropped."""
-    ship(docs.sparkSession)
-    names = docs.columns
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "text"))
-    found = coverage(_keyed(docs), n, **sizes).select(F.col("key").alias("__row_key"), F.col("starts").alias("__row_starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            w = Words(b.column("text"))
-            starts = b.column("__row_starts").to_pylist()
-            gone = covered_words(w, starts, n)
-            text = b.column("text").to_pylist()
-            for d in [d for d, s in enumerate(starts) if s]:
-                i, j = int(w.first[d]), int(w.first[d + 1])
-                until = np.append(w.starts[i + 1 : j], w.text_offsets[d + 1])
-                body = w.data[int(w.text_offsets[d]) : int(w.text_offsets[d + 1])].tobytes()
-                shift = int(w.text_offsets[d])
-                parts = [body[: int(w.starts[i]) - shift]] + [body[int(w.starts[k]) - shift : int(until[k - i]) - shift] for k in range(i, j) if not gone[k]]
-                text[d] = b"".join(parts).decode("utf-8", "replace")
-            cols = {c: b.column(c) for c in names}
-            cols["text"] = pa.array(text, b.schema.field("text").type)
-            if "n_chars" in cols:
-                fresh = pa.array([len(t) if s else None for t, s in zip(text, starts)], pa.int64()).cast(b.schema.field("n_chars").type)
-                cols["n_chars"] = pc.coalesce(fresh, cols["n_chars"])
-            total = np.concatenate([[0], np.cumsum(gone)])
-            empty = (np.diff(total[w.first]) == np.diff(w.first)) & (np.diff(w.first) > 0)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names).filter(pa.array(~empty))
-
-    return keyed.join(found, "__row_key", "left").select(*names, "__row_starts").mapInArrow(cut, docs.schema)
+        for blobs in batches:
+            for blob, told in zip(blobs.column("data"), blobs.column("told")):
+                b = unpacked(blob.as_py())
+                w = Words(b.column("text"))
+                gone = covered_words(w, told, n)
+                total = np.concatenate([[0], np.cumsum(gone)])
+                lost = np.diff(total[w.first])
+                text, body = b.column("text").to_pylist(), w.data.tobytes()
+                for d in np.flatnonzero(lost).tolist():
+                    i, j = int(w.first[d]), int(w.first[d + 1])
+                    begin, until = w.starts[i:j].tolist(), [*w.starts[i + 1 : j].tolist(), int(w.text_offsets[d + 1])]
+                    parts = [body[int(w.text_offsets[d]) : begin[0]]] + [body[begin[k] : until[k]] for k in np.flatnonzero(~gone[i:j]).tolist()]
+                    text[d] = b"".join(parts).decode("utf-8", "replace")
+                cols = dict(zip(b.schema.names, b.columns))
+                cols["text"] = pa.array(text, b.schema.field("text").type)
+                if "n_chars" in cols:
+                    fresh = pa.array([len(t) if k else None for t, k in zip(text, lost.tolist())], pa.int64()).cast(b.schema.field("n_chars").type)
+                    cols["n_chars"] = pc.coalesce(fresh, cols["n_chars"])
+                empty = (lost == np.diff(w.first)) & (lost > 0)
+                yield pa.RecordBatch.from_arrays(list(cols.values()), b.schema.names).filter(pa.array(~empty))
+
+    return coverage(docs, n, **sizes).mapInArrow(cut, docs.schema)
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
