@@ -2,13 +2,21 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. run() writes each stage's result to the shared folder and reads it
-again as the next one's docs."""
+again as the next one's docs, and deletes what was written before.
+
+Cases, in all stages: null and empty texts, and texts without words, fail the quality rules and
+go there; in the later stages they are documents like any other, but have no shingles or words
+to share (texts without any are near-duplicates of each other) and pack as an end id. Ties go to the smallest doc_id.
+A row repeated with id and text is kept once by near_duplicates; rows without an id are never
+dropped there, and rows that share one are judged by their own texts. Empty tables give no rows.
+Columns besides doc_id and text pass through, whatever their names; n_chars, if there, is
+counted anew where a text is cut."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockframe.llm.common import table, written
+from blockframe.llm.common import discard, table, written
 from blockframe.llm.decontamination import drop_contaminated
 from blockframe.llm.fertility import keep_quality
 from blockframe.llm.packing import pack
@@ -50,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        last, docs = docs, written(stage(spark, docs, sf_dir))
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
