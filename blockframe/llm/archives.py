@@ -6,7 +6,9 @@ by length and never by what they contain. From each record the converter makes t
 headers that ARC lacks: record id (a name-based UUID of address, time and digest, so the
 same record always gets the same id), W3C timestamp, type and SHA-256 digests of block and
 payload. Archives are written as gzipped files of bounded size through Spark's writer,
-so they lie wherever Spark can write, and are read back by declared lengths.
+so they lie wherever Spark can write, and are read back by declared lengths. An ARC file's
+version block becomes a warcinfo record, an HTTP response a response or a revisit, and what
+else it holds (DNS answers, files) a resource.
 
 Cases: a null html is the empty payload; null addresses become `unknown:`; a null page id
 is written as no header and read back as null. Of equal payloads of at least `min_bytes`
@@ -23,6 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,8 +72,8 @@ class ArcRecord:
     body: bytes
 
 
-def read_arc(stream: io.BufferedIOBase) -> Iterator[ArcRecord]:
-    """Records of one ARC file (after gunzipping): the version block first, which names the header fields."""
+def read_arc(stream: io.BufferedIOBase, versions: bool = False) -> Iterator[ArcRecord]:
+    """Records of one ARC file (after gunzipping); its version block, which comes first and names the header fields, is one of them if `versions`."""
     fields: list[str] = []
     while True:
         line = stream.readline()
@@ -95,6 +98,8 @@ def read_arc(stream: io.BufferedIOBase) -> Iterator[ArcRecord]:
             if version not in ("1", "2"):
                 raise ArchiveError(f"version {version}")
             fields = (lines[1] if len(lines) > 1 else ARC1 if version == "1" else ARC2).split(" ")
+            if versions:
+                yield ArcRecord(parts[0], parts[2] if len(parts) > 2 else "", "text/plain", body)
             continue
         if len(parts) != len(fields):
             raise ArchiveError(f"{len(parts)} fields where {len(fields)} are declared")
@@ -123,23 +128,29 @@ def record_id(url: str, date: str, digest: str, page_id: int | None) -> str:
 
 def to_warc(arc: ArcRecord, refers_to: tuple[str, int] | None = None) -> bytes:
     """The equivalent WARC record without its closing blank lines; a revisit keeps the HTTP headers alone."""
-    head, _, payload = arc.body.partition(_CRLF2)
+    if arc.url.startswith("filedesc:"):
+        kind, mime, body = "warcinfo", "application/warc-fields", f"software: blockframe\r\nformat: WARC File Format 1.0\r\nisPartOf: {arc.url.partition('//')[2]}\r\n".encode()
+    elif arc.body.startswith(b"HTTP/"):
+        kind, mime, body = "revisit" if refers_to else "response", "application/http; msgtype=response", arc.body
+    else:
+        kind, mime, body = "resource", arc.mime, arc.body
+    head, _, payload = body.partition(_CRLF2) if mime.startswith("application/http") else (b"", b"", body)
     page = re.search(rb"(?mi)^x-page-id: *(-?\d+)\r?$", head)
     page_id = int(page[1]) if page else None
     digest = hashlib.sha256(payload).hexdigest()
-    block = arc.body if refers_to is None else head + _CRLF2
+    block = body if kind != "revisit" else head + _CRLF2
     url = re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", arc.url)
     lines = [
         "WARC/1.0",
-        f"WARC-Type: {'revisit' if refers_to else 'response'}",
+        f"WARC-Type: {kind}",
         f"WARC-Record-ID: <{record_id(arc.url, arc.date, digest, page_id)}>",
         f"WARC-Date: {warc_time(arc.date)}",
         f"WARC-Target-URI: {url}",
-        "Content-Type: application/http; msgtype=response",
+        f"Content-Type: {mime}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
     ]
-    if refers_to:
+    if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: <{refers_to[0]}>", f"X-Refers-To-Page: {refers_to[1]}"]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + _CRLF2 + block
 
@@ -203,13 +214,13 @@ def opened(data: bytes) -> io.BufferedReader | io.BytesIO:
 
 def parse_warc(record: WarcRecord) -> tuple:
     h = record.headers
-    head, _, payload = record.block.partition(_CRLF2)
+    head, _, payload = record.block.partition(_CRLF2) if h["content-type"].startswith("application/http") else (b"", b"", record.block)
     page = re.search(rb"(?mi)^x-page-id: *(-?\d+)\r?$", head)
     size = re.search(rb"(?mi)^content-length: *(\d+)\r?$", head)
     kind = h["warc-type"]
     # a revisit holds no payload: its headers state what the full one is
-    length = len(payload) if kind == "response" else int(size[1])
-    digest = hashlib.sha256(payload).hexdigest() if kind == "response" else h["warc-payload-digest"].removeprefix("sha256:")
+    length = len(payload) if kind != "revisit" else int(size[1])
+    digest = hashlib.sha256(payload).hexdigest() if kind != "revisit" else h["warc-payload-digest"].removeprefix("sha256:")
     ok = h["warc-block-digest"] == "sha256:" + hashlib.sha256(record.block).hexdigest() and h["warc-payload-digest"] == "sha256:" + digest
     refers = h.get("x-refers-to-page")
     return h["warc-record-id"].strip("<>"), kind, h["warc-target-uri"], h["warc-date"], int(page[1]) if page else None, length, digest, h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None, int(refers) if refers else None, ok
@@ -218,49 +229,72 @@ def parse_warc(record: WarcRecord) -> tuple:
 # --- Spark ---------------------------------------------------------------------------
 
 
-def arc_rows(pages: DataFrame, version: int = 1, date: str = "20240101000000") -> DataFrame:
-    """One ARC record per page, as bytes, beside the columns that pages has besides html."""
+def page_date(page_id: int | None) -> str:
+    """A date of one's own for each page that states none: seconds after the beginning of 2024, within a year."""
+    return (datetime(2024, 1, 1) + timedelta(seconds=(page_id or 0) % (365 * 86400))).strftime("%Y%m%d%H%M%S")
+
+
+def arc_rows(pages: DataFrame, version: int | None = None) -> DataFrame:
+    """An ARC archive of one record per page, as bytes, beside the columns that pages has besides html; of version 1 for even ids and 2 for odd ones, if none is given."""
     ship(pages.sparkSession)
     rest = [c for c in pages.columns if c not in ("url", "html")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
             ids = b.column("page_id").to_pylist()
-            made = [arc_record(version, u if u is not None else "unknown:", date, http_response((h or "").encode(), i)) for i, u, h in zip(ids, b.column("url").to_pylist(), b.column("html").to_pylist())]
+            made = []
+            for i, u, h in zip(ids, b.column("url").to_pylist(), b.column("html").to_pylist()):
+                of = version or 1 + (i or 0) % 2
+                made.append(arc_version_block(of) + arc_record(of, u if u is not None else "unknown:", page_date(i), http_response((h or "").encode(), i)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(made, pa.binary())], [*rest, "arc"])
 
     return pages.mapInArrow(run, ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest), "arc binary"]))
 
 
-def convert(arcs: DataFrame, version: int = 1, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """WARC segments (column value) of rows with an ARC record each (arc), first_id and first_url of the page they revisit, if any.
+def segments(records: Iterator[bytes], most: int) -> Iterator[pa.RecordBatch]:
+    """Segments (column value), each of whole records and at most `most` bytes, or of one record."""
+    part, size = [], 0
+    for made in records:
+        if part and size + len(made) > most:
+            yield pa.RecordBatch.from_arrays([pa.array([_CRLF2.join(part)], pa.binary())], ["value"])
+            part, size = [], 0
+        part.append(made)
+        size += len(made)
+    if part:
+        yield pa.RecordBatch.from_arrays([pa.array([_CRLF2.join(part)], pa.binary())], ["value"])
+
 
-    Each segment holds whole records and at most segment_bytes, or one record."""
-    head = arc_version_block(version)
+def convert(arcs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """WARC segments (column value) of rows with an ARC archive of one record each (arc), and the page that it revisits, if any (first: page_id, url)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, size = [], 0
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for b in batches:
-            for arc, first in zip(b.column("arc").to_pylist(), b.column("first").to_pylist()):
-                (record,) = read_arc(io.BytesIO(head + arc))
+            for arc, first in zip(b.column("arc"), b.column("first").to_pylist()):
+                (record,) = read_arc(io.BytesIO(arc.as_py()))
                 refers = None
                 if first is not None:
                     digest = hashlib.sha256(record.body.partition(_CRLF2)[2]).hexdigest()
-                    refers = record_id(first["url"], record.date, digest, first["page_id"]), first["page_id"]
-                made = to_warc(record, refers)
-                if part and size + len(made) > segment_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([_CRLF2.join(part)], pa.binary())], ["value"])
-                    part, size = [], 0
-                part.append(made)
-                size += len(made)
-        if part:
-            yield pa.RecordBatch.from_arrays([pa.array([_CRLF2.join(part)], pa.binary())], ["value"])
+                    refers = record_id(first["url"], page_date(first["page_id"]), digest, first["page_id"]), first["page_id"]
+                yield to_warc(record, refers)
 
-    return arcs.mapInArrow(run, "value binary")
+    return arcs.mapInArrow(lambda batches: segments(records(batches), segment_bytes), "value binary")
+
+
+def convert_files(spark: SparkSession, source: str, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
+    """Writes the records of ARC files (plain or gzipped) in a folder, version blocks among them, as gzipped WARC files. A file is one task's stream."""
+    ship(spark)
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for b in batches:
+            for data in b.column("content"):
+                yield from map(to_warc, read_arc(opened(data.as_py()), versions=True))
+
+    files = spark.read.format("binaryFile").load(source).select("content")
+    write_warc(files.mapInArrow(lambda batches: segments(records(batches), segment_bytes), "value binary"), path)
 
 
 def write_warc(segments: DataFrame, path: str) -> None:
-    """Segments as gzipped WARC files, each of one segment. All that pages hold is UTF-8, and so is a record."""
+    """Segments as gzipped WARC files, each of one segment. Their bytes are written as they are."""
     segments.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
@@ -281,20 +315,7 @@ _NAMES = [x.split()[0] for x in RECORDS.split(", ")]
 _ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[x.split()[1]]) for n, x in zip(_NAMES, RECORDS.split(", "))])
 
 
-def read_arc_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records of ARC files (plain or gzipped): url, date, mime, body."""
-    ship(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column("content"):
-                for r in read_arc(opened(data.as_py())):
-                    yield pa.RecordBatch.from_pylist([{"url": r.url, "date": r.date, "mime": r.mime, "body": r.body}])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "url string, date string, mime string, body binary")
-
-
-def archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, segment_bytes: int = SEGMENT_BYTES, version: int = 1) -> None:
+def archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, segment_bytes: int = SEGMENT_BYTES, version: int | None = None) -> None:
     """Writes pages as WARC, by way of ARC records; equal payloads are stored once.
 
     One aggregation, with partial minima before its shuffle, finds the first page of each
@@ -310,7 +331,7 @@ def archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, segment_byt
     joined = keyed.join(first, "digest", "left")
     other = F.col("page_id").isNull() | (F.col("page_id") != F.col("first.page_id"))
     marked = joined.withColumn("first", F.when(F.col("first.page_id").isNotNull() & other, F.col("first"))).drop("digest")
-    write_warc(convert(arc_rows(marked, version), version, segment_bytes), path)
+    write_warc(convert(arc_rows(marked, version), segment_bytes), path)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
