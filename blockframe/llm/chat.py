@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -91,14 +92,15 @@ def parse(text: str) -> list[tuple[str, str]]:
 def windows(turns: Iterator[tuple[str, str]], budget: int = BUDGET, history: int = HISTORY, count: Callable[[str], int] | None = None) -> Iterator[dict]:
     """Windows of one conversation, whose turns are read once, in order."""
     count = count or counter()
-    system: list[tuple[str, str, int]] = []
-    held: list[tuple[str, str, int]] = []  # repeated turns, then new ones
-    new, number = 0, 0
+    system: list[tuple[str, str]] = []
+    held: list[tuple[str, str]] = []  # repeated turns, then new ones
+    # prefix sums: the tokens of the conversation before each held turn, and behind the last
+    sums, own, new, number = [0], 0, 0, 0
 
     def window() -> dict:
         nonlocal number
-        text, spans = render([x[:2] for x in system + held], len(system) * (number > 0) + new)
-        tokens = sum(x[2] for x in system + held)
+        text, spans = render(system + held, len(system) * (number > 0) + new)
+        tokens = own + sums[-1] - sums[0]
         out = {"window": number, "text": text, "loss_spans": spans, "n_repeated": new, "has_system": bool(system), "n_tokens": tokens, "over_budget": tokens > budget}
         number += 1
         return out
@@ -107,20 +109,18 @@ def windows(turns: Iterator[tuple[str, str]], budget: int = BUDGET, history: int
     for role, text in turns:
         size = count(f"{OPEN}{escape(role)}{MID}{escape(text)}{CLOSE}")
         if first and role == "system":
-            system, first = [(role, text, size)], False
+            system, own, first = [(role, text)], size, False
             continue
         first = False
-        room = budget - sum(x[2] for x in system)
-        if len(held) > new and sum(x[2] for x in held) + size > room:
+        room = budget - own
+        if len(held) > new and sums[-1] - sums[0] + size > room:
             yield window()
             # the longest run of last turns whose sum fits the history, and the next turn beside it
-            total, k = 0, len(held)
-            while k and total + held[k - 1][2] <= min(history, room - size):
-                k -= 1
-                total += held[k][2]
-            held = held[k:]
+            k = min(bisect_left(sums, sums[-1] - min(history, room - size)), len(held))
+            held, sums = held[k:], sums[k:]
             new = len(held)
-        held.append((role, text, size))
+        held.append((role, text))
+        sums.append(sums[-1] + size)
     if system or held:
         yield window()
 
