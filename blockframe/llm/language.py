@@ -4,8 +4,9 @@ Every language has a codeword; one binary n-gram classifier predicts each of its
 from hashed byte n-grams within words. A text's margins are decoded by loss weighting:
 the language whose codeword costs the least logistic loss, each bit weighted by its
 accuracy in training, wins. The text is flagged ambiguous when the next codeword is
-nearly as near. Classifiers are fitted on at most `per_language` texts of each language,
-drawn by a hash of the row; the bound is a parameter. Everything else covers all rows.
+nearly as near. Classifiers are fitted on at most `per_language` distinct texts of each
+language, those with the smallest hashes; the bound is a parameter. Copies of a text count
+once, so that they neither fill the sample nor keep others out. Everything else covers all rows.
 
 Cases: null texts, empty ones and those without a letter are `und` with score 0. Null
 languages are not learned from. With no or one language to learn, that answer is given to
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, Words, crc_mod, ship, slices, table
@@ -141,15 +142,19 @@ class Model:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, dims: int = DIMS, seed: int = 7) -> Model:
-    """A model from doc_id, text and lang. Counts are one small aggregation; the sample's features, not its texts, reach the driver."""
+    """A model from text and lang. Distinct texts are counted by sketches, and some more than wanted drawn by a hash of the text; of these,
+    copies become one and the first `per_language` stay, whose features, not texts, reach the driver."""
     ship(docs.sparkSession)
     have = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    counts = {r.lang: r.n for r in have.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.lang: r.n for r in have.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
     if not counts:
         return Model(np.zeros((0, dims), np.float32), [])
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = have.where(draw < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.3 * per_language / max(1, n)))])
+    drawn = have.withColumn("draw", F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+    distinct = drawn.where(F.col("draw") < share[F.col("lang")]).groupBy("lang", "draw", F.xxhash64("text").alias("name")).agg(F.first("text").alias("text"))
+    # some 1.3 times the wanted number meet here
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "name"))
+    sample = distinct.withColumn("nth", first).where(F.col("nth") <= per_language).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
