@@ -11,8 +11,9 @@ toxic. The largest saving, the number of saving windows and their share are turn
 probability by weights calibrated on labelled texts that the dictionaries were not trained
 on, at the labels' own base rate.
 
-The fit reads at most `per_class` whole texts of each class, drawn by a hash; the bound
-is a parameter. Scoring reads every whole text.
+The fit reads at most `per_class` distinct whole texts of each class, drawn by a hash, and
+no more of them than come to `class_bytes`; the bounds are parameters. Scoring reads every
+whole text.
 
 Cases: null and empty texts have no windows and get the score of no saving at all.
 Labels that are null, or of documents that aren't there, are not learned from; rows
@@ -27,11 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Words, crc_mod, ship, slices, table
 
+CLASS_BYTES = 16 << 20
 PER_CLASS, WINDOW, OWN_BYTES, SURE, SAVING = 1500, 6, 4096, 5.5, 4
 GRAMS = (4, 5, 6, 7, 8, 10, 12)
 #: begins every window and both dictionaries, so that all windows are compressed blocks and lengths differ by what else they share
@@ -208,8 +210,9 @@ def train(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 7) -> Model:
-    """A model from labelled documents (doc_id, text; doc_id, toxic). Labels are joined to a bounded draw of their ids, so only drawn texts move."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 7, class_bytes: int = CLASS_BYTES) -> Model:
+    """A model from labelled documents (doc_id, text; doc_id, toxic). Labels are joined to a bounded draw of their ids, so only drawn texts move;
+    rows that share an id and copies of a text become one before any reaches the driver."""
     ship(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -217,7 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
         return train([], [], 0, 0)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_class / max(1, counts.get(0, 0))))
-    rows = docs.where("text IS NOT NULL").join(F.broadcast(known.where(draw < share)), "doc_id").select("toxic", "text").collect()
+    drawn = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(known.where(draw < share)), "doc_id").groupBy("toxic", F.xxhash64("text").alias("name")).agg(F.first("text").alias("text"))
+    # about `per_class` texts of a class meet here
+    order = Window.partitionBy("toxic").orderBy("name")
+    bounded = drawn.withColumn("nth", F.row_number().over(order)).withColumn("upto", F.sum(F.octet_length("text").cast("long")).over(order))
+    rows = bounded.where((F.col("nth") <= per_class) & ((F.col("upto") <= class_bytes) | (F.col("nth") == 1))).select("toxic", "text").collect()
     texts = {k: sorted({r.text for r in rows if r.toxic == k}, key=lambda t: hash_order(t)) for k in (0, 1)}
     return train(texts[1], texts[0], counts.get(1, 0), counts.get(0, 0))
 
