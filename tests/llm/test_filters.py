@@ -1,5 +1,6 @@
 import hashlib
 import io
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +38,51 @@ def test_quality_bands_reject():
     assert bytes_only["fallback_share"][0] > 0.5
 
 
-def test_default_bands_reject_junk_and_keep_clean_text():
-    import pyarrow.parquet as pq
+def test_bands_come_from_the_corpus(spark):
+    """Bands of languages, of scripts for unknown languages, and verdicts, against plain Python over the measures."""
+    import random
 
-    folder = "/root/testdata/sf0.01"
-    quality = dict(zip(*pq.read_table(f"{folder}/labels.parquet").select(["doc_id", "quality"]).to_pydict().values()))
-    docs = pq.read_table(f"{folder}/documents.parquet").combine_chunks()
-    label = np.array([quality.get(i, -1) for i in docs["doc_id"].to_pylist()])
-    texts, langs = docs["text"].combine_chunks(), docs["lang"].combine_chunks()
-    m = fertility.measure(texts, langs=langs)
-    junk, clean = ((label == k) & ~m["base_failed"] for k in (0, 1))
-    assert junk.sum() > 20 and m["kept"][junk].mean() < 0.4
-    assert clean.sum() > 200 and m["kept"][clean].mean() > 0.96
-    unknown = fertility.measure(texts, langs=pa.array(["xx", None] * (len(texts) // 2)))
-    assert (unknown["kept"] == fertility.measure(texts)["kept"]).all() and unknown["kept"][clean].all()
+    rng = random.Random(4)
+    sound = ("con", "struct", "able", "mo", "tion", "light", "er", "past", "un", "form")
+    rows = []
+    for i in range(700):
+        lang = ("aa", "bb", None, "rare")[0 if i < 300 else 1 if i < 600 else 2 if i < 690 else 3]
+        junk = i % 50 == 7
+        part = lambda: "".join(rng.choice(sound) for _ in range(2 if lang == "aa" else 3)) + ("#$%" if junk else "")  # noqa: E731, B023
+        rows.append((i, " ".join(part() for _ in range(120)), lang, 1.5, "s"))
+    rows += [(700, "Это русский текст " + " ".join("слово" + "абвгд"[k % 5] + "еёжзи"[k // 5 % 5] + "клмно"[k // 25 % 5] for k in range(60)), "aa", 0.0, "s"), (701, None, "aa", 0.0, "s"), (702, "", None, 0.0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, low double, script string").repartition(3)
+    got = {r.doc_id: r for r in fertility.quality(docs).collect()}
+    lang = {i: k for i, _, k, _, _ in rows}
+    inner = lambda r: fertility.measure(pa.array([rows[r.doc_id][1]], pa.string()))["kept"][0]
+    sound_ids = [i for i, r in got.items() if inner(r)]
+
+    def edge(ids, name):
+        x = np.sort([math.floor(getattr(got[i], name) * 1000) for i in ids]) / 1000
+        a, mid, b = (x[math.ceil(q * len(x)) - 1] for q in (0.25, 0.5, 0.75))
+        reach = fertility.WIDE * max((b - a) / 1.349, fertility.FLOOR * mid)
+        return (0.0, max(mid + reach, fertility.FALLBACK)) if name == "fallback_share" else (mid - reach, mid + reach)
+
+    for i, r in got.items():
+        own = [j for j in sound_ids if got[j].script == r.script and lang[j] == lang[i]]
+        every = [j for j in sound_ids if got[j].script == r.script]
+        group = own if lang[i] and len(own) >= fertility.LEAST else every if len(every) >= fertility.LEAST else None
+        want = i in sound_ids and (group is None or all(a <= getattr(r, c) <= b for c in fertility.MEASURES for a, b in [edge(group, c)]))
+        assert r.kept == want, i
+    junk = [i for i in range(700) if i % 50 == 7 and lang[i] in ("aa", "bb")]
+    assert not any(got[i].kept for i in junk)
+    assert sum(got[i].kept for i in range(600)) > 0.97 * (600 - len(junk)) and got[700].kept and not got[701].kept
+    kept = fertility.keep_quality(docs)
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect())) == sorted(x for x in rows if got[x[0]].kept)
+
+
+def test_bands_reject_junk_and_keep_clean_text(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    rows = fertility.quality(spark.read.parquet(f"{folder}/documents.parquet")).where("NOT base_failed").join(labels, "doc_id").collect()
+    clean, junk = ([r.kept for r in rows if r.quality == k] for k in (1, 0))
+    assert len(junk) > 200 and np.mean(junk) < 0.4
+    assert len(clean) > 2000 and np.mean(clean) > 0.97
 
 
 def test_repeated_windows_with_large_codes():
@@ -109,11 +141,73 @@ def test_bin_completion_is_exact_on_small_cases():
         assert (used == counts).all() and sum(t for _, t in runs) == best
 
 
+def optimum(items, capacity, below):
+    """Fewest sequences, by trying all ways to place the items."""
+
+    def fits(rest, bins):
+        return not rest or any(fits(rest[1:], [*bins[:i], bins[i] - rest[0], *bins[i + 1 :]]) for i in range(len(bins)) if bins[i] >= rest[0] and bins[i] not in bins[:i])
+
+    k = below
+    while k > 1 and fits(sorted(items, reverse=True), [capacity] * (k - 1)):
+        k -= 1
+    return k
+
+
+def test_bin_completion_beats_best_fit():
+    """Cases on which best fit is not optimal: the search must find what brute force finds."""
+    rng, better = np.random.default_rng(3), 0
+    while better < 12:
+        items = rng.integers(4, 14, 9).tolist()
+        counts = np.bincount(items, minlength=25)
+        greedy = sum(t for _, t in packing.best_fit(counts, 24))
+        if greedy > packing.lower_bound(counts, 24):
+            best = optimum(items, 24, greedy)
+            assert packing.lower_bound(counts, 24) <= best
+            assert sum(t for _, t in packing.bin_completion(counts, 24)) == best
+            better += best < greedy
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bin_completion_of_short_documents(seed):
+    counts = np.bincount(np.random.default_rng(seed).integers(100, 251, 3000), minlength=2049)
+    bound, total = packing.lower_bound(counts, 2048), int((counts * np.arange(2049)).sum())
+    assert bound == -(-total // 2048) < sum(t for _, t in packing.best_fit(counts, 2048))
+    runs = packing.bin_completion(counts)
+    assert sum(t for _, t in runs) == bound
+    used = np.zeros(2049, int)
+    for fill, times in runs:
+        assert sum(fill) <= 2048
+        np.add.at(used, list(fill), times)
+    assert (used == counts).all()
+
+
+def test_fillings_are_the_undominated_ones():
+    """Against all fillings: one is dominated if some pieces of it, or its waste, can give way to one that is left over."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        items, room = sorted(rng.integers(1, 12, 7).tolist(), reverse=True), 15
+        every = {tuple(f) for k in range(8) for f in itertools.combinations(items, k) if sum(f) <= room}
+        want = set()
+        for f in every:
+            left = list(items)
+            for n in f:
+                left.remove(n)
+            swaps = [(sum(c), k) for k in range(len(f) + 1) for c in itertools.combinations(f, k)]
+            if not any(s < x <= s + room - sum(f) or (x == s and k > 1) for x in left for s, k in swaps):
+                want.add(f)
+        got = list(packing.fillings(np.bincount(items, minlength=16), room))
+        assert {f for _, f in got} == want and len(got) == len(want)
+        assert [w for w, _ in got] == sorted(room - sum(f) for _, f in got)
+
+
 def test_archives(spark, tmp_path):
     big, page = "<p>" + "é" * 200, "https://a.example/ x%20\n"
     rows = [(1, page, big), (2, None, big), (3, "u", None), (4, "u", ""), (5, "v", "\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\n"), (6, "v", "short"), (7, "w", "short"), (2, None, big), (None, "n", big), (8, "z", "y" * 3_000_000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
-    for version in (1, 2):
+    clashing = [(*r, "a", 1, b"d", "f") for r in rows]
+    pages = spark.createDataFrame(clashing, "page_id long, url string, html string, arc string, first int, digest binary, value string").repartition(2)
+    for version in (1, 2, None):
         path = f"file://{tmp_path}/v{version}"
         archives.archive(pages, path, segment_bytes=2000, version=version)
         got = sorted(archives.read_records(spark, path).collect(), key=lambda r: (r.page_id is None, r.page_id or 0))
@@ -121,7 +215,7 @@ def test_archives(spark, tmp_path):
         for r in got:
             html = (next(h for i, _, h in rows if i == r.page_id) or "").encode()
             assert (r.payload_bytes, r.payload_digest) == (len(html), hashlib.sha256(html).hexdigest())
-            assert r.block_digest_ok and r.date == "2024-01-01T00:00:00Z" and r.record_id.startswith("urn:uuid:")
+            assert r.block_digest_ok and r.date == f"2024-01-01T00:00:0{r.page_id or 0}Z" and r.record_id.startswith("urn:uuid:")
         by = {r.page_id: r for r in got}
         assert by[1].record_type == "response" and by[1].refers_to is None
         assert by[2].record_type == by[None].record_type == "revisit" and by[2].refers_to == 1 and by[2].refers_to_id == by[1].record_id
@@ -140,7 +234,16 @@ def test_arc_files(spark, tmp_path):
         data = archives.arc_version_block(version) + b"".join(archives.arc_record(version, f"http://h/{i} a", "20200102030405", b) for i, b in enumerate(bodies)) + b"\n"
         assert [(r.url, r.body) for r in archives.read_arc(io.BytesIO(data))] == [(f"http://h/{i} a", b) for i, b in enumerate(bodies)]
         (tmp_path / f"{version}.arc.gz").write_bytes(gzip.compress(data[:50]) + gzip.compress(data[50:]))
-    assert archives.read_arc_files(spark, f"file://{tmp_path}").count() == 6
+    (tmp_path / "3.arc").write_bytes(archives.arc_version_block(1) + archives.arc_record(1, "http://h/p", "202001020304", b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\nb\xffdy") + archives.arc_record(1, "dns:h", "20200102030405", b"h. 300 IN A 1.2.3.4", "text/dns"))
+    archives.convert_files(spark, f"file://{tmp_path}/*.gz", f"file://{tmp_path}/warc", segment_bytes=100)
+    archives.convert_files(spark, f"file://{tmp_path}/3.arc", f"file://{tmp_path}/more")
+    got = [(r.record_type, r.target_uri, r.date, r.payload_digest) for r in archives.read_records(spark, f"file://{tmp_path}/warc").collect() if r.block_digest_ok]
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    records = [("resource", f"http://h/{i} a", "2020-01-02T03:04:05Z", digest(b)) for i, b in enumerate(bodies)]
+    assert sorted(x for x in got if x[0] == "resource") == sorted(2 * records) and sum(x[0] == "warcinfo" for x in got) == 2 and len(got) == 8
+    more = {r.record_type: r for r in archives.read_records(spark, f"file://{tmp_path}/more").collect()}
+    assert more["response"].payload_digest == digest(b"b\xffdy") and more["response"].date == "2020-01-02T03:04:00Z" and more["response"].payload_bytes == 4
+    assert more["resource"].target_uri == "dns:h" and more["resource"].payload_bytes == 19 and "warcinfo" in more
     assert archives.warc_time("202001020304") == "2020-01-02T03:04:00Z"
     for bad in (data[:-9], b"x y\n", b"http://a 0 1 t 3\nabc", data.replace(b"2 0 block", b"9 0 block")):
         with pytest.raises(archives.ArchiveError):
@@ -205,6 +308,68 @@ def test_simhash(spark, corpus, empty):
     assert kept.columns == corpus.columns and {r.doc_id for r in kept.collect()} == set(want.values())
 
 
+def test_simhash_odd_rows(spark):
+    """Repeated rows, an id with two texts, null ids; a hot fingerprint; an odd radius."""
+    one, other = "a b c d e f", "q r s t u v w"
+    rows = [(5, one), (5, one), (5, other), (2, other), (None, one), (None, None)] + [(100 + k, "the same") for k in range(300)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, row int").repartition(5)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
+    # null texts have fingerprint zero and are alone here
+    assert got == sorted([(False, 5, 5)] * 2 + [(False, 5, 2), (False, 2, 2), (True, 0, 5), (True, 0, None)] + [(False, 100 + k, 100) for k in range(300)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(5, one), (2, other), (None, one), (None, None), (100, "the same")], key=str)
+    similar = sorted(((r.doc_id, r.text) for r in simhash.keep_similar(docs).collect()), key=str)
+    assert similar == kept
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(docs, radius=3)
+
+
+def test_hot_neighbours(spark):
+    """A star, a chain and single links: components with keys that are broadcast and keys that are not."""
+    star = [(0, k) for k in range(1, 400)]
+    chain = [(k, k + 1) for k in range(1000, 1030)]
+    edges = spark.createDataFrame(star + chain + [(2000, 2001), (2001, 2001)], "a long, b long").repartition(3)
+    label = {r.node: r.label for r in simhash.components(edges).collect()}
+    assert label == {k: 0 for k in range(400)} | {k: 1000 for k in range(1000, 1031)} | {2000: 2000, 2001: 2000}
+
+
+def test_similar_pairs_are_verified(spark):
+    """Chains of edits: classes are exactly those of pairs of similarity 0.8 or more, where these meet."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = {}
+    for k in range(60):
+        words = [word() for _ in range(400)]
+        texts[10 * k] = words
+        for c in range(1, 4):
+            near = list(words)
+            for at in rng.sample(range(400), rng.randint(4, 16)):
+                near[at] = word()
+            texts[10 * k + c] = near
+    grams = {i: {tuple(w[j : j + 5]) for j in range(396)} for i, w in texts.items()}
+    similarity = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in texts for b in texts if a < b and a // 10 == b // 10}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(docs).collect()}
+    parent = {i: i for i in texts}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (a, b), s in similarity.items():
+        if s >= 0.8:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    assert sum(0.7 < s < 0.8 for s in similarity.values()) > 20
+    # nothing is joined that exact classes keep apart, and few links are missed
+    assert all(find(i) == find(c) for i, c in got.items())
+    close = [got[a] == got[b] for (a, b), s in similarity.items() if 0.8 <= s < 0.85]
+    assert len(close) > 20 and sum(close) / len(close) >= 0.9
+
+
 def test_ball_links_are_complete(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
@@ -304,3 +469,47 @@ def test_decontamination_index_of_a_full_block():
     text = "x " + " ".join(CLEAN.findall(items[7][1])[50:60]) + " y"
     n, spans, found = decontamination._occurrences(pa.array([text, None, ""]), index)
     assert n.tolist() == [12, 0, 0] and spans == [[1, 11], [], []] and found == [["7"], [], []]
+
+
+def test_fertility_measures_by_hand(corpus):
+    """The four measures from each vocabulary's own encoder, word by word."""
+    import base64
+    from collections import Counter
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+    from helpers import WORD
+
+    piece = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    byte = tiktoken.Encoding("test", pat_str=r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=ranks, special_tokens={})
+    texts = [t for _, t in pairs(corpus)] + ["Это русский текст", "Ελληνικό κείμενο", "نص عربي هنا", "\U0001f9ff\U0001f9ff a"]
+    m = fertility.measure(pa.array(texts, pa.string()))
+    for d, text in enumerate(texts):
+        words = WORD.findall(text or "")
+        if not words:
+            continue
+        ids = [i for w in words for i in piece.encode(w)]
+        chars = sum(map(len, words))
+        share = [c / len(ids) for c in Counter(ids).values()]
+        want = (chars / len(ids), chars / sum(len(byte.encode_ordinary(" " + w)) for w in words), sum(piece.is_byte(i) for i in ids) / len(ids), -sum(p * math.log2(p) for p in share))
+        assert np.allclose([m[c][d] for c in fertility.MEASURES], want), text
+    assert [fertility.SCRIPTS[k] for k in m["script"][-4:]] == ["cyrillic", "greek", "arabic", "other"]
+
+
+def test_texts_beyond_a_slice(spark):
+    """Texts of 5 MB, more than any slice or block holds: every word counts."""
+    text = " ".join(f"w{i}" for i in range(700_000))
+    rows = [(1, text), (2, "x " + text), (3, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(text) > 5_000_000
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.removals(docs).collect()}
+    assert got == {1: (700_000, 0), 2: (700_001, 700_000), 3: (1, 0)}
+    bench = spark.createDataFrame([("a", " ".join(f"w{i}" for i in range(699_990, 700_000)))], "item_id string, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit) for r in decontamination.contamination(docs, bench).collect()}
+    assert found == {1: (700_000, 10), 2: (700_001, 10), 3: (1, 0)}
+    prints = {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.near_duplicates(docs).collect()}
+    assert prints == {i: fingerprint(t) for i, t in rows}
+    assert sorted(r.doc_id for r in simhash.keep_similar(docs).collect()) == [1, 3]

@@ -205,3 +205,113 @@ def test_history_is_repeated_and_masked():
     assert [[x for _, x in chat.parse(w["text"])] for w in made] == [["s", "t0", "t1", "t2", "t3"], ["s", "t2", "t3", "t4", "t5"], ["s", "t4", "t5", "t6", "t7"], ["s", "t6", "t7", "t8"]]
     assert [[w["text"][i:j] for i, j in zip(w["loss_spans"][::2], w["loss_spans"][1::2])] for w in made] == [["t1", "t3"], ["t5"], ["t7"], []]
     assert pa.array([w["n_repeated"] for w in made]).to_pylist() == [0, 2, 2, 2]
+
+
+ODD_TEXTS = ["Aa bB cc dd ee ff gg hh", "", None, "  ", "one", "Ünï cödé grobnik zwamp " * 9, "grobnik " * 40 + "x" * 300, "日本 テキ"]
+
+
+def test_toxicity_by_hand():
+    """Savings, measures and scores from windows that are split, compressed and counted one by one."""
+    import zstandard
+
+    model = toxicity.Model(toxicity.MARK + b"grobnik\nzwamp".rjust(40, b"\n"), toxicity.MARK + b"cc dd\nee ff".rjust(40, b"\n"), [-2.0, 0.4, 0.7, 0.3, -0.1])
+    level = zstandard.ZstdCompressionParameters.from_level(13, min_match=4, strategy=zstandard.STRATEGY_BTOPT, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def size(content, data):
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=level).compress(toxicity.MARK + data))
+
+    got = model.measures(pa.array(ODD_TEXTS, pa.string()))
+    scores = model.score(got)
+    for text, m, score in zip(ODD_TEXTS, got, scores):
+        words = WORD.findall(lower(text))
+        windows = [f" {' '.join(words[i : i + 6])} ".encode() for i in range(0, len(words), 6)]
+        saved = [size(model.ordinary, w) - size(model.toxic, w) for w in windows]
+        many = sum(s >= toxicity.SAVING for s in saved)
+        want = (max([0, *saved]), many, sum(saved) / len(saved), len(saved)) if saved else (0, 0, 0, 0)
+        assert np.allclose(m, want), text
+        n = max(1, len(saved))
+        x = [1, min(want[0], 12), math.log1p(many), min(many / n, 1) * 4, math.log(n)]
+        assert abs(score - 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights))))) < 1e-9
+    assert got[:, 1].max() > 0
+
+
+def test_language_by_hand():
+    """Features, margins and decoding with plain integers and lists."""
+    dims, langs = 256, ["xa", "xb", "xc"]
+    train = ["ung der die", "tion eau les qui", "ando cion los", "keit sch ung", "eau tion", "ez los ando"] * 3
+    x = language.features(pa.array(train), dims)
+    model = language.Model(x, langs * 6)
+    texts = [*ODD_TEXTS, "ung tion", "ANDO der eau"]
+    got = model.predict(pa.array(texts, pa.string()), dims)
+    for text, (pred, score, ambiguous, second) in zip(texts, got):
+        counts = [0.0] * dims
+        for word in WORD.findall(text or ""):
+            body = [0, *(b + 32 if 65 <= b < 91 else b for b in word.encode()), 0]
+            for order in (1, 2, 3):
+                for i in range(len(body) - order + 1):
+                    key = order
+                    for b in body[i : i + order]:
+                        key = (key * 0x9E3779B97F4A7C15 % (1 << 64)) ^ (b + 1)
+                    counts[(key * 0xC2B2AE3D27D4EB4F % (1 << 64)) >> 56] += 1
+        if not any(c.isalpha() for c in text or ""):
+            assert (pred, score) == ("und", 0)
+            continue
+        norm = math.sqrt(sum(counts))
+        margins = [sum(math.sqrt(c) / norm * w for c, w in zip(counts, column)) + b for column, b in zip(model.weights.T.tolist(), model.bias.tolist())]
+        loss = {k: sum(t * math.log1p(math.exp(-m * c)) for t, m, c in zip(model.trust.tolist(), margins, code.tolist())) for k, code in zip(langs, model.code)}
+        order = sorted(langs, key=loss.get)
+        belief = [math.exp((loss[order[0]] - loss[k]) * len(margins)) for k in order]
+        assert (pred, second) == (order[0], order[1]), text
+        assert abs(score - 1 / sum(belief)) < 1e-3 and ambiguous == (score < 0.5 + language.MARGIN)
+    # a text that is half one language and half another is told to be so
+    mixed = [p for _, p in zip(range(1), got[len(ODD_TEXTS) :])]
+    assert {mixed[0][0], mixed[0][3]} == {"xa", "xb"}
+
+
+def test_samples_are_bounded_and_even(spark):
+    """A text with thousands of copies is one text of the sample, and leaves room for the others."""
+    rows = [(i, "copy of a copy", "xa", 0) for i in range(3000)] + [(5000 + i, f"own text {i} {'abc'[i % 3]}", "xa", i % 2) for i in range(50)] + [(6000 + i, f"ein text {i}", "xb", 0) for i in range(30)]
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, lang string, toxic int, draw double").repartition(4)
+    seen = []
+    old = language.Model
+    try:
+        language.Model = lambda x, labels: seen.append(labels) or old(x, labels)
+        language.fit(docs, per_language=20)
+        language.fit(docs)
+    finally:
+        language.Model = old
+    assert [(s.count("xa"), s.count("xb")) for s in seen] == [(20, 20), (51, 30)]
+    labels = docs.select("doc_id", "toxic")
+    taken, train = [], toxicity.train
+    try:
+        toxicity.train = lambda *a: taken.append(a) or train(*a)
+        toxicity.fit(docs, labels, per_class=5000)
+        toxicity.fit(docs, labels, per_class=10, class_bytes=60)
+    finally:
+        toxicity.train = train
+    assert [(len(t), len(o)) for t, o, _, _ in taken][0] == (25, 56) and all(len(t) == len(set(t)) for t, *_ in taken)
+    assert all(0 < sum(len(t.encode()) for t in x) <= 60 for x in taken[1][:2]) and taken[1][2:] == (25, 3055)
+
+
+def test_odd_rows(spark):
+    """Repeated rows, an id with two texts, and null ids each give their own rows, equal where the texts are."""
+    from blockframe.llm import fertility, packing
+
+    text = " ".join(f"word{i % 37} und der" for i in range(60))
+    rows = [(1, text), (1, text), (1, "another text"), (None, text), (None, None), (2, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, False, "xa") for r in rows], "doc_id long, text string, held_out boolean, lang string").repartition(2)
+    model = language.fit(docs)
+    tox = toxicity.Model(toxicity.MARK + b"und der".rjust(30), toxicity.MARK + b"word".rjust(30), [0.0, 0.1, 0.1, 0.1, 0.0])
+    found = {
+        "op1": (toxicity.score(docs, tox), "score"),
+        "op2": (recurrent.score(docs.select("doc_id", "text", "held_out")), "score"),
+        "op3": (fertility.quality(docs), "n_words"),
+        "op4": (language.identify(docs, model), "lang_pred"),
+        "op5": (packing.pack(docs), "ids_crc32"),
+    }
+    for name, (df, column) in found.items():
+        got = sorted(((r.doc_id, r[column]) for r in df.collect()), key=str)
+        assert sorted((i for i, _ in got), key=str) == sorted((i for i, _ in rows), key=str), name
+        # the three copies of the text agree, and so do the three empty ones
+        values = sorted((str(v) for _, v in got))
+        assert sorted(values.count(v) for v in set(values))[-1] >= 3, name
