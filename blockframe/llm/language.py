@@ -3,8 +3,9 @@
 Every language has a codeword; one binary n-gram classifier predicts each of its bits
 from hashed byte n-grams within words. A text's margins are decoded by loss weighting:
 the language whose codeword costs the least logistic loss, each bit weighted by its
-accuracy in training, wins. The text is flagged ambiguous when the next codeword is
-nearly as near. Classifiers are fitted on at most `per_language` distinct texts of each
+accuracy in training, wins. The text is flagged ambiguous when the next codeword's loss is
+so near that the two differ by less than MARGIN of their sum: for texts of one language it
+is nearly all of it, for halves of two some 0.6. Classifiers are fitted on at most `per_language` distinct texts of each
 language, those with the smallest hashes; the bound is a parameter. Copies of a text count
 once, so that they neither fill the sample nor keep others out. Everything else covers all rows.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, Words, crc_mod, ship, slices, table
 
-PER_LANGUAGE, DIMS, BITS, ORDERS, MARGIN = 1000, 1 << 12, 24, (1, 2, 3), 0.1
+PER_LANGUAGE, DIMS, BITS, ORDERS, MARGIN = 1000, 1 << 12, 24, (1, 2, 3), 0.85
 _LETTER = regex.compile(r"\p{L}")
 RESULT = "doc_id long, lang_pred string, score double, ambiguous boolean, runner_up string"
 
@@ -116,13 +117,14 @@ class Model:
         self.trust = np.log(accuracy / (1 - accuracy)).astype(np.float32)
         self.trust /= self.trust.sum() or 1
 
-    def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest language, next nearest, and the share of belief of the nearest."""
+    def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest language, next nearest, the share of belief of the nearest, and whether the two are nearly as near."""
         loss = np.stack([(np.logaddexp(0, -margins * c) * self.trust).sum(axis=1) for c in self.code], axis=1)
         order = np.argsort(loss, axis=1, kind="stable")
         belief = np.exp(-(loss - loss.min(axis=1, keepdims=True)) * self.code.shape[1])
         rows = np.arange(len(loss))
-        return order[:, 0], order[:, min(1, loss.shape[1] - 1)], belief[rows, order[:, 0]] / belief.sum(axis=1)
+        least, next_ = loss[rows, order[:, 0]], loss[rows, order[:, 1]]
+        return order[:, 0], order[:, 1], belief[rows, order[:, 0]] / belief.sum(axis=1), next_ - least < MARGIN * (next_ + least)
 
     def predict(self, texts: pa.Array, dims: int = DIMS) -> list[tuple[str, float, bool, str | None]]:
         letters = [bool(t and _LETTER.search(t)) for t in texts.to_pylist()]
@@ -131,8 +133,8 @@ class Model:
         if len(self.languages) == 1:
             return [(self.languages[0], 1.0, False, None) if k else ("und", 0.0, False, None) for k in letters]
         # each distinct word's grams are summed once: a text needs the word sums, its norm and nothing else
-        first, second, score = self.decode(self.margins(texts, dims))
-        return [(self.languages[a], float(s), bool(s < 0.5 + MARGIN), self.languages[b]) if k else ("und", 0.0, False, None) for k, a, b, s in zip(letters, first, second, score)]
+        found = self.decode(self.margins(texts, dims))
+        return [(self.languages[a], float(s), bool(u), self.languages[b]) if k else ("und", 0.0, False, None) for k, a, b, s, u in zip(letters, *found)]
 
     def margins(self, texts: pa.Array, dims: int) -> np.ndarray:
         out = np.empty((len(texts), self.weights.shape[1]), np.float32)

@@ -50,7 +50,8 @@ def test_language(spark, corpus, empty):
     single = language.fit(docs.where("lang = 'xb'"))
     assert {r.lang_pred for r in language.identify(docs, single).collect()} == {"xb", "und"}
     halves = language.identify(spark.createDataFrame([(1, make("xa") + " " + make("xb"))], "doc_id long, text string"), model).first()
-    assert {halves.lang_pred, halves.runner_up} == {"xa", "xb"}
+    assert {halves.lang_pred, halves.runner_up} == {"xa", "xb"} and halves.ambiguous
+    assert sum(got[i].ambiguous for i, _, _ in rows) < 0.05 * len(rows)
 
 
 def test_codewords_are_far_apart():
@@ -241,7 +242,7 @@ def test_language_by_hand():
     train = ["ung der die", "tion eau les qui", "ando cion los", "keit sch ung", "eau tion", "ez los ando"] * 3
     x = language.features(pa.array(train), dims)
     model = language.Model(x, langs * 6)
-    texts = [*ODD_TEXTS, "ung tion", "ANDO der eau"]
+    texts = [*ODD_TEXTS, "ung tion", "ANDO der eau", "ung der keit"]
     got = model.predict(pa.array(texts, pa.string()), dims)
     for text, (pred, score, ambiguous, second) in zip(texts, got):
         counts = [0.0] * dims
@@ -262,10 +263,11 @@ def test_language_by_hand():
         order = sorted(langs, key=loss.get)
         belief = [math.exp((loss[order[0]] - loss[k]) * len(margins)) for k in order]
         assert (pred, second) == (order[0], order[1]), text
-        assert abs(score - 1 / sum(belief)) < 1e-3 and ambiguous == (score < 0.5 + language.MARGIN)
-    # a text that is half one language and half another is told to be so
-    mixed = [p for _, p in zip(range(1), got[len(ODD_TEXTS) :])]
-    assert {mixed[0][0], mixed[0][3]} == {"xa", "xb"}
+        assert abs(score - 1 / sum(belief)) < 1e-3 and ambiguous == (loss[second] - loss[pred] < language.MARGIN * (loss[second] + loss[pred]))
+    # a text that is half one language and half another is told to be so, and one of a single language is not
+    mixed, pure = got[len(ODD_TEXTS)], got[-1]
+    assert {mixed[0], mixed[3]} == {"xa", "xb"} and mixed[2]
+    assert pure[:1] == ("xa",) and not pure[2]
 
 
 def test_samples_are_bounded_and_even(spark):
