@@ -317,3 +317,18 @@ def test_odd_rows(spark):
         # the three copies of the text agree, and so do the three empty ones
         values = sorted((str(v) for _, v in got))
         assert sorted(values.count(v) for v in set(values))[-1] >= 3, name
+
+
+def test_clashing_columns_of_small_tables(spark):
+    """Conversations, benchmark items and labels with columns named as those that the operators make."""
+    from blockframe.llm import decontamination
+
+    turns = spark.createDataFrame([(1, 0, "user", "a", 5, "w"), (1, 1, "assistant", "b", 6, None), (2, 0, None, None, 7, "w")], "conv_id int, turn int, role string, text string, window int, n_turns string")
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(turns)).collect()}
+    assert got[1].n_turns == 2 and got[1].loss_chars == 1 and got[2].n_turns == 1
+    assert got[1].turns_sha256 == hashlib.sha256(b"user\na\nassistant\nb\n").hexdigest()
+    docs = spark.createDataFrame([(1, "x a b c d e f g h y"), (2, "z")], "doc_id long, text string")
+    bench = spark.createDataFrame([("i", "a b c d e f g h", 1, "s", 2)], "item_id string, text string, row int, spans string, doc_id int")
+    assert {r.doc_id: r.n_hit for r in decontamination.contamination(docs, bench).collect()} == {1: 8, 2: 0}
+    labels = spark.createDataFrame([(1, 1, "t", 2.0, 3), (2, 0, "t", 2.0, 3)], "doc_id long, toxic int, text string, score double, name int")
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 2
