@@ -11,13 +11,16 @@ from pyspark.sql import types as T
 from ..plans.model import Source, col, fresh
 
 
-def by_block(block: str, value: str, kind: T.DataType) -> Column:
-    """An aggregate: a map from blocks to values. Of several values of a block the last in their order counts; maps have no order, so theirs must be single."""
+def by_block(block: str, value: str, kind: T.DataType, once: str | None = None) -> Column:
+    """An aggregate: a map from blocks to values. If a block repeats the query fails, with `once` for the table's name; without it the last in the values' order counts. (Maps have no order, so theirs must be single.)"""
     entries = F.collect_list(F.struct(F.col(block), F.col(value)))
     if "map<" in kind.simpleString():
         return F.map_from_entries(entries)
     ordered = F.sort_array(entries)
-    return F.map_from_entries(F.filter(ordered, lambda x, i: ~x[block].eqNullSafe(F.get(ordered, i + 1)[block])))
+    last = F.filter(ordered, lambda x, i: ~x[block].eqNullSafe(F.get(ordered, i + 1)[block]))
+    if once:
+        last = F.when(F.size(last) == F.size(ordered), last).otherwise(F.raise_error(F.lit(f"keys of table {once} repeat")))
+    return F.map_from_entries(last)
 
 
 class Grid(Source):
@@ -46,8 +49,8 @@ class Grid(Source):
     def build(self) -> DataFrame:
         keys, date = [c for _, c in self.keys], self.date
         cell = F.struct(*(col(v).alias(n) for v, n in self.inputs.items()))
-        child = self.child.df().where(col(self.date_pivot).isNotNull()).select(*(col(p).alias(c) for p, c in self.keys), col(self.date_pivot).cast("int").alias("__t"), cell.alias("__cell"))
-        packed = child.groupBy(*(col(c) for c in keys)).agg(by_block("__t", "__cell", child.schema["__cell"].dataType).alias("__cells"))
+        child = self.child.rows().where(col(self.date_pivot).isNotNull()).select(*(col(p).alias(c) for p, c in self.keys), col(self.date_pivot).cast("int").alias("__t"), cell.alias("__cell"))
+        packed = child.groupBy(*(col(c) for c in keys)).agg(by_block("__t", "__cell", child.schema["__cell"].dataType, self.child.once).alias("__cells"))
         # one row that holds the scaffold's blocks: as long as the requested range at most
         blocks = self.dates().agg(F.sort_array(F.collect_set(col(date))).alias("__blocks"))
         rows = packed.crossJoin(F.broadcast(blocks)).select(*(col(c) for c in keys), "__cells", F.explode("__blocks").alias(date))

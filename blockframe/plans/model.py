@@ -80,6 +80,8 @@ class Source:
 
     def __init__(self, pivots: list[str]):
         self.pivots, self.id, self._df = pivots, next(_ids), None
+        #: the table whose rows these are, if a query is to fail where their pivots repeat
+        self.once: str | None = None
         self.later: dict[str, tuple[str, Callable[[], Column]]] = {}
 
     def then(self, key: str, make: Callable[[], Column]) -> str:
@@ -92,6 +94,11 @@ class Source:
         raise NotImplementedError
 
     def df(self) -> DataFrame:
+        """Rows by pivots, each pivots' once."""
+        return self.rows()
+
+    def rows(self) -> DataFrame:
+        """The same, before anyone has looked whether pivots repeat."""
         if self._df is None:
             out = self.build()
             for name, make in self.later.values():

@@ -87,6 +87,7 @@ class Rows(Source):
     def __init__(self, planner: Planner, table: Table):
         super().__init__([*table.key, *([table.date] if table.date else [])])
         self.planner, self.table = planner, table
+        self.once = table.name if planner.unique else None
         self.values: dict[str, tuple[str, Row]] = {}
 
     def value(self, row: Row) -> str:
@@ -95,8 +96,10 @@ class Rows(Source):
     def build(self) -> DataFrame:
         rows = self.values.values()
         df = self.planner.built(self.table, merged(*(r.joins for _, r in rows)))
-        df = df.select(*(col(p) for p in self.pivots), *(r.make().alias(n) for n, r in rows))
-        return once(df, self.pivots, self.table.name) if self.planner.unique else df
+        return df.select(*(col(p) for p in self.pivots), *(r.make().alias(n) for n, r in rows))
+
+    def df(self) -> DataFrame:
+        return once(self.rows(), self.pivots, self.once) if self.once else self.rows()
 
 
 @dataclass
