@@ -32,9 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, ship, slices, table, written
+from .common import LOWER, Words, discard, hot_join, ship, slices, table, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
+#: a column that keep_one and keep_similar add for a while
+ROW = "__simhash_row"
 #: fingerprints that a task of the variant join gets on average, which sets the prefix
 PER_TASK = 1 << 15
 #: variants sorted at a time in a task
@@ -43,41 +45,25 @@ SLICE = 1 << 22
 
 def shingle_bits(texts: pa.Array, n: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """Fingerprints (uint64) of a batch of texts."""
-    w = Words(texts)
-    # words of a text joined by one space, A-Z lower-cased: a shingle is a slice of this
-    lengths = np.diff(w.offsets)
-    begin = np.concatenate([[0], np.cumsum(lengths + 1)])
-    joined = np.full(int(begin[-1]), 32, np.uint8)
-    joined[np.arange(len(w.packed)) + np.repeat(np.arange(w.n), lengths)] = LOWER[w.packed]
-    body = joined.tobytes()
-    count = np.diff(w.first)
-    out = np.zeros(len(count), np.uint64)
-    digest = xxhash.xxh64_intdigest
-    starts, ends = begin[:-1], begin[:-1] + lengths
-    for d in range(len(count)):
-        i, j = int(w.first[d]), int(w.first[d + 1])
-        if i == j:
-            continue
-        size = min(n, j - i)
-        lo, hi = starts[i : j - size + 1].tolist(), ends[i + size - 1 : j].tolist()
-        total, seen = np.zeros(64, np.int64), 0
-        for a in range(0, len(lo), 65536):
-            h = np.array([digest(body[s:e], seed) for s, e in zip(lo[a : a + 65536], hi[a : a + 65536])], np.uint64)
-            total += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-            seen += len(h)
-        out[d] = np.packbits(2 * total > seen).view(">u8")[0]
+    out = np.zeros(len(texts), np.uint64)
+    for d, every in enumerate(shingle_hashes(texts, n, seed)):
+        total = np.zeros(64, np.int64)
+        for a in range(0, len(every), 65536):
+            total += np.unpackbits(every[a : a + 65536].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        if len(every):
+            out[d] = np.packbits(2 * total > len(every)).view(">u8")[0]
     return out
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every row, in one narrow pass."""
+    """doc_id, row and fingerprint (fp, a signed long) of every row, in one narrow pass."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(shingle_bits(b.column("text"), n, seed).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(shingle_bits(b.column("text"), n, seed).view(np.int64))], ["doc_id", "row", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("row")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 @functools.cache
@@ -151,6 +137,8 @@ def links(fps: DataFrame, radius: int = RADIUS, per_task: int = PER_TASK) -> Dat
     """Links (a, b) between distinct fingerprints (column fp) that join all within the radius.
 
     Any two distinct fingerprints within the radius end up connected; every link is itself within a chain of such pairs."""
+    if radius % 2:
+        raise ValueError(f"half of the radius must be whole: {radius}")
     half = radius // 2
     count = fps.count()
     bits = 0
@@ -183,49 +171,71 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating star contraction: each round links every node's larger neighbours, then its
     smaller ones, to the smallest; rounds are logarithmic in a component's size. Neighbours
-    meet by a minimum with partial counts and a join, never as a list."""
+    meet by a minimum with partial counts and a join, never as a list, and the neighbours of
+    a star's centre in no one task."""
 
-    def smallest(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"))
+    def linked_to_least(pairs: DataFrame, among: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+        """Of each u its smallest v of pairs (or u) as m, with their number; and the rows of `among` with m."""
+        least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = least.select("u", F.least("u", "m").alias("m"), "n")
+        return least, hot_join(among, least, "u", rows)
 
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    before = None
+    before, rows = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = smallest(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = smallest(large)
-        small = large.join(least, "u")
-        now = written(small.select("v", "m").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        large = linked_to_least(both, both.where("v > u"), 2 * rows)[1].select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least, small = linked_to_least(large, large, 2 * rows)
+        last, now = now, written(small.select("v", "m").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
         # as many edges as nodes with a parent, and parents without one: a forest of stars
-        state = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if tuple(state) == before:
+        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
+        if state == before:
             break
-        before = tuple(state)
+        before, rows = state, state[0]
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
+def _classes(marked: DataFrame, reps: DataFrame, label: DataFrame, on: str, rows: int) -> DataFrame:
+    """marked with its class's first row (`first`: id and row); reps has the first row of each `on` and how many rows have it, label the component of each node."""
+    joined = reps.join(label, "node", "left").select(on, "first", "n", F.coalesce("label", "node").alias("label"))
+    best = joined.groupBy("label").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("n"))
+    of = hot_join(joined.select(on, "label", F.col("n").alias("times")), best, "label", rows).select(on, F.col("best").alias("first"), F.col("times").alias("n"))
+    return hot_join(marked, of, on, rows)
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, seed: int = SEED, per_task: int = PER_TASK) -> DataFrame:
-    """doc_id, fp (signed), component_id of every row."""
+    """doc_id, row (a hash of id and text), fp (signed), component_id and first_row (its row) of every row."""
     marked = written(fingerprints(docs, n, seed))
+    rows = marked.count()
     # one representative for each distinct fingerprint; copies need no links
-    reps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = links(reps.select("fp"), radius, per_task)
-    label = components(found)
-    joined = reps.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    best = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = joined.select("fp", "label").join(best, "label").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    reps = written(marked.groupBy("fp").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", F.col("fp")))
+    found = _classes(marked, reps, components(links(reps.select("fp"), radius, per_task)), "fp", rows)
+    return found.select("doc_id", "row", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
+
+
+def _order():
+    """What the first row of a class is the least of: null ids are last, and rows that share an id go by their hashes."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
+
+
+def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that are the first of their class by found (row, first_row), rows repeated with id and text once, and all rows without an id."""
+    keep = found.where("doc_id IS NOT NULL AND row = first_row").select(F.col("row").alias(ROW)).distinct()
+    own = docs.where("doc_id IS NOT NULL").withColumn(ROW, row_hash())
+    return own.join(keep.hint("merge"), ROW, "left_semi").dropDuplicates([ROW]).drop(ROW).unionByName(docs.where("doc_id IS NULL"))
+
+
+def row_hash():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id, with all its columns.
+    """Of each class of near-duplicates the first row, that with the smallest id, with all its columns.
 
     A row repeated with id and text is kept once. Rows without an id take part in classes, but as nothing can name them, none is dropped."""
-    keep = near_duplicates(docs, radius, n, seed).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    return _firsts(docs, near_duplicates(docs, radius, n, seed))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,15 +247,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #
 # A radius of 4 bits in 64 links texts whose shingles are some 0.96 alike. To link from a
 # similarity of 0.8, a text gets several independent short keys, each hashed by balls: a pair
-# meets if one of its keys differs by at most two bits, and is verified by a longer fingerprint.
+# meets if one of its keys differs by at most two bits. Longer fingerprints then tell most
+# pairs: those three standard deviations nearer than a pair of the wanted similarity are
+# links, those more than two farther are none. What lies between is compared exactly, by
+# the texts' sets of shingles: of the pairs that meet, those nearest first, as many as would
+# join what is not joined yet.
 
 WORDS, KEY_BITS, VERIFY = 10, 32, 2
 #: keys that a task of the key join gets on average
-KEYS_PER_TASK = 1 << 16
+KEYS_PER_TASK = 1 << 18
 
 
-def signature_words(texts: pa.Array, n: int, words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """`words` independent 64-bit fingerprints of each text, from one hash of each shingle."""
+def shingle_hashes(texts: pa.Array, n: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """Hashes (uint64) of every text's shingles, repeats included, A-Z lower-cased; a text with fewer words is one shingle."""
     w = Words(texts)
     lengths = np.diff(w.offsets)
     begin = np.concatenate([[0], np.cumsum(lengths + 1)])
@@ -253,76 +267,111 @@ def signature_words(texts: pa.Array, n: int, words: int = WORDS, seed: int = SEE
     joined[np.arange(len(w.packed)) + np.repeat(np.arange(w.n), lengths)] = LOWER[w.packed]
     body, digest = joined.tobytes(), xxhash.xxh64_intdigest
     starts, ends = begin[:-1], begin[:-1] + lengths
-    out = np.zeros((len(texts), words), np.uint64)
     for d in range(len(texts)):
         i, j = int(w.first[d]), int(w.first[d + 1])
-        if i == j:
-            continue
         size = min(n, j - i)
-        lo, hi = starts[i : j - size + 1].tolist(), ends[i + size - 1 : j].tolist()
-        total, seen = np.zeros(64 * words, np.int64), 0
-        for a in range(0, len(lo), 8192):
-            h = np.array([digest(body[s:e], seed) for s, e in zip(lo[a : a + 8192], hi[a : a + 8192])], np.uint64)
-            many = h[:, None] * (2 * np.arange(words, dtype=np.uint64) + np.uint64(1))[None, :]
+        lo, hi = (starts[i : j - size + 1], ends[i + size - 1 : j]) if size else (starts[:0], ends[:0])
+        yield np.fromiter((digest(body[s:e], seed) for s, e in zip(lo.tolist(), hi.tolist())), np.uint64, len(lo))
+
+
+def signature_words(texts: pa.Array, n: int, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """`words` independent 64-bit fingerprints of each text, from one hash of each shingle."""
+    out, odd = np.zeros((len(texts), words), np.uint64), 2 * np.arange(words, dtype=np.uint64) + np.uint64(1)
+    for d, every in enumerate(shingle_hashes(texts, n, seed)):
+        total = np.zeros(64 * words, np.int64)
+        for a in range(0, len(every), 8192):
+            many = every[a : a + 8192, None] * odd[None, :]
             many = (many ^ (many >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53)
             many ^= many >> np.uint64(33)
             total += np.unpackbits(many.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-            seen += len(h)
-        out[d] = np.packbits(2 * total > seen).view(np.uint64)
+        if len(every):
+            out[d] = np.packbits(2 * total > len(every)).view(np.uint64)
     return out
 
 
-def distance_at(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of texts with a Jaccard similarity differ on average."""
-    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits + 0.5)
+def levels(similarity: float, bits: int) -> list[int]:
+    """Increasing distances of `bits` bits: of sure links, then of likelier and less likely ones, up to the last that may be a link."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return [max(0, round(p * bits + k * np.sqrt(bits * p * (1 - p)))) for k in (-3, -2, -1, 0, 1, 2)]
 
 
-def linked(words: np.ndarray, groups: list[np.ndarray], most: int, label: np.ndarray) -> np.ndarray:
-    """Components (smallest member of each) after linking all pairs within a group whose verified distance is at most `most`.
+def roots(label: np.ndarray, x: np.ndarray) -> np.ndarray:
+    x = label[x]
+    while (label[x] != x).any():
+        x = label[x]
+    return x
 
-    Pairs that are in one component already are not looked at, so that a large group of copies costs its size, not its square."""
+
+def linked(words: np.ndarray, groups: list[np.ndarray], most: int, label: np.ndarray) -> list[tuple[int, int]]:
+    """Joins, in label, what pairs within a group join whose distance is at most `most`; the pairs that did.
+
+    Pairs that are joined already are not looked at, so that a large group of copies costs its size, not its square."""
+    found = []
     for g in groups:
         for i in range(len(g) - 1):
-            rest = g[i + 1 :]
-            rest = rest[label[rest] != label[g[i]]]
+            own = roots(label, g[i:])
+            rest = np.flatnonzero(own != own[0])
+            if not len(rest):
+                continue
+            far = np.bitwise_count(words[g[i + rest]] ^ words[g[i]]).sum(axis=1)
+            rest, far = rest[far <= most], far[far <= most]
+            # of each other class the nearest
+            rest = rest[np.lexsort((far, own[rest]))]
+            rest = rest[np.unique(own[rest], return_index=True)[1]]
             if len(rest):
-                near = rest[np.bitwise_count(words[rest] ^ words[g[i]]).sum(axis=1) <= most]
-                if len(near):
-                    old = np.unique(np.append(label[near], label[g[i]]))
-                    label[np.isin(label, old)] = old[0]
-    return label
+                found += [(int(g[i]), int(g[i + k])) for k in rest]
+                label[np.append(own[rest], own[0])] = min(int(own[rest].min()), int(own[0]))
+    return found
 
 
-def key_links(prefix: int, bits: int, keys: np.ndarray, words: np.ndarray, most: int) -> np.ndarray:
-    """Components of holders of variants (within one bit of each key) that start with a prefix; verified by words."""
-    low = KEY_BITS - bits
-    away = np.bitwise_count((keys >> np.uint64(low)) ^ np.uint64(prefix))
-    base = keys & np.uint64((1 << low) - 1)
-    own, near = np.flatnonzero(away == 0), np.flatnonzero(away == 1)
-    m = masks(low, 1)
-    v = np.concatenate([(base[own, None] ^ m[None, :]).ravel(), base[near]])
-    o = np.concatenate([np.repeat(own, len(m)), near])
-    order = np.argsort(v)
-    v, o = v[order], o[order]
-    a, b = o[:-1][v[1:] == v[:-1]], o[1:][v[1:] == v[:-1]]
-    good = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= most
-    # neighbours first, all at once; then the groups in which they left more than one component
-    label = forest(len(keys), a[good], b[good])
-    cut = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1, [len(v)]])
-    size = np.diff(cut)
-    mixed = np.zeros(len(v), bool)
-    mixed[1:] = (v[1:] == v[:-1]) & (label[o[1:]] != label[o[:-1]])
-    some = np.flatnonzero((size > 2) & (np.add.reduceat(mixed, cut[:-1]) > 0)) if len(v) else []
-    return linked(words, [np.unique(o[cut[i] : cut[i + 1]]) for i in some], most, label)
+def key_links(prefix: int, bits: int, keys: np.ndarray, words: np.ndarray, steps: list[int]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Among holders of variants (within one bit of each key) that start with a prefix: the smallest member of what sure links join; and the nearest pairs of others that would join more."""
+    label, groups, more = np.arange(len(keys)), {}, 0
+    while len(keys) * (1 + KEY_BITS) >> more > SLICE and bits + more < KEY_BITS:
+        more += 1
+    for top in range(prefix << more, (prefix + 1) << more):  # variants that start alike, so that few are sorted at a time
+        low = KEY_BITS - bits - more
+        away = np.bitwise_count((keys >> np.uint64(low)) ^ np.uint64(top))
+        base = keys & np.uint64((1 << low) - 1)
+        own, near = np.flatnonzero(away == 0), np.flatnonzero(away == 1)
+        m = masks(low, 1)
+        v = np.concatenate([(base[own, None] ^ m[None, :]).ravel(), base[near]])
+        o = np.concatenate([np.repeat(own, len(m)), near])
+        order = np.argsort(v)
+        v, o = v[order], o[order]
+        if not len(v):
+            continue
+        same = v[1:] == v[:-1]
+        a, b = o[:-1][same], o[1:][same]
+        good = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= steps[0]
+        # neighbours first, all at once; then the groups in which they left more than one class
+        label = forest(len(keys), np.concatenate([a[good], np.arange(len(keys))]), np.concatenate([b[good], label]))
+        cut = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(v)]])
+        mixed = np.zeros(len(v), bool)
+        mixed[1:] = same & (label[o[1:]] != label[o[:-1]])
+        for i in np.flatnonzero(np.add.reduceat(mixed, cut[:-1]) > 0).tolist():
+            g = np.unique(o[cut[i] : cut[i + 1]])
+            groups[g.tobytes()] = g
+    left, sure, pairs = list(groups.values()), label, []
+    for k, most in enumerate(steps):
+        left = [g for g in left if len(np.unique(roots(label, g))) > 1]
+        pairs += linked(words, left, most, label)
+        if not k:
+            sure, pairs = roots(label, np.arange(len(label))), []
+    return sure, pairs
+
+
+#: what is sent of a key: its node, itself, and the words that verify it
+SENT = np.dtype([("node", "<i8"), ("key", "<u4"), ("words", "<u8", VERIFY)])
 
 
 def similar_links(nodes: DataFrame, similarity: float, per_task: int = KEYS_PER_TASK) -> DataFrame:
-    """Links (a, b) among nodes (node, keys: all fingerprint words packed) at least so similar."""
+    """Links (a, b, sure) among nodes (node, keys: all fingerprint words packed) that are at least so similar, or may be."""
     count = nodes.count()
     bits = 0
     while bits < 24 and count * (1 + bits) >> bits > per_task:
         bits += 1
-    most = distance_at(similarity, 64 * VERIFY)
+    steps = levels(similarity, 64 * VERIFY)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = masks(bits, 1)
@@ -337,44 +386,72 @@ def similar_links(nodes: DataFrame, similarity: float, per_task: int = KEYS_PER_
                 to, of = to[order], order // len(flips)
                 # the words that verify are not those that make the key
                 other = [(t + 1 + k) % words.shape[1] for k in range(VERIFY)]
-                sent = np.column_stack([node[of].view(np.uint64), keys[of, t], words[of][:, sorted(other)]])
+                sent = np.empty(len(of), SENT)
+                sent["node"], sent["key"], sent["words"] = node[of], keys[of, t], words[of][:, other]
                 cut = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to))
                 to_rows += [(t << bits) | int(x) for x in to[cut[:-1]]]
                 data_rows += [sent[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(to_rows, pa.int64()), pa.array(data_rows, pa.binary())], ["bucket", "data"])
 
     def meet(key, group):
-        got = np.frombuffer(b"".join(group.column("data").to_pylist()), np.uint64).reshape(-1, 2 + VERIFY)
-        label = key_links(key[0].as_py() & ((1 << bits) - 1), bits, got[:, 1], got[:, 2:], most)
+        got = np.frombuffer(b"".join(group.column("data").to_pylist()), SENT)
+        label, pairs = key_links(key[0].as_py() & ((1 << bits) - 1), bits, got["key"].astype(np.uint64), np.ascontiguousarray(got["words"]), steps)
         child = np.flatnonzero(label != np.arange(len(label)))
-        node = np.ascontiguousarray(got[:, 0]).view(np.int64)
-        return pa.table({"a": pa.array(node[child]), "b": pa.array(node[label[child]])})
+        node, (x, y) = got["node"], np.array(pairs, np.int64).reshape(-1, 2).T
+        a, b = node[np.append(child, x)], node[np.append(label[child], y)]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "sure": pa.array(np.repeat([True, False], [len(child), len(x)]))})
+
+    made = nodes.mapInArrow(deal, "bucket long, data binary").groupBy("bucket").applyInArrow(meet, "a long, b long, sure boolean")
+    return made.where("a <> b").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float, n: int) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of shingles have at least that Jaccard similarity; docs: row, text."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            got = [np.unique(h.astype(np.uint32)).tobytes() for h in shingle_hashes(b.column("text"), n)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(got, pa.binary())], ["node", "own"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y")):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return nodes.mapInArrow(deal, "bucket long, data binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    nodes = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    # no broadcast here, whatever the size: the rows that are looked for grow with the documents
+    own = written(docs.join(nodes.hint("merge"), "row", "left_semi").dropDuplicates(["row"]).select("row", "text").mapInArrow(sets, "node long, own binary"))
+    side = lambda k, c: own.select(F.col("node").alias(k), F.col("own").alias(c))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def similar_classes(docs: DataFrame, similarity: float = 0.8, n: int = 5, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, component_id of every row with an id: classes of texts whose n-word shingles are at least so similar, directly or by way of others.
+    """doc_id, row, component_id and first_row of every row with an id: classes of texts whose n-word shingles are at least so similar, directly or by way of others.
 
-    A pair of similarity 0.8 meets in some key with a probability of about 0.9, one of 0.9 with nearly 1."""
+    A pair of similarity 0.8 meets in some key with a probability of about 0.9, one of 0.9 with nearly 1; a pair that meets is compared exactly unless it is clearly more or less alike."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             got = signature_words(b.column("text"), n, words, seed)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["doc_id", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array([x.tobytes() for x in got], pa.binary())], ["doc_id", "row", "keys"])
 
-    marked = written(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, keys binary"))
-    # texts with the same words of fingerprint are one node, named by its smallest document
-    reps = written(marked.groupBy("keys").agg(F.min("doc_id").alias("node")))
-    label = components(similar_links(reps, similarity))
-    of = reps.join(label, "node", "left").select("keys", F.coalesce("label", "node").alias("component_id"))
-    return marked.join(of, "keys").select("doc_id", "component_id")
+    marked = written(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("row")).mapInArrow(run, "doc_id long, row long, keys binary"))
+    rows = marked.count()
+    # texts with the same words of fingerprint are one node, named by its first row
+    reps = written(marked.groupBy("keys").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", F.col("first.row")))
+    links = written(similar_links(reps, similarity))
+    unsure = verified(links.where("NOT sure").select("a", "b"), docs.where("doc_id IS NOT NULL").select(row_hash().alias("row"), F.coalesce("text", F.lit("")).alias("text")), similarity, n)
+    found = _classes(marked, reps, components(links.where("sure").select("a", "b").unionByName(unsure)), "keys", rows)
+    return found.select("doc_id", "row", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
 
 
 def keep_similar(docs: DataFrame, similarity: float = 0.8, n: int = 5) -> DataFrame:
-    """Of each class of similar texts the document with the smallest id, with all its columns.
+    """Of each class of similar texts the first row, that with the smallest id, with all its columns.
 
-    A row repeated with id and text is kept once. Rows without an id cannot be named and all stay."""
-    keep = similar_classes(docs, similarity, n).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
+    A row repeated with id and text is kept once, and so is one of several texts of a class that share its smallest id. Rows without an id cannot be named and all stay."""
+    return _firsts(docs, similar_classes(docs, similarity, n))
