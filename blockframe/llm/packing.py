@@ -15,7 +15,9 @@ with equal or null ids, are packed each for itself. Empty tables give no rows.
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, Memo, Words, ragged, raw, ship, slices, table, vocabulary_path, written
 
 CAPACITY = 2048
+#: nodes that a search may take, some milliseconds each
+NODES = 5000
+#: nodes on the way down whose fillings are kept in memory
+AWAKE = 32
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, nth long"
 _encoders: dict = {}
 #: 1 for ASCII letters and digits, 2 for ASCII signs that the vocabulary's pattern always parts from them, 0 for the rest
@@ -152,76 +158,161 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
         runs.append((tuple(fill), more + 1))
 
 
-def fillings(left: np.ndarray, room: int, most: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room by at most `most` lengths, fullest first, `width` of them.
-
-    A filling is dominated when one of its lengths could give way to a larger one that
-    still fits: every filling here leaves no length of the histogram that fits beside it,
-    and its last length is the largest that fits."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-
-    def extend(chosen: tuple[int, ...], space: int, top: int) -> None:
-        if len(found) >= 4 * width:
-            return
-        have = np.flatnonzero(left[1 : min(space, top) + 1]) + 1
-        have = have[::-1]
-        if chosen:
-            used = {n: chosen.count(n) for n in chosen}
-            have = np.array([n for n in have[: width + len(used)] if left[n] > used.get(int(n), 0)], np.int64)
-        if not len(have) or len(chosen) == most:
-            found.append((space, chosen))
+def lower_bound(left: np.ndarray, capacity: int) -> int:
+    """Sequences that a histogram needs at least (Martello and Toth's second bound): for every a, pieces above capacity - a
+    lie alone, others above half of it apart, and those from a to half of it fill what room the latter leave), or by number."""
+    half, a = capacity // 2, np.arange(capacity // 2 + 1)
+    pieces, size = np.cumsum(left), np.cumsum(left * np.arange(len(left)))
+    apart = pieces[capacity - a] - pieces[half]
+    over = size[half] - np.where(a > 0, size[np.maximum(a, 1) - 1], 0) - (apart * capacity - (size[capacity - a] - size[half]))
+    few = np.arange(1, 17)  # of pieces above a (k + 1)th of the capacity at most k lie together
+    return max(int((pieces[-1] - pieces[capacity - a] + apart + np.maximum(0, -(-over // capacity))).max()), int((-(-(pieces[-1] - pieces[capacity // (few + 1)]) // few)).max()))
+
+
+def dominated(filling: tuple[int, ...], spare: int, others: int) -> bool:
+    """Whether a piece that is left over (bits of `others`: their lengths) could take the place of some of a filling's
+    pieces, or of its waste `spare`, without the filling getting emptier: of one or none for a longer one, of several for one as long."""
+    one = several = 0  # bits: sums of exactly one, and of two pieces or more
+    for n in filling:
+        several |= several << n | one << n
+        one |= 1 << n
+    if several & others:
+        return True
+    sums, d = 1 | one | several, 1
+    # sums moved up by 1 to spare bits, by doubling
+    moved = sums << 1 if spare else 0
+    while d < spare:
+        by = min(d, spare - d)
+        moved |= moved << by
+        d += by
+    return bool(moved & others)
+
+
+def fillings(left: np.ndarray, room: int, tries: Iterator | None = None) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """All undominated fillings of a room, made one by one: (waste, lengths), fullest first and then longest pieces first.
+    Each that is made, dominated or not, takes one of `tries`; without any left the fillings end.
+
+    The sums that the shorter lengths can make are known as bits, so that the search for a
+    filling of a given sum meets no dead end."""
+    lengths = (np.flatnonzero(left[1 : room + 1]) + 1)[::-1].tolist()
+    count, everything = [int(left[n]) for n in lengths], (2 << room) - 1
+    reach = [1] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        sums, more, step = reach[i + 1], min(count[i], room // lengths[i]), 1
+        while more > 0:
+            take = min(step, more)
+            sums |= sums << take * lengths[i] & everything
+            more, step = more - take, 2 * step
+        reach[i] = sums
+
+    def exactly(i: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
             return
-        for n in have[:1] if len(chosen) == most - 1 else have[:width]:
-            extend((*chosen, int(n)), space - int(n), int(n))
-            if found and found[-1][0] == 0 and len(found) >= width:
+        while i < len(lengths):
+            n = lengths[i]
+            for k in range(min(count[i], total // n), 0, -1):
+                if reach[i + 1] >> total - k * n & 1:
+                    for rest in exactly(i + 1, total - k * n):
+                        yield (n,) * k + rest
+            i += 1
+            if not reach[i] >> total & 1:
                 return
 
-    extend((), room, room)
-    distinct = {f: s for s, f in found}
-    return sorted(distinct, key=lambda f: (distinct[f], len(f), [-x for x in f]))[:width]
+    bits = sum(1 << n for n in lengths)
+    for spare in range(room + 1):
+        if not reach[0] >> room - spare & 1:
+            continue
+        for f in exactly(0, room - spare):
+            if tries is not None and next(tries, None) is None:
+                return
+            used = Counter(f)
+            if not dominated(f, spare, bits ^ sum(1 << n for n, k in used.items() if left[n] == k)):
+                yield spare, f
 
 
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 1000, width: int = 6, most: int = 6) -> list[tuple[tuple[int, ...], int]]:
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
     """Runs of fillings that hold counts[n] pieces of each length n in as few sequences as found.
 
-    Depth-first search: at each node the largest length left opens a sequence, whose
-    undominated fillings are tried fullest first; a filling is repeated while its pieces
-    last. A node is pruned when its waste so far leaves no way below the incumbent, and
-    every node's rest is completed by best fit for a new incumbent. The search ends when
-    the incumbent meets the lower bound or after `nodes` nodes; it then stands."""
-    total = int((counts * np.arange(len(counts))).sum())
-    bound = max(-(-total // capacity), int(counts[capacity // 2 + 1 :].sum()))
+    Best-fit decreasing gives the first incumbent. If it does not meet the lower bound, a
+    depth-first search follows: at each node the largest length left opens a sequence,
+    whose undominated fillings are tried fullest first, each as often as its pieces last,
+    and after those once. A filling is pruned when the waste so far and its own leave no
+    way below the incumbent, and a node when the lower bound of what is left does. The
+    rest of every sixteenth node is completed by best fit for a new incumbent. The search
+    is complete: it ends when the incumbent meets the lower bound or nothing is left to
+    try. As it may take exponential time, it also ends after `nodes` nodes, or ten times
+    as many fillings made."""
+    total, bound = int((counts * np.arange(len(counts))).sum()), lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
-    size = sum(n for _, n in best)
-    spent = 0
-    stack: list[tuple[np.ndarray, list, int, int]] = [(counts.copy(), [], 0, 0)]
+    size, spent, tries = sum(n for _, n in best), 0, iter(range(10 * nodes))
+
+    root = Node(counts, None, 0, 0)
+    stack = [root] if size > bound else []
     while stack and size > bound and spent < nodes:
-        left, runs, used, waste = stack.pop()
+        node = stack[-1]
+        f, times, spare = node.option((size - 1) * capacity - total, capacity, tries)
+        if not times:
+            stack.pop()
+            continue
         spent += 1
-        if used + -(-int((left * np.arange(len(left))).sum()) // capacity) >= size or waste >= size * capacity - total:
+        after = node.left.copy()
+        kinds, need = np.unique(f, return_counts=True)
+        after[kinds] -= times * need
+        child = Node(after, (node.runs, (f, times)), node.used + times, node.waste + times * spare)
+        if not after.any():
+            if child.used < size:
+                best, size = child.all_runs(), child.used
             continue
-        some = np.flatnonzero(left)
-        if not len(some):
-            best, size = runs, used
+        if child.used + lower_bound(after, capacity) >= size:
             continue
         if spent % 16 == 1:
-            rest = best_fit(left, capacity)
-            if used + sum(n for _, n in rest) < size:
-                best, size = [*runs, *rest], used + sum(n for _, n in rest)
-        largest = int(some[-1])
-        left[largest] -= 1
-        options = fillings(left, capacity - largest, most, width)
-        left[largest] += 1
-        for f in reversed(options):
-            fill = (largest, *f)
-            kinds, need = np.unique(fill, return_counts=True)
-            times = int((left[kinds] // need).min())
-            after = left.copy()
-            after[kinds] -= times * need
-            stack.append((after, [*runs, (fill, times)], used + times, waste + times * (capacity - sum(fill))))
+            rest = best_fit(after, capacity)
+            if child.used + sum(n for _, n in rest) < size:
+                best, size = [*child.all_runs(), *rest], child.used + sum(n for _, n in rest)
+        stack.append(child)
+        if len(stack) > AWAKE:
+            stack[-AWAKE - 1].fillings = None
     return best
 
 
+class Node:
+    """A node of the search: what is left, the runs so far (the last, behind all before), sequences and waste so far, and how far its options have been tried."""
+
+    def __init__(self, left: np.ndarray, runs: tuple | None, used: int, waste: int):
+        self.left, self.runs, self.used, self.waste = left, runs, used, waste
+        self.once, self.seen, self.fillings = False, 0, None
+
+    def option(self, most: int, capacity: int, tries: Iterator) -> tuple[tuple[int, ...], int, int]:
+        """The next filling, with the largest length, how often, and its waste; () and 0 times if none is left. `most` waste leaves a way below the incumbent."""
+        largest = int(np.flatnonzero(self.left)[-1])
+        while True:
+            if self.fillings is None:  # they take memory, and are made anew where a node has slept
+                rest = self.left.copy()
+                rest[largest] -= 1
+                self.fillings = itertools.islice(fillings(rest, capacity - largest, tries), self.seen, None)
+            for spare, f in self.fillings:
+                self.seen += 1
+                if self.waste + spare > most:
+                    break
+                f = (largest, *f)
+                kinds, need = np.unique(f, return_counts=True)
+                times = int((self.left[kinds] // need).min())
+                times = min(times, (most - self.waste) // spare) if spare else times
+                if not self.once or times > 1:
+                    return f, 1 if self.once else times, spare
+            if self.once:
+                return (), 0, 0
+            self.once, self.seen, self.fillings = True, 0, None
+
+    def all_runs(self) -> list[tuple[tuple[int, ...], int]]:
+        out, at = [], self.runs
+        while at:
+            at, run = at
+            out.append(run)
+        return out[::-1]
+
+
 class Plan:
     """Where the r-th piece of a length goes: arrays sorted by (length, first rank)."""
 
@@ -244,7 +335,7 @@ class Plan:
         return row[:, 2] + nth // row[:, 3], row[:, 4] + nth % row[:, 3] * length
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = None, nodes: int = 1000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = None, nodes: int = NODES) -> DataFrame:
     """Every piece with its sequence and its place there.
 
     Two shuffles, both of counts per (block, length); the pieces, without their ids, are
