@@ -230,13 +230,16 @@ def measures(docs: DataFrame, folder: str | None = None, bands: dict[str, Band]
     """The counts and measures of every row and its language, in one narrow pass, as a table in the shared folder; with the row of docs itself (`doc`), if it passes the outer bounds."""
     ship(docs.sparkSession)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if texts else []))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(whole.alias("doc"), lang.alias("lang")) if texts else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang"))
     schema = StructType([*StructType.fromDDL(SCHEMA), *(f for f in rows.schema if f.name in ("lang", "doc"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if texts:
+            batches = (pa.RecordBatch.from_arrays([*b.columns, *(b.column("doc").field(c) for c in ("doc_id", "text"))], ["doc", "lang", "doc_id", "text"]) for b in batches)
+        more = [c.name for c in schema if c.name in ("doc", "lang")]
         for b in slices(batches):
             out = _columns(b.column("doc_id"), measure(b.column("text"), folder, bands))
-            more = [c for c in b.schema.names if c in ("lang", "doc")]
             out = pa.RecordBatch.from_arrays([*out.columns, *(b.column(c) for c in more)], [*out.schema.names, *more])
             yield out.filter(out.column("kept")) if texts else out
 
