@@ -8,10 +8,11 @@ what is held back for words never seen (as much as words seen once have). Known
 one unseen word for each tail class thus sum to one.
 
 Training is truncated backpropagation: streams of whole documents are read in windows, the
-state carried from window to window and cleared where a document begins. The blocks of a
-first task warm the network up; then every task trains from there on its own blocks, and
-the weights are averaged. Gradients are taken on all training documents, as are counts,
-classes and shares.
+state carried from window to window and cleared where a document begins. Blocks of documents
+are dealt into groups of some MB by a hash, whatever tasks there are. The first few blocks
+warm the network up; then, in ROUNDS rounds, every group of a round trains from
+the average of the round before on its own blocks, one after another. Gradients are taken on
+all training documents, as are counts, classes and shares.
 Scoring reads every document whole, many abreast, each carrying its state to its end.
 
 Words are known by 48 hash bits and their last two bytes; their counts meet in buckets of
@@ -33,12 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, crc_mod, packed, scratch, ship, slices, table, text_bytes, unpacked
+from .common import Words, crc_mod, delete, packed, raw, scratch, ship, shuffles_deleted, slices, starts, table, text_bytes, unpacked
 from .substrings import mix, word_hashes
 
 HEAD, PER_CLASS, TAIL, HIDDEN = 2000, 50, 88, 32
 STREAMS, STEPS, RATE = 256, 16, 0.01
+#: rows of the output layer that are computed at a time
+PIECE = 1024
 BUCKET_BYTES, BLOCK_BYTES = 16 << 20, 6 << 20
+#: text that a group learns from on average, and that warms up; rounds of groups
+GROUP_BYTES, WARM_BLOCKS, ROUNDS = 32 << 20, 3, 2
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: the end token's key, which no word has
 END = np.uint64(0)
@@ -53,6 +58,21 @@ def word_keys(w: Words) -> np.ndarray:
     return (word_hashes(w) & np.uint64(0xFFFFFFFFFFFF0000)) | before << np.uint64(8) | last
 
 
+class Coded:
+    """The words of a batch of lower-cased texts: token i is distinct word codes[i], whose key is keys[codes[i]]; text d has tokens first[d] to first[d + 1].
+
+    Keys are made, and looked up, once for each distinct word."""
+
+    def __init__(self, texts: pa.Array):
+        w = Words(texts, lower=True)
+        self.first, self.n = w.first, w.n
+        self.codes, distinct = w.coded()
+        distinct_words = Words.__new__(Words)
+        distinct_words.packed, distinct_words.offsets = raw(distinct)
+        distinct_words.n = len(distinct)
+        self.keys = word_keys(distinct_words)
+
+
 # --- the network ---------------------------------------------------------------------
 
 
@@ -163,106 +183,150 @@ class Network:
         w = self.weights
         places = self.head_classes * PER_CLASS
         kind = np.where(target < places, target // PER_CLASS, self.head_classes + target - places)
-        logit = h @ w["c"]
-        logit += w["cb"]
-        out = logit[np.arange(len(kind)), kind].astype(np.float64)
-        top = logit.max(axis=1, keepdims=True)
-        np.exp(np.subtract(logit, top, out=logit), out=logit)
-        out -= top[:, 0] + np.log(logit.sum(axis=1))
-        for k, rows in by_class(kind, self.head_classes):
-            span = slice(k * PER_CLASS, (k + 1) * PER_CLASS)
-            inner = h[rows] @ w["w"][span].T
-            inner += w["wb"][span]
-            top = inner.max(axis=1, keepdims=True)
-            out[rows] += inner[np.arange(len(rows)), target[rows] - k * PER_CLASS] - (top[:, 0] + np.log(np.exp(inner - top).sum(axis=1)))
+        out = np.empty(len(kind))
+        for i in range(0, len(kind), PIECE):
+            out[i : i + PIECE] = softmax(h[i : i + PIECE] @ w["c"], w["cb"], kind[i : i + PIECE])
+        order, cut = by_class(kind, self.head_classes)
+        own, place = h[order], target[order] % PER_CLASS
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            span, i, j = slice(k * PER_CLASS, (k + 1) * PER_CLASS), cut[k], cut[k + 1]
+            out[order[i:j]] += softmax(own[i:j] @ w["w"][span].T, w["wb"][span], place[i:j])
         return out
 
     def gradients(self, token: np.ndarray, target: np.ndarray, h: np.ndarray, end: int) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Mean loss over a window (steps x streams), its gradients, and the state at its end. The state is cleared before an end token."""
         w, n = self.weights, h.shape[1]
         steps, streams = token.shape
-        saved, states = [], np.empty((steps, streams, n), np.float32)
+        size, kind_of = steps * streams, w["u"].dtype
+        x = w["x"][token]
+        x += w["b"]
+        carried = (token != end)[:, :, None]
+        before, new, hu, states = (np.empty((steps, streams, n), kind_of) for _ in range(4))
+        gates, moved = np.empty((steps, streams, 2 * n), kind_of), np.empty((streams, 3 * n), kind_of)
         for t in range(steps):
-            carried = (token[t] != end)[:, None]
-            before = h * carried
-            h, *rest = self.step(token[t], before)
-            saved.append((before, carried, *rest))
-            states[t] = h
+            np.multiply(h, carried[t], out=before[t])
+            np.matmul(before[t], w["u"], out=moved)
+            gate = np.add(x[t, :, : 2 * n], moved[:, : 2 * n], out=gates[t])
+            gate *= 0.5
+            np.tanh(gate, out=gate)
+            gate += 1.0
+            gate *= 0.5
+            hu[t] = moved[:, 2 * n :]
+            c = np.multiply(gate[:, n:], hu[t], out=new[t])
+            c += x[t, :, 2 * n :]
+            np.tanh(c, out=c)
+            h = np.subtract(before[t], c, out=states[t])
+            h *= gate[:, :n]
+            h += c
         flat, goal = states.reshape(-1, n), target.ravel()
         places = self.head_classes * PER_CLASS
         kind = np.where(goal < places, goal // PER_CLASS, self.head_classes + goal - places)
-        logit = flat @ w["c"] + w["cb"]
-        logit -= logit.max(axis=1, keepdims=True)
-        np.exp(logit, out=logit)
-        logit /= logit.sum(axis=1, keepdims=True)
-        every, scale = np.arange(len(goal)), np.float32(1 / len(goal))
-        loss = -np.log(logit[every, kind] + 1e-30).sum()
-        logit[every, kind] -= 1
-        logit *= scale
-        g = {k: np.zeros_like(x) for k, x in w.items()}
-        g["c"], g["cb"] = flat.T @ logit, logit.sum(axis=0)
-        back = logit @ w["c"].T
-        for k, rows in by_class(kind, self.head_classes):
-            span = slice(k * PER_CLASS, (k + 1) * PER_CLASS)
-            own = flat[rows]
-            inner = own @ w["w"][span].T + w["wb"][span]
-            inner -= inner.max(axis=1, keepdims=True)
-            np.exp(inner, out=inner)
-            inner /= inner.sum(axis=1, keepdims=True)
-            place = goal[rows] - k * PER_CLASS
-            loss -= np.log(inner[np.arange(len(rows)), place] + 1e-30).sum()
-            inner[np.arange(len(rows)), place] -= 1
-            inner *= scale
-            g["w"][span], g["wb"][span] = inner.T @ own, inner.sum(axis=0)
-            back[rows] += inner @ w["w"][span]
+        scale = kind_of.type(1 / size)
+        g = {k: np.zeros_like(v) for k, v in w.items()}
+        back = np.empty((size, n), kind_of)
+        loss, out_of_class = 0.0, np.ascontiguousarray(w["c"].T)
+        for i in range(0, size, PIECE):  # pieces that stay in a processor's cache
+            own = flat[i : i + PIECE]
+            logit = own @ w["c"]
+            loss -= softmax(logit, w["cb"], kind[i : i + PIECE], scale).sum()
+            g["c"] += own.T @ logit
+            g["cb"] += logit.sum(axis=0)
+            np.matmul(logit, out_of_class, out=back[i : i + PIECE])
+        order, cut = by_class(kind, self.head_classes)
+        own, place = flat[order], goal[order] % PER_CLASS
+        pull = np.empty_like(own)
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            span, i, j = slice(k * PER_CLASS, (k + 1) * PER_CLASS), cut[k], cut[k + 1]
+            inner = own[i:j] @ w["w"][span].T
+            loss -= softmax(inner, w["wb"][span], place[i:j], scale).sum()
+            g["w"][span], g["wb"][span] = inner.T @ own[i:j], inner.sum(axis=0)
+            np.matmul(inner, w["w"][span], out=pull[i:j])
+        back[order] += pull
         back = back.reshape(steps, streams, n)
-        drive = np.empty((steps, streams, 3 * n), np.float32)
-        later = np.zeros((streams, n), np.float32)
+        drive, inner = np.empty((steps, streams, 3 * n), kind_of), np.empty((steps, streams, 3 * n), kind_of)
+        later, rest, out_of_state = np.zeros((streams, n), kind_of), np.empty((streams, n), kind_of), np.ascontiguousarray(w["u"].T)
         for t in range(steps - 1, -1, -1):
-            before, carried, z, r, new, hu = saved[t]
-            d = back[t] + later
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (before - new) * z * (1 - z)
-            d_r = d_new * hu * r * (1 - r)
-            drive[t, :, :n], drive[t, :, n : 2 * n], drive[t, :, 2 * n :] = d_z, d_r, d_new
-            inner = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            g["u"] += before.T @ inner
-            later = (d * z + inner @ w["u"].T) * carried
+            z, r, d = gates[t, :, :n], gates[t, :, n:], back[t]
+            d += later
+            np.subtract(1, z, out=rest)
+            d_z, d_r, d_new = drive[t, :, :n], drive[t, :, n : 2 * n], drive[t, :, 2 * n :]
+            np.multiply(new[t], new[t], out=d_new)
+            np.subtract(1, d_new, out=d_new)
+            d_new *= d
+            d_new *= rest
+            np.subtract(before[t], new[t], out=d_z)
+            d_z *= d
+            d_z *= z
+            d_z *= rest
+            np.multiply(d_new, hu[t], out=d_r)
+            d_r *= r
+            np.subtract(1, r, out=rest)
+            d_r *= rest
+            inner[t, :, : 2 * n] = drive[t, :, : 2 * n]
+            np.multiply(d_new, r, out=inner[t, :, 2 * n :])
+            later = inner[t] @ out_of_state
+            d *= z
+            later += d
+            later *= carried[t]
+        g["u"] = before.reshape(-1, n).T @ inner.reshape(-1, 3 * n)
         drive = drive.reshape(-1, 3 * n)
         g["b"] = drive.sum(axis=0)
         used = token.ravel()
         order = np.argsort(used, kind="stable")
         cut = np.flatnonzero(np.concatenate([[True], np.diff(used[order]) != 0]))
         g["x"][used[order][cut]] = np.add.reduceat(drive[order], cut, axis=0)
-        return float(loss / len(goal)), g, h
+        return float(loss / size), g, h
+
 
+def softmax(logit: np.ndarray, bias: np.ndarray, target: np.ndarray, scale: np.floating | None = None) -> np.ndarray:
+    """Log probability of each row's target; logit becomes the loss's gradient, times scale, if that is given."""
+    logit += bias
+    every = np.arange(len(target))
+    logit -= logit.max(axis=1, keepdims=True)
+    out = logit[every, target].astype(np.float64)
+    np.exp(logit, out=logit)
+    total = logit @ np.ones(logit.shape[1], logit.dtype)
+    if scale is not None:
+        logit *= (scale / total)[:, None]
+        logit[every, target] -= scale
+    return out - np.log(total)
 
-def by_class(kind: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
+
+def by_class(kind: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the first `classes` classes, one class after another, and where each begins."""
     order = np.argsort(kind, kind="stable")
     cut = np.searchsorted(kind[order], np.arange(classes + 1))
-    for k in range(classes):
-        if cut[k] < cut[k + 1]:
-            yield k, order[cut[k] : cut[k + 1]]
+    return order[: cut[-1]], cut
 
 
 class Adam:
-    def __init__(self, rate: float = RATE):
-        self.rate, self.t, self.m, self.v = rate, 0, {}, {}
+    def __init__(self):
+        self.t, self.m, self.v = 0, {}, {}
 
     def update(self, w: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
-        norm = float(np.sqrt(sum((x * x).sum() for x in g.values())))
+        norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())))
         clip = min(1.0, 1.0 / (norm + 1e-12))
         for k, x in g.items():
-            x *= np.float32(clip)
+            x *= clip
             m, v = self.m.setdefault(k, np.zeros_like(x)), self.v.setdefault(k, np.zeros_like(x))
-            m += np.float32(0.1) * (x - m)
-            v += np.float32(0.01) * (x * x - v)
-            w[k] -= np.float32(rate / (1 - 0.9**self.t)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**self.t))) + np.float32(1e-7))
-
-
-def train(net: Network, stream: np.ndarray, end: int, streams: int = STREAMS, steps: int = STEPS, rate: float = RATE) -> tuple[Network, list[float]]:
-    """Truncated backpropagation over a stream of ids, in which each document begins with the end token."""
+            step = x * x
+            step *= 0.01
+            v *= 0.99
+            v += step
+            x *= 0.1
+            m *= 0.9
+            m += x
+            np.multiply(v, 1 / (1 - 0.99**self.t), out=step)
+            np.sqrt(step, out=step)
+            step += 1e-7
+            np.divide(m, step, out=step)
+            step *= rate / (1 - 0.9**self.t)
+            w[k] -= step
+
+
+def train(net: Network, stream: np.ndarray, end: int, streams: int = STREAMS, steps: int = STEPS, rate: float = RATE, adam: Adam | None = None, span: tuple[float, float] = (0.0, 1.0)) -> tuple[Network, list[float]]:
+    """Truncated backpropagation over a stream of ids, in which each document begins with the end token. The stream may be one of several that one optimiser takes: `span` is its part of them all."""
     net = Network(net.head_classes, {k: x.copy() for k, x in net.weights.items()})
     streams = max(1, min(streams, (len(stream) - 1) // (4 * steps)))
     size = -(-(len(stream) - 1) // streams)
@@ -272,10 +336,10 @@ def train(net: Network, stream: np.ndarray, end: int, streams: int = STREAMS, st
     stream = np.concatenate([stream, stream[1 : size * streams + 2 - len(stream)]])
     token = stream[: size * streams].reshape(streams, size).T
     target = stream[1 : size * streams + 1].reshape(streams, size).T
-    adam, h, losses = Adam(rate), np.zeros((streams, net.weights["u"].shape[0]), np.float32), []
+    adam, h, losses = adam or Adam(), np.zeros((streams, net.weights["u"].shape[0]), np.float32), []
     for t in range(0, size, steps):
         loss, g, h = net.gradients(token[t : t + steps], target[t : t + steps], h, end)
-        adam.update(net.weights, g, rate * (1 - 0.8 * t / size))
+        adam.update(net.weights, g, rate * (1 - 0.8 * (span[0] + (span[1] - span[0]) * t / size)))
         losses.append(loss)
     return net, losses
 
@@ -323,16 +387,17 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 24
         for nth, b in enumerate(slices(batches, most=BLOCK_BYTES)):
-            w = Words(b.column("text"), lower=True)
+            w = Coded(b.column("text"))
             learned = ~b.column("held_out").to_numpy(zero_copy_only=False)
-            keys, inverse = np.unique(word_keys(w), return_inverse=True)
-            count = np.bincount(inverse, np.repeat(learned, np.diff(w.first)), len(keys)).astype(np.int64)
+            # two words may have one key
+            keys, inverse = np.unique(w.keys, return_inverse=True)
+            count = np.bincount(w.codes, np.repeat(learned, np.diff(w.first)), len(w.keys))
+            count = np.bincount(inverse, count, len(keys)).astype(np.int64)
             keys, count = np.append(END, keys), np.append(int(learned.sum()), count)
             bucket = (mix(keys) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(cut))
-            data = [np.stack([keys[o].view(np.int64), count[o]]).tobytes() for o in (order[cut[i] : cut[i + 1]] for i in some.tolist())]
+            some, cut = starts(bucket[order])
+            data = [np.stack([keys[o].view(np.int64), count[o]]).tobytes() for o in (order[i:j] for i, j in zip(cut[:-1], cut[1:]))]
             block = np.full(len(some) + 1, part + nth)
             yield pa.RecordBatch.from_arrays([pa.array([0] + [1] * len(some), pa.int32()), pa.array(block), pa.array([-1, *some.tolist()], pa.int64()), pa.array([packed(b), *data], pa.binary())], ["kind", "block", "bucket", "data"])
 
@@ -360,12 +425,13 @@ def _meet(key, group):
     return pa.table({n: pa.array([r[k] for r in rows], kinds[k]) for k, n in enumerate(("kind", "block", "a", "b", "c", "d", "data"))})
 
 
-def _by_kind(df: DataFrame) -> dict[int, DataFrame]:
-    """df as a table in the shared folder, split by kind, so that each kind is read alone."""
+def _by_kind(df: DataFrame) -> tuple[dict[int, DataFrame], str]:
+    """df as a table in the shared folder, split by kind, so that each kind is read alone; and where it is."""
     path = scratch(df.sparkSession)
-    df.write.partitionBy("kind").parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.partitionBy("kind").parquet(path)
     read = df.sparkSession.read.schema(df.schema).parquet(path)
-    return {k: read.where(F.col("kind") == k).drop("kind") for k in range(3)}
+    return {k: read.where(F.col("kind") == k).drop("kind") for k in range(3)}, path
 
 
 def _replies(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -374,58 +440,54 @@ def _replies(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.uint64)[order], count[order]
 
 
-def learn(blobs: DataFrame, vocabulary: Vocabulary, chunks: int = 16, fan: int = 32) -> Network:
-    """The network's weights: a warm start from some blocks, then the average of what all tasks learn from there."""
+def learn(blobs: DataFrame, vocabulary: Vocabulary, groups: int, chunks: int = 16, fan: int = 32) -> Network:
+    """The network's weights: a warm start from some blocks, then the average of what groups of blocks learn from there, round by round."""
     net = Network.new(vocabulary)
     spark = blobs.sparkSession
     end = int(vocabulary.ids(np.array([END], np.uint64))[0])
+    schema = "chunk int, part long, data binary, weight double"
 
     def taught(start: Network, rate: float) -> Callable:
         shared = spark.sparkContext.broadcast((vocabulary, start))  # of one size at any input
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(key, group):
             v, net = shared.value
-            weight = 0.0
-            for b in batches:
-                for blob in b.column("data"):
-                    docs = unpacked(blob.as_py())
-                    w = Words(docs.column("text"), lower=True)
-                    ids = v.ids(word_keys(w))
-                    learned = ~docs.column("held_out").to_numpy(zero_copy_only=False)
-                    drawn = np.flatnonzero(learned)
-                    stream = np.concatenate([x for d in drawn.tolist() for x in ([end], ids[w.first[d] : w.first[d + 1]])] + [[end]]).astype(np.int64)
-                    if len(stream) > 1:
-                        # a task goes on from block to block, and ends up as one sum
-                        net, weight = train(net, stream, end, rate=rate)[0], weight + len(stream)
-            if weight:
-                parts = np.array_split(net.flat() * np.float64(weight), chunks)
-                task = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([task] * chunks, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([weight] * chunks)], ["chunk", "part", "data", "weight"])
+            adam, weight, order = Adam(), 0.0, np.argsort(group.column("block").to_numpy())
+            for k, i in enumerate(order.tolist()):
+                docs = unpacked(group.column("data")[i].as_py())
+                w = Coded(docs.column("text"))
+                ids = v.ids(w.keys)[w.codes]
+                learned = np.flatnonzero(~docs.column("held_out").to_numpy(zero_copy_only=False))
+                stream = np.concatenate([x for d in learned.tolist() for x in ([end], ids[w.first[d] : w.first[d + 1]])] + [[end]]).astype(np.int64)
+                if len(stream) > 1:
+                    net, weight = train(net, stream, end, rate=rate, adam=adam, span=(k / len(order), (k + 1) / len(order)))[0], weight + len(stream)
+            parts = [p.tobytes() for p in np.array_split(net.flat() * np.float64(weight), chunks)] if weight else []
+            n = len(parts)
+            return pa.table({"chunk": pa.array(range(n), pa.int32()), "part": pa.array([key[0].as_py()] * n, pa.int64()), "data": pa.array(parts, pa.binary()), "weight": pa.array([weight] * n, pa.float64())})
 
         return run
 
     def add(key, group):
         data = sum(np.frombuffer(x.as_py(), np.float64) for x in group.column("data"))
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([data.tobytes()], pa.binary()), "weight": pa.array([float(np.sum(group.column("weight").to_numpy()))])})
-
-    schema = "chunk int, part int, data binary, weight double"
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([data.tobytes()], pa.binary()), "weight": pa.array([float(np.sum(group.column("weight").to_numpy()))])})
 
     def averaged(df: DataFrame, start: Network, rate: float) -> Network:
-        sums, left = df.mapInArrow(taught(start, rate), schema), df.rdd.getNumPartitions()
-        while True:  # a tree: no task adds up more than `fan` parts, however many tasks have learned
-            sums = sums.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("chunk", "part").applyInArrow(add, schema)
-            left = -(-left // fan)
-            if left <= 1:
-                break
-        rows = sorted((r.chunk, r.weight, bytes(r.data)) for r in sums.collect())
+        with shuffles_deleted(spark):
+            sums, left = df.groupBy("part").applyInArrow(taught(start, rate), schema), groups
+            while True:  # a tree: no task adds up more than `fan` parts, however many groups have learned
+                sums = sums.withColumn("part", F.floor(F.col("part") / fan)).groupBy("chunk", "part").applyInArrow(add, schema)
+                left = -(-left // fan)
+                if left <= 1:
+                    break
+            rows = sorted((r.chunk, r.weight, bytes(r.data)) for r in sums.collect())
         return start.filled(np.concatenate([np.frombuffer(d, np.float64) / w for _, w, d in rows])) if rows else start
 
-    first = blobs.agg(F.min("block")).first()[0]
-    if first is None:
-        return net
-    part = 1 << 24
-    net = averaged(blobs.where(F.col("block") < (first // part + 1) * part).coalesce(1), net, RATE)
-    return averaged(blobs, net, RATE / 2)
+    dealt = blobs.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    first = [r[0] for r in blobs.select("block").orderBy("block").limit(WARM_BLOCKS).collect()]
+    net = averaged(dealt.where(F.col("block").isin(first)).withColumn("part", F.lit(0).cast("long")), net, RATE)
+    for k in range(min(ROUNDS, groups)):
+        net = averaged(dealt.where(F.col("part") % ROUNDS == k), net, RATE / 2)
+    return net
 
 
 def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -433,14 +495,16 @@ def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     ship(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "held_out")
-    parts = _by_kind(_blocks(docs, max(8, text_bytes(docs) // bucket_bytes)))
+    size = text_bytes(docs)
+    parts, path = _by_kind(_blocks(docs, max(8, size // bucket_bytes)))
     blobs = parts[0].select("block", "data")
-    met = _by_kind(parts[1].groupBy("bucket").applyInArrow(_meet, "kind int, block long, a long, b long, c long, d long, data binary"))
+    met, _ = _by_kind(parts[1].groupBy("bucket").applyInArrow(_meet, "kind int, block long, a long, b long, c long, d long, data binary"))
+    delete(spark, f"{path}/kind=1")  # asked and answered
     suffix = met[1].groupBy("a").agg(*(F.sum(c).alias(c) for c in "bcd")).collect()  # at most 65,536 rows
     head = [(r.a % (1 << 64), r.b) for r in met[2].orderBy(F.desc("b"), "a").limit(HEAD).collect()]
     stats = np.array([(r.a, r.b, r.c, r.d) for r in suffix], np.int64).reshape(-1, 4)
     vocabulary = Vocabulary.build(head, stats, int(stats[:, 1].sum()), int(stats[:, 2].sum()))
-    net = learn(blobs, vocabulary)
+    net = learn(blobs, vocabulary, max(1, size // GROUP_BYTES))
     shared = spark.sparkContext.broadcast((vocabulary, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,18 +514,17 @@ def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
             for blob, replies in zip(b.column("data"), b.column("replies")):
                 known, total = _replies(replies.as_py())
                 docs = unpacked(blob.as_py())
-                w = Words(docs.column("text"), lower=True)
-                keys = word_keys(w)
-                count = total[np.searchsorted(known, keys)]
+                w = Coded(docs.column("text"))
+                count = total[np.searchsorted(known, w.keys)]
                 of_end = int(total[np.searchsorted(known, END)])
-                ids = v.ids(keys)
+                ids = v.ids(w.keys)
                 log_base = np.log10((count + 1) / (v.tokens + v.types + 1))
                 end_base = np.log10((of_end + 1) / (v.tokens + v.types + 1))
                 n = np.diff(w.first)
-                add = lambda x, per: np.diff(np.concatenate([[0.0], np.cumsum(x)])[w.first]) + per
+                add = lambda x, per: np.diff(np.concatenate([[0.0], np.cumsum(x[w.codes])])[w.first]) + per
                 end_within = float(v.within(np.array([end]), np.array([of_end]))[0])
-                found = (score_documents(net, ids, w.first, end) + add(v.within(ids, count), end_within)) / np.log(10)
-                known_n = np.diff(np.concatenate([[0], np.cumsum(count > 0)])[w.first]) + (of_end > 0)
+                found = (score_documents(net, ids[w.codes], w.first, end) + add(v.within(ids, count), end_within)) / np.log(10)
+                known_n = np.diff(np.concatenate([[0], np.cumsum((count > 0)[w.codes])])[w.first]) + (of_end > 0)
                 yield pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("held_out"), pa.array(n + 1), pa.array(known_n), pa.array(np.full(len(n), v.tokens)), pa.array(add(log_base, end_base)), pa.array(found)], [x.split()[0] for x in RESULT.split(", ")])
 
     # one row a block on either side
