@@ -183,14 +183,14 @@ class Network:
         w = self.weights
         places = self.head_classes * PER_CLASS
         kind = np.where(target < places, target // PER_CLASS, self.head_classes + target - places)
-        out = np.empty(len(kind))
+        out, far, far_inside = np.empty(len(kind)), reach(w["c"], 0), reach(w["w"], 1)
         for i in range(0, len(kind), PIECE):
-            out[i : i + PIECE] = softmax(h[i : i + PIECE] @ w["c"], w["cb"], kind[i : i + PIECE])
+            out[i : i + PIECE] = softmax(h[i : i + PIECE] @ w["c"], w["cb"], far, kind[i : i + PIECE])
         order, cut = by_class(kind, self.head_classes)
         own, place = h[order], target[order] % PER_CLASS
         for k in np.flatnonzero(np.diff(cut)).tolist():
             span, i, j = slice(k * PER_CLASS, (k + 1) * PER_CLASS), cut[k], cut[k + 1]
-            out[order[i:j]] += softmax(own[i:j] @ w["w"][span].T, w["wb"][span], place[i:j])
+            out[order[i:j]] += softmax(own[i:j] @ w["w"][span].T, w["wb"][span], far_inside, place[i:j])
         return out
 
     def gradients(self, token: np.ndarray, target: np.ndarray, h: np.ndarray, end: int) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
@@ -201,36 +201,40 @@ class Network:
         x = w["x"][token]
         x += w["b"]
         carried = (token != end)[:, :, None]
-        before, new, hu, states = (np.empty((steps, streams, n), kind_of) for _ in range(4))
-        gates, moved = np.empty((steps, streams, 2 * n), kind_of), np.empty((streams, 3 * n), kind_of)
+        # gates and states in arrays of their own, so that every step works on unbroken memory
+        gates = [np.ascontiguousarray(x[:, :, k * n : (k + 1) * n]) for k in range(3)]
+        parts = [np.ascontiguousarray(w["u"][:, k * n : (k + 1) * n]) for k in range(3)]
+        before, hu, states = (np.empty((steps, streams, n), kind_of) for _ in range(3))
+        moved = np.empty((streams, n), kind_of)
         for t in range(steps):
             np.multiply(h, carried[t], out=before[t])
-            np.matmul(before[t], w["u"], out=moved)
-            gate = np.add(x[t, :, : 2 * n], moved[:, : 2 * n], out=gates[t])
-            gate *= 0.5
-            np.tanh(gate, out=gate)
-            gate += 1.0
-            gate *= 0.5
-            hu[t] = moved[:, 2 * n :]
-            c = np.multiply(gate[:, n:], hu[t], out=new[t])
-            c += x[t, :, 2 * n :]
-            np.tanh(c, out=c)
-            h = np.subtract(before[t], c, out=states[t])
-            h *= gate[:, :n]
-            h += c
+            for gate, part in ((gates[0][t], parts[0]), (gates[1][t], parts[1])):
+                gate += np.matmul(before[t], part, out=moved)
+                gate *= 0.5
+                np.tanh(gate, out=gate)
+                gate += 1.0
+                gate *= 0.5
+            new = gates[2][t]
+            np.matmul(before[t], parts[2], out=hu[t])
+            new += np.multiply(gates[1][t], hu[t], out=moved)
+            np.tanh(new, out=new)
+            h = np.subtract(before[t], new, out=states[t])
+            h *= gates[0][t]
+            h += new
         flat, goal = states.reshape(-1, n), target.ravel()
         places = self.head_classes * PER_CLASS
         kind = np.where(goal < places, goal // PER_CLASS, self.head_classes + goal - places)
         scale = kind_of.type(1 / size)
         g = {k: np.zeros_like(v) for k, v in w.items()}
         back = np.empty((size, n), kind_of)
-        loss, out_of_class = 0.0, np.ascontiguousarray(w["c"].T)
+        loss, out_of_class, far, far_inside = 0.0, np.ascontiguousarray(w["c"].T), reach(w["c"], 0), reach(w["w"], 1)
+        ones = np.ones(size, kind_of)
         for i in range(0, size, PIECE):  # pieces that stay in a processor's cache
             own = flat[i : i + PIECE]
             logit = own @ w["c"]
-            loss -= softmax(logit, w["cb"], kind[i : i + PIECE], scale).sum()
+            loss -= softmax(logit, w["cb"], far, kind[i : i + PIECE], scale).sum()
             g["c"] += own.T @ logit
-            g["cb"] += logit.sum(axis=0)
+            g["cb"] += ones[: len(logit)] @ logit
             np.matmul(logit, out_of_class, out=back[i : i + PIECE])
         order, cut = by_class(kind, self.head_classes)
         own, place = flat[order], goal[order] % PER_CLASS
@@ -238,23 +242,23 @@ class Network:
         for k in np.flatnonzero(np.diff(cut)).tolist():
             span, i, j = slice(k * PER_CLASS, (k + 1) * PER_CLASS), cut[k], cut[k + 1]
             inner = own[i:j] @ w["w"][span].T
-            loss -= softmax(inner, w["wb"][span], place[i:j], scale).sum()
-            g["w"][span], g["wb"][span] = inner.T @ own[i:j], inner.sum(axis=0)
+            loss -= softmax(inner, w["wb"][span], far_inside, place[i:j], scale).sum()
+            g["w"][span], g["wb"][span] = inner.T @ own[i:j], ones[: j - i] @ inner
             np.matmul(inner, w["w"][span], out=pull[i:j])
         back[order] += pull
         back = back.reshape(steps, streams, n)
         drive, inner = np.empty((steps, streams, 3 * n), kind_of), np.empty((steps, streams, 3 * n), kind_of)
-        later, rest, out_of_state = np.zeros((streams, n), kind_of), np.empty((streams, n), kind_of), np.ascontiguousarray(w["u"].T)
+        later, out_of_state = np.zeros((streams, n), kind_of), np.ascontiguousarray(w["u"].T)
+        rest, d_z, d_r, d_new = (np.empty((streams, n), kind_of) for _ in range(4))
         for t in range(steps - 1, -1, -1):
-            z, r, d = gates[t, :, :n], gates[t, :, n:], back[t]
+            z, r, new, d = gates[0][t], gates[1][t], gates[2][t], back[t]
             d += later
             np.subtract(1, z, out=rest)
-            d_z, d_r, d_new = drive[t, :, :n], drive[t, :, n : 2 * n], drive[t, :, 2 * n :]
-            np.multiply(new[t], new[t], out=d_new)
+            np.multiply(new, new, out=d_new)
             np.subtract(1, d_new, out=d_new)
             d_new *= d
             d_new *= rest
-            np.subtract(before[t], new[t], out=d_z)
+            np.subtract(before[t], new, out=d_z)
             d_z *= d
             d_z *= z
             d_z *= rest
@@ -262,27 +266,36 @@ class Network:
             d_r *= r
             np.subtract(1, r, out=rest)
             d_r *= rest
-            inner[t, :, : 2 * n] = drive[t, :, : 2 * n]
-            np.multiply(d_new, r, out=inner[t, :, 2 * n :])
-            later = inner[t] @ out_of_state
+            drive[t, :, :n] = inner[t, :, :n] = d_z
+            drive[t, :, n : 2 * n] = inner[t, :, n : 2 * n] = d_r
+            drive[t, :, 2 * n :] = d_new
+            d_new *= r
+            inner[t, :, 2 * n :] = d_new
+            np.matmul(inner[t], out_of_state, out=later)
             d *= z
             later += d
             later *= carried[t]
         g["u"] = before.reshape(-1, n).T @ inner.reshape(-1, 3 * n)
         drive = drive.reshape(-1, 3 * n)
-        g["b"] = drive.sum(axis=0)
-        used = token.ravel()
+        g["b"] = ones @ drive
+        used = narrow(token.ravel())
         order = np.argsort(used, kind="stable")
         cut = np.flatnonzero(np.concatenate([[True], np.diff(used[order]) != 0]))
         g["x"][used[order][cut]] = np.add.reduceat(drive[order], cut, axis=0)
         return float(loss / size), g, h
 
 
-def softmax(logit: np.ndarray, bias: np.ndarray, target: np.ndarray, scale: np.floating | None = None) -> np.ndarray:
-    """Log probability of each row's target; logit becomes the loss's gradient, times scale, if that is given."""
-    logit += bias
+def reach(weights: np.ndarray, axis: int) -> float:
+    """How far from their biases logits can lie, as states lie within 1."""
+    return float(np.abs(weights).sum(axis=axis).max(initial=0))
+
+
+def softmax(logit: np.ndarray, bias: np.ndarray, far: float, target: np.ndarray, scale: np.floating | None = None) -> np.ndarray:
+    """Log probability of each row's target, where the logits without their biases lie within `far`; logit becomes the loss's gradient, times scale, if that is given."""
+    logit += bias - bias.max()
     every = np.arange(len(target))
-    logit -= logit.max(axis=1, keepdims=True)
+    if far > 40:  # exponentials of rows that lie lower or higher might not be numbers
+        logit -= logit.max(axis=1, keepdims=True)
     out = logit[every, target].astype(np.float64)
     np.exp(logit, out=logit)
     total = logit @ np.ones(logit.shape[1], logit.dtype)
@@ -292,10 +305,16 @@ def softmax(logit: np.ndarray, bias: np.ndarray, target: np.ndarray, scale: np.f
     return out - np.log(total)
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Small numbers in two bytes, which are sorted by counting."""
+    return x.astype(np.int16) if x.max(initial=0) < 1 << 15 else x
+
+
 def by_class(kind: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the first `classes` classes, one class after another, and where each begins."""
+    kind = narrow(kind)
     order = np.argsort(kind, kind="stable")
-    cut = np.searchsorted(kind[order], np.arange(classes + 1))
+    cut = np.searchsorted(kind[order], np.arange(classes + 1, dtype=kind.dtype))
     return order[: cut[-1]], cut
 
 
