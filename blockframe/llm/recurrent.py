@@ -164,19 +164,29 @@ class Network:
             at += size
         return Network(self.head_classes, out)
 
-    def step(self, token: np.ndarray, h: np.ndarray) -> tuple:
-        w, n = self.weights, h.shape[1]
-        a = w["x"][token]
-        a += w["b"]
-        hu = h @ w["u"]
-        gate = a[:, : 2 * n] + hu[:, : 2 * n]
-        gate *= 0.5
-        np.tanh(gate, out=gate)
-        gate += 1.0
-        gate *= 0.5
-        z, r = gate[:, :n], gate[:, n:]
-        new = np.tanh(a[:, 2 * n :] + r * hu[:, 2 * n :])
-        return new + z * (h - new), z, r, new, hu[:, 2 * n :]
+    def stepper(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """A function of tokens and states that gives the states behind them, while the weights stay as they are."""
+        w, n = self.weights, self.weights["u"].shape[0]
+        biased = w["x"] + w["b"]
+        tables, parts = ([np.ascontiguousarray(x[:, k * n : (k + 1) * n]) for k in range(3)] for x in (biased, w["u"]))
+
+        def step(token: np.ndarray, h: np.ndarray) -> np.ndarray:
+            z, r, new = (x.take(token, axis=0) for x in tables)
+            for gate, part in ((z, parts[0]), (r, parts[1])):
+                gate += h @ part
+                gate *= 0.5
+                np.tanh(gate, out=gate)
+                gate += 1.0
+                gate *= 0.5
+            r *= h @ parts[2]
+            new += r
+            np.tanh(new, out=new)
+            out = h - new
+            out *= z
+            out += new
+            return out
+
+        return step
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probability of each target's class, and within it of a head word."""
@@ -367,10 +377,11 @@ def score_documents(net: Network, ids: np.ndarray, first: np.ndarray, end: int)
     """Log probability (without tail words' shares) of each document's words and its end; document d has ids[first[d]:first[d + 1]]."""
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
-    length = n[order] + 1
+    length, begin, step = n[order], first[:-1][order], net.stepper()
     out = np.zeros(len(n))
     h = np.zeros((len(n), net.weights["u"].shape[0]), np.float32)
-    active = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")
+    # at place t, documents active[t] are read, of which active[t + 1] have a word there and the others end
+    active = np.searchsorted(-length, -np.arange(-1, int(length.max(initial=-1)) + 1), "left").tolist()
     held, rows, goals, size = [], [], [], 0
 
     def flush() -> None:
@@ -380,15 +391,14 @@ def score_documents(net: Network, ids: np.ndarray, first: np.ndarray, end: int)
             out[:] += np.bincount(np.concatenate(rows), got, len(n))
         held, rows, goals, size = [], [], [], 0
 
-    for t, k in enumerate(active.tolist()):
-        doc = order[:k]
-        token = ids[first[doc] + t - 1] if t else np.full(k, end)
+    for t in range(len(active) - 1):
+        k, more = active[t], active[t + 1]
+        token = ids[begin[:k] + t - 1] if t else np.full(k, end)
         goal = np.full(k, end)
-        more = t < n[doc]
-        goal[more] = ids[first[doc[more]] + t]
-        h = net.step(token, h[:k])[0]
+        goal[:more] = ids[begin[:more] + t]
+        h = step(token, h[:k])
         held.append(h)
-        rows.append(doc)
+        rows.append(order[:k])
         goals.append(goal)
         size += k
         if size >= 16384:

@@ -110,7 +110,7 @@ def test_scores_are_chains_of_steps():
     for d in range(4):
         own, h, total = ids[first[d] : first[d + 1]].tolist(), np.zeros((1, 6), np.float32), 0.0
         for token, goal in zip([end, *own], [*own, end]):
-            h = net.step(np.array([token]), h)[0]
+            h = net.stepper()(np.array([token]), h)
             total += net.log_probability(h, np.array([goal]))[0]
         assert abs(got[d] - total) < 1e-3
 
