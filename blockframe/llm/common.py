@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import itertools
 import os
 import uuid
 import weakref
@@ -182,12 +183,12 @@ def starts(values: np.ndarray) -> tuple[np.ndarray, list[int]]:
 
 
 class Memo:
-    """Ids of words by an encoder that is run once for each word that it has not met lately.
+    """Ids of distinct words by an encoder that is run once for each word that it has not met lately.
 
     At most `bound` words are remembered; beyond it the memory starts anew, which
     costs time and changes no result."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], bound: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], bound: int = 1_000_000):
         self.encode, self.bound = encode, bound
         self.clear()
 
@@ -195,22 +196,25 @@ class Memo:
         self.words, self.ids, self.offsets = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def find(self, words: pa.Array) -> np.ndarray:
-        """Row of each word in self.ids / self.offsets, which hold until the next call."""
+        """Row of each of some distinct words in self.ids / self.offsets, which hold until the next call."""
         at = pc.index_in(words, value_set=self.words)
         if at.null_count and len(self.words) + at.null_count > self.bound:
             self.clear()
             at = pc.index_in(words, value_set=self.words)
-        if at.null_count:
-            new = words.filter(at.is_null())
+        new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        row = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            row[new] = len(self.words) + np.arange(len(new))
+            ids, lengths = [self.ids], []
             for i in range(0, len(new), 50_000):
-                part = new[i : i + 50_000]
+                part = words.take(pa.array(new[i : i + 50_000]))
                 got = self.encode([x.decode("utf-8", "replace") for x in part.to_pylist()])
-                lengths = np.fromiter((len(x) for x in got), np.int64, len(got))
-                self.ids = np.concatenate([self.ids, np.fromiter((y for x in got for y in x), np.int32, int(lengths.sum()))])
-                self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
-            self.words = pa.concat_arrays([self.words, new])
-            at = pc.index_in(words, value_set=self.words)
-        return at.to_numpy(zero_copy_only=False).astype(np.int64)
+                lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
+                ids.append(np.fromiter(itertools.chain.from_iterable(got), np.int32, int(lengths[-1].sum())))
+                self.words = pa.concat_arrays([self.words, part])
+            self.ids = np.concatenate(ids)
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(lengths))])
+        return row
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
