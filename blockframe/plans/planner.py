@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,13 +72,13 @@ class Aggregation(Source):
 
 
 def once(df: DataFrame, keys: list[str], table: str) -> DataFrame:
-    """Rows without null keys; the query fails where a key repeats. They are left parted and sorted by the keys, as a join on them needs."""
+    """Rows without null keys; the query fails where a key repeats. Keys alone are counted, in a plan of their own: the rows' plan stays as it is but for a filter."""
     for k in keys:
         df = df.where(col(k).isNotNull())
-    times = fresh("n")
-    repeated = F.raise_error(F.concat(F.lit(f"keys of table {table} repeat: "), F.concat_ws(", ", *(col(k).cast("string") for k in keys))))
-    counted = df.withColumn(times, F.count(F.lit(1)).over(Window.partitionBy(*(col(k) for k in keys))))
-    return counted.where(F.when(col(times) > 1, repeated.cast("boolean")).otherwise(F.lit(True))).drop(times)
+    text = F.concat_ws(", ", *(col(k).cast("string") for k in keys))
+    most = df.groupBy(*(col(k) for k in keys)).agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", text.alias("k"))).alias("m")).scalar()
+    repeated = F.raise_error(F.concat(F.lit(f"keys of table {table} repeat: "), most["k"]))
+    return df.where(F.when(most["n"] > 1, repeated.cast("boolean")).otherwise(F.lit(True)))
 
 
 class Rows(Source):
