@@ -174,20 +174,22 @@ def components(edges: DataFrame) -> DataFrame:
     meet by a minimum with partial counts and a join, never as a list, and the neighbours of
     a star's centre in no one task."""
 
-    def linked_to_least(pairs: DataFrame, among: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-        """Of each u its smallest v of pairs (or u) as m, with their number; and the rows of `among` with m."""
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        least = least.select("u", F.least("u", "m").alias("m"), "n")
-        return least, hot_join(among, least, "u", rows)
+    def least_of(pairs: DataFrame) -> DataFrame:
+        """Of each u its smallest v of pairs (or u) as m, with their number."""
+        return pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
 
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before, rows = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = linked_to_least(both, both.where("v > u"), 2 * rows)[1].select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least, small = linked_to_least(large, large, 2 * rows)
-        last, now = now, written(small.select("v", "m").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        discard(last)
+        # each step is a table: a join takes its sides several times, so that one plan of a round would hold the first step dozens of times
+        least = written(least_of(both))
+        large = written(hot_join(both.where("v > u"), least, "u", 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        discard(least)
+        least, last = written(least_of(large)), now
+        now = written(hot_join(large, least, "u", 2 * rows).select("v", "m").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        for x in (last, large, least):
+            discard(x)
         # as many edges as nodes with a parent, and parents without one: a forest of stars
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
         if state == before:
@@ -198,10 +200,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _classes(marked: DataFrame, reps: DataFrame, label: DataFrame, on: str, rows: int) -> DataFrame:
-    """marked with its class's first row (`first`: id and row); reps has the first row of each `on` and how many rows have it, label the component of each node."""
-    joined = reps.join(label, "node", "left").select(on, "first", "n", F.coalesce("label", "node").alias("label"))
+    """marked with its class's first row (`first`: id and row); reps has the first row of each `on` and how many rows have it, label the component of each node. reps is not needed any more then."""
+    joined = written(reps.join(label, "node", "left").select(on, "first", "n", F.coalesce("label", "node").alias("label")))
     best = joined.groupBy("label").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("n"))
-    of = hot_join(joined.select(on, "label", F.col("n").alias("times")), best, "label", rows).select(on, F.col("best").alias("first"), F.col("times").alias("n"))
+    of = written(hot_join(joined.select(on, "label", F.col("n").alias("times")), best, "label", rows).select(on, F.col("best").alias("first"), F.col("times").alias("n")))
+    discard(joined)
+    discard(reps)
     return hot_join(marked, of, on, rows)
 
 
@@ -447,6 +451,7 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, n: int = 5, words:
     links = written(similar_links(reps, similarity))
     unsure = verified(links.where("NOT sure").select("a", "b"), docs.where("doc_id IS NOT NULL").select(row_hash().alias("row"), F.coalesce("text", F.lit("")).alias("text")), similarity, n)
     found = _classes(marked, reps, components(links.where("sure").select("a", "b").unionByName(unsure)), "keys", rows)
+    discard(links)
     return found.select("doc_id", "row", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
 
 

@@ -333,6 +333,21 @@ def test_hot_neighbours(spark):
     assert label == {k: 0 for k in range(400)} | {k: 1000 for k in range(1000, 1031)} | {2000: 2000, 2001: 2000}
 
 
+def test_simhash_plans_stay_small(spark, corpus, monkeypatch):
+    """No plan of theirs holds a step many times over: such plans fill the driver's memory where there are many partitions."""
+    sizes = []
+
+    def plan_size(df):
+        sizes.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return df
+
+    write = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df: write(plan_size(df)))
+    plan_size(simhash.near_duplicates(corpus))
+    plan_size(simhash.keep_similar(corpus))
+    assert len(sizes) > 10 and max(sizes) <= 20, sizes
+
+
 def test_similar_pairs_are_verified(spark):
     """Chains of edits: classes are exactly those of pairs of similarity 0.8 or more, where these meet."""
     import random
