@@ -164,6 +164,41 @@ def test_training_learns_order():
     assert losses[-1] < 0.6 * losses[0]
 
 
+def test_texts_are_split_once(spark):
+    """Blocks carry words as numbers; what learns and scores reads no text."""
+    rng = np.random.default_rng(6)
+    texts = ["", "A b a", " ".join(f"w{x}" for x in range(70000)), " \n", "b " * 9]
+    for some in (texts, texts[:2], ["", ""]):
+        docs = pa.RecordBatch.from_pydict({"doc_id": pa.array([3, None, 5, 5, 9][: len(some)], pa.int64()), "text": some, "held_out": [True, False, False, True, False][: len(some)]})
+        w = recurrent.Coded(docs.column("text"))
+        got = recurrent.Block(recurrent.Block.packed(docs, w))
+        assert got.doc_id.equals(docs.column("doc_id")) and got.held_out.equals(docs.column("held_out"))
+        assert (got.first == w.first).all() and (got.keys[got.codes] == w.keys[w.codes]).all() and len(got.codes) == w.n
+    # sums of rows by key, with keys of few rows and of many
+    key, rows = np.minimum(rng.integers(0, 200, 900), 120), rng.standard_normal((900, 5))
+    expected = np.zeros((300, 5))
+    np.add.at(expected, key, rows)
+    assert np.allclose(recurrent.row_sums(key, rows, 300), expected)
+    docs = spark.createDataFrame([(i, "ka Lo ka", i == 1) for i in range(3)], "doc_id long, text string, held_out boolean").repartition(1)
+    (block,) = recurrent._blocks(docs, 8).where("kind = 0").collect()
+    got = recurrent.Block(bytes(block.data))
+    assert got.codes.tolist() == [0, 1, 0] * 3 and len(got.keys) == 2 and sorted(got.doc_id.to_pylist()) == [0, 1, 2]
+
+
+def test_optimiser_steps_are_those_of_the_formula():
+    rng = np.random.default_rng(8)
+    w = {"a": rng.standard_normal((300, 250)), "b": rng.standard_normal(3)}
+    own, m, v, adam = {k: x.copy() for k, x in w.items()}, {k: 0 * x for k, x in w.items()}, {k: 0 * x for k, x in w.items()}, recurrent.Adam()
+    for t in range(1, 6):
+        g = {k: rng.standard_normal(x.shape) * 10.0 ** -t for k, x in w.items()}
+        clip = min(1, 1 / np.sqrt(sum((x * x).sum() for x in g.values())))
+        for k, x in g.items():
+            m[k], v[k] = 0.9 * m[k] + 0.1 * clip * x, 0.99 * v[k] + 0.01 * (clip * x) ** 2
+            own[k] -= 0.01 / (1 - 0.9**t) * m[k] / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
+        adam.update(w, g, 0.01)
+        assert all(np.allclose(w[k], own[k], atol=1e-9) for k in w)
+
+
 @pytest.mark.parametrize("text", ["", "</s>", "[INST] ok [/INST]", "a\\</s>", "<\\/s>", "<\\\\s>", "<s>[INST][/INST]</s>", "<", "[", "\\", "<<s>>", "[[INST]]", "é\n</\n"])
 def test_escapes(text):
     e = chat.escape(text)
