@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import functions  # noqa: F401  registers all functions
+from .operators.blocks import distinct_blocks
 from .plans import calendar, lang
 from .plans.model import Edge, Graph, PlanError, Table, col, merged
 from .plans.planner import Planner
@@ -113,9 +114,10 @@ def _scaffold(graph: Graph, config: dict[str, object], block: str) -> Table:
         raise PlanError(f"{table.name} has no date_key, so its rows have no blocks")
     blocks = calendar.blocks_between(between, block)
     df = table.df.select(col(edge.to_column).alias(entity), col(table.date).alias(field))
-    df = df.where(col(entity).isNotNull() & col(field).between(blocks[0], blocks[-1])).distinct()
+    between = (blocks[0], blocks[-1])
+    df = distinct_blocks(df.where(col(entity).isNotNull() & col(field).between(*between)), entity, field, between)
     graph.edges.append(edge)
-    output = graph.tables["output"] = Table("output", df, [entity], field)
+    output = graph.tables["output"] = Table("output", df, [entity], field, between=between)
     return output
 
 

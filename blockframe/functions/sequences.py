@@ -24,7 +24,7 @@ def sequence(p, table, tree, make, kind=None, fill=0) -> Frame:
     on = frame.joined_on()
     if all(c != table.date for _, c in on):
         raise PlanError(f"{tree.args[0].name} has no date among its groups")
-    grid = p.source(("grid", frame.source.id, tuple(on)), lambda: Grid(frame.source, on, table.date, lambda: table.df.select(col(table.date)).distinct()))
+    grid = p.source(("grid", frame.source.id, tuple(on)), lambda: Grid(frame.source, on, table))
     name = grid.input(frame.value)
     out = grid.output(tree.name, lambda w: make(col(name), frame.type, w), name if frame.sparse else None)
     return Frame(grid, out, kind or frame.type, tree.name, fill, {c: c for c in grid.pivots}, table.name)

@@ -82,7 +82,7 @@ def acc(p, table, tree):
         total = F.when(col(date) < last, F.coalesce(F.sum(col(v)).over(w), F.lit(0).cast(kind))).otherwise(F.coalesce(col(v), F.lit(0).cast(kind)))
         return rows.select(*(total.alias(v) if c == v else col(c) for c in [*others, date, v]))
 
-    return derived(p, frame, tree, make, kind, 0)
+    return derived(p, frame, tree, make, kind, 0, blown=True)
 
 
 @function("RANK", 1, "no", "default")
@@ -119,4 +119,4 @@ def time_since_last(p, table, tree):
         return out.select(*(col(c) for c in others), col(date), F.coalesce(col(date) - col("__m"), F.lit(-99999)).cast("long").alias("__value"))
 
     names = [*others, date]
-    return Frame(Derived(names, build), "__value", T.LongType(), tree.name, -99999, {c: c for c in names}, table.name)
+    return Frame(Derived(names, build, True), "__value", T.LongType(), tree.name, -99999, {c: c for c in names}, table.name)

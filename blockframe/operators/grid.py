@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.model import Source, col, fresh
+from ..plans.model import Source, Table, col, fresh
+from .blocks import dealt, has_block, packed_blocks
 
 
 def by_block(block: str, value: str, kind: T.DataType, once: str | None = None) -> Column:
@@ -29,11 +30,12 @@ class Grid(Source):
     The child's rows of an entity become one map from block to values, of at most as many entries
     as there are blocks; so one shuffle by entity serves the grid and all windows over it."""
 
-    def __init__(self, child: Source, on: list[tuple[str, str]], date: str, dates: Callable[[], DataFrame]):
+    def __init__(self, child: Source, on: list[tuple[str, str]], table: Table):
+        date = table.date
         self.keys = [(p, c) for p, c in on if c != date]
         self.date_pivot = next(p for p, c in on if c == date)
         super().__init__([*(c for _, c in self.keys), date])
-        self.child, self.date, self.dates = child, date, dates
+        self.child, self.date, self.table, self.blown = child, date, table, True
         self.inputs: dict[str, str] = {}
         self.present: dict[str, str] = {}
         self.outputs: dict[str, tuple[str, Callable[[Window], Column]]] = {}
@@ -46,16 +48,32 @@ class Grid(Source):
             self.outputs[key] = (fresh(), make, sparse_input)
         return self.outputs[key][0]
 
-    def build(self) -> DataFrame:
+    def packed(self) -> DataFrame:
+        """Keys, blocks, __has and inputs from maps of the child's rows."""
         keys, date = [c for _, c in self.keys], self.date
         cell = F.struct(*(col(v).alias(n) for v, n in self.inputs.items()))
         child = self.child.rows().where(col(self.date_pivot).isNotNull()).select(*(col(p).alias(c) for p, c in self.keys), col(self.date_pivot).cast("int").alias("__t"), cell.alias("__cell"))
-        packed = child.groupBy(*(col(c) for c in keys)).agg(by_block("__t", "__cell", child.schema["__cell"].dataType, self.child.once).alias("__cells"))
-        # one row that holds the scaffold's blocks: as long as the requested range at most
-        blocks = self.dates().agg(F.sort_array(F.collect_set(col(date))).alias("__blocks"))
-        rows = packed.crossJoin(F.broadcast(blocks)).select(*(col(c) for c in keys), "__cells", F.explode("__blocks").alias(date))
+        packed = (dealt(child, *keys) if keys else child).groupBy(*(col(c) for c in keys)).agg(by_block("__t", "__cell", child.schema["__cell"].dataType, self.child.once).alias("__cells"))
+        rows = packed.crossJoin(F.broadcast(self.blocks())).select(*(col(c) for c in keys), "__cells", F.explode("__blocks").alias(date))
         rows = rows.select(*(col(c) for c in keys), col(date), F.try_element_at("__cells", col(date)).alias("__cell"))
-        rows = rows.select(*(col(c) for c in keys), col(date), col("__cell").isNotNull().alias("__has"), *(F.col(f"__cell.{n}").alias(n) for n in self.inputs.values()))
+        return rows.select(*(col(c) for c in keys), col(date), col("__cell").isNotNull().alias("__has"), *(F.col(f"__cell.{n}").alias(n) for n in self.inputs.values()))
+
+    def completed(self) -> DataFrame:
+        """The same of the result's own rows: they stay as they are, and those of blocks that an entity lacks are added."""
+        (key,), date = (c for _, c in self.keys), self.date
+        rows = self.child.rows().select(col(key), col(date), F.lit(True).alias("__has"), *(col(v).alias(n) for v, n in self.inputs.items()))
+        every = packed_blocks(self.table.df, key, date, self.table.between).crossJoin(F.broadcast(self.blocks()))
+        missing = every.select(col(key), "__bits", F.explode("__blocks").alias(date)).where(~has_block(date, self.table.between))
+        missing = missing.select(col(key), col(date), F.lit(False).alias("__has"), *(F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in self.inputs.values()))
+        return dealt(rows, key).unionByName(missing)
+
+    def blocks(self) -> DataFrame:
+        """One row that holds the scaffold's blocks: as long as the requested range at most."""
+        return self.table.df.agg(F.sort_array(F.collect_set(col(self.date))).alias("__blocks"))
+
+    def build(self) -> DataFrame:
+        keys, date = [c for _, c in self.keys], self.date
+        rows = self.completed() if self.child.own else self.packed()
         w = (Window.partitionBy(*(col(c) for c in keys)) if keys else Window.partitionBy(F.lit(0))).orderBy(col(date))
         rows = rows.withColumn("__rn", F.row_number().over(w))
         out = []

@@ -42,6 +42,8 @@ class Table:
     key: list[str]
     date: str | None = None
     order: list[str] = field(default_factory=list)
+    #: the result's first and last block
+    between: tuple[int, int] | None = None
 
     def type_of(self, column: str) -> T.DataType:
         try:
@@ -82,6 +84,8 @@ class Source:
         self.pivots, self.id, self._df = pivots, next(_ids), None
         #: the table whose rows these are, if a query is to fail where their pivots repeat
         self.once: str | None = None
+        #: whether rows are blown up by blocks: Spark's estimates do not see it and would broadcast them
+        self.blown = self.own = False
         self.later: dict[str, tuple[str, Callable[[], Column]]] = {}
 
     def then(self, key: str, make: Callable[[], Column]) -> str:
@@ -110,9 +114,9 @@ class Source:
 class Derived(Source):
     """A source of one value, by a function of another source's DataFrame."""
 
-    def __init__(self, pivots: list[str], make: Callable[[], DataFrame]):
+    def __init__(self, pivots: list[str], make: Callable[[], DataFrame], blown: bool = False):
         super().__init__(pivots)
-        self.make = make
+        self.make, self.blown = make, blown
 
     def build(self) -> DataFrame:
         return self.make()

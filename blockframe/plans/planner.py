@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.blocks import dealt, repeats
 from . import lang
 from .model import Derived, Edge, Frame, Graph, PlanError, Row, Source, Table, col, filled, fresh, merged
 
@@ -71,14 +72,13 @@ class Aggregation(Source):
         return df.groupBy(*(col(g.name) for g in self.groups)).agg(*(make().alias(name) for name, make in self.outputs.values()))
 
 
-def once(df: DataFrame, keys: list[str], table: str) -> DataFrame:
-    """Rows without null keys; the query fails where a key repeats. Keys alone are counted, in a plan of their own: the rows' plan stays as it is but for a filter."""
-    for k in keys:
+def once(df: DataFrame, keys: list[str], date: str | None, table: str) -> DataFrame:
+    """Rows without null keys; the query fails where a key (and its date) repeats. Keys alone are counted, in a plan of their own: the rows' plan stays as it is but for a filter."""
+    for k in [*keys, *([date] if date else [])]:
         df = df.where(col(k).isNotNull())
-    text = F.concat_ws(", ", *(col(k).cast("string") for k in keys))
-    most = df.groupBy(*(col(k) for k in keys)).agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", text.alias("k"))).alias("m")).scalar()
+    most = repeats(df, keys, date).scalar()
     repeated = F.raise_error(F.concat(F.lit(f"keys of table {table} repeat: "), most["k"]))
-    return df.where(F.when(most["n"] > 1, repeated.cast("boolean")).otherwise(F.lit(True)))
+    return df.where(F.when(most["n"] > 0, repeated.cast("boolean")).otherwise(F.lit(True)))
 
 
 class Rows(Source):
@@ -88,6 +88,9 @@ class Rows(Source):
         super().__init__([*table.key, *([table.date] if table.date else [])])
         self.planner, self.table = planner, table
         self.once = table.name if planner.unique else None
+        self.blown = table.date is not None
+        #: whether these are the result's rows, none of them twice
+        self.own = table is planner.output and planner.unique
         self.values: dict[str, tuple[str, Row]] = {}
 
     def value(self, row: Row) -> str:
@@ -99,7 +102,7 @@ class Rows(Source):
         return df.select(*(col(p) for p in self.pivots), *(r.make().alias(n) for n, r in rows))
 
     def df(self) -> DataFrame:
-        return once(self.rows(), self.pivots, self.once) if self.once else self.rows()
+        return once(self.rows(), self.table.key, self.table.date, self.once) if self.once else self.rows()
 
 
 @dataclass
@@ -229,7 +232,13 @@ class Planner:
 
     def built(self, table: Table, joins: dict[tuple, dict[str, object]]) -> DataFrame:
         """The table's rows with all joins, each once."""
-        df = table.df
+        own = ("pointer", table.name, table.key[0])
+        # the result's rows are those of the live table that its entity points to: where none repeats, they need no join to themselves
+        alike = table is self.output and self.unique and own in joins
+        df = self._own(table, joins[own]) if alike else table.df
+        if alike:
+            joins = {k: v for k, v in joins.items() if k != own}
+        spread = False
         for key in sorted(joins, key=lambda k: ("pointer", "column", "lookup", "frame").index(k[0])):
             values = joins[key]
             if key[0] == "pointer":
@@ -243,19 +252,33 @@ class Planner:
                 for name, row in values.items():
                     df = df.withColumn(name, row.make())
             else:
+                on = [c for _, c in key[2]]
+                if table is self.output and table.date in on and not spread:
+                    df, spread = dealt(df, *on), True
                 df = self._attach(df, key[2], values)
         return df
 
-    def _point(self, df: DataFrame, table: Table, edge: Edge, values: dict[str, Row]) -> DataFrame:
+    def _target(self, edge: Edge, values: dict[str, Row]) -> tuple[DataFrame, str, str]:
+        """The rows that a pointer leads to, and their key and date."""
         target = self.graph.table(edge.to_table)
         key, date = fresh("k"), fresh("k")
         right = self.built(target, merged(*(r.joins for r in values.values())))
         right = right.select(col(edge.to_column).alias(key), *([col(target.date).alias(date)] if target.date else []), *(r.make().alias(n) for n, r in values.items()))
         if self.unique:
-            right = once(right, [key, *([date] if target.date else [])], target.name)
+            right = once(right, [key], date if target.date else None, target.name)
+        return right, key, date
+
+    def _own(self, table: Table, values: dict[str, Row]) -> DataFrame:
+        """The result's rows with values of the live table that they come from."""
+        right, key, date = self._target(self.graph.edge(table.name, table.key[0]), values)
+        return right.where(col(date).between(*table.between)).select(col(key).alias(table.key[0]), col(date).alias(table.date), *(col(n) for n in values))
+
+    def _point(self, df: DataFrame, table: Table, edge: Edge, values: dict[str, Row]) -> DataFrame:
+        right, key, date = self._target(edge, values)
         on = col(edge.column) == col(key)
-        if target.date:
-            on = on & (col(table.date) == col(date))
+        if self.graph.table(edge.to_table).date:
+            # a live table may be blown up by blocks, which Spark's estimates do not see
+            return df.join(right.hint("merge"), on & (col(table.date) == col(date)), "left").drop(key, date)
         return df.join(right, on, "left").drop(key, date)
 
     def _attach(self, df: DataFrame, on: tuple[tuple[str, str], ...], values: dict[str, tuple[Source, str]]) -> DataFrame:
@@ -268,10 +291,10 @@ class Planner:
         for p, c in on:
             same = col(c) == col(keys[p])
             condition = same if condition is None else condition & same
-        return df.join(right, condition, "left").drop(*keys.values())
+        return df.join(right.hint("merge") if source.blown else right, condition, "left").drop(*keys.values())
 
 
-def derived(planner: Planner, frame: Frame, tree: lang.Call, make: Callable[[DataFrame, list[str], str], DataFrame], kind: T.DataType, fill: object) -> Frame:
+def derived(planner: Planner, frame: Frame, tree: lang.Call, make: Callable[[DataFrame, list[str], str], DataFrame], kind: T.DataType, fill: object, blown: bool = False) -> Frame:
     """A frame of its own plan: make gets rows of keys and value, the pivots renamed to the current table's columns, and gives the same columns."""
     names = [c for _, c in frame.joined_on()]
 
@@ -279,4 +302,4 @@ def derived(planner: Planner, frame: Frame, tree: lang.Call, make: Callable[[Dat
         df = frame.source.df().select(*(col(p).alias(c) for p, c in frame.joined_on()), col(frame.value).alias("__value"))
         return make(df.where(col("__value").isNotNull()) if frame.sparse else df, names, "__value")
 
-    return Frame(Derived(names, build), "__value", kind, tree.name, fill, table=frame.table)
+    return Frame(Derived(names, build, blown or frame.source.blown), "__value", kind, tree.name, fill, table=frame.table)

@@ -290,3 +290,52 @@ def test_values_of_one_kind_share_their_plans(spark):
     df = assemble(features, data, config, {"customer": "customer.id", "block": ["1995-01-01", "1999-12-05"]})
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 2  # one for the aggregates, one for the grid
+
+
+def blown_up(spark, n=300, months=60):
+    """A live table whose rows Spark takes for few: customers that are blown up by months."""
+    live = spark.range(n).select("id", F.concat(F.lit("name "), "id").alias("name"), (F.col("id") % 5).alias("level"), F.explode(F.sequence(F.lit(FIRST), F.lit(FIRST + months - 1))).alias("block"))
+    facts = spark.range(n).select("id", F.col("id").alias("customer"), F.lit("1995-03-15").alias("at"), F.col("id").cast("double").alias("amount"))
+    config = {"customer": {"key": "id", "date_key": "block"}, "fact": {"key": "id", "pointers": {"customer": "customer.id"}, "order_by": ["id"]}}
+    return {"customer": live, "fact": facts}, config, {"customer": "customer.id", "block": ["1995-01-01", "1999-12-05"]}
+
+
+def test_values_of_the_live_table_need_no_join_to_itself(spark):
+    data, config, out = blown_up(spark)
+    df = assemble(["customer.name", "customer.level"], data, config, out, display=False)
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    rows = df.collect()
+    assert len(rows) == 300 * 60 and all(r[0] == f"name {r['customer']}" and r[1] == r["customer"] % 5 for r in rows)
+
+
+def test_blocks_are_grouped_by_entity(spark):
+    """No aggregate has a key for each block of each entity."""
+    data, config, out = blown_up(spark)
+    df = assemble(["customer.name", X], data, config, out, display=False)
+    assert df.count() == 300 * 60
+    plan = assemble([X], data, config, out, display=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [id" in plan.replace("customer#", "id#") and "bit_or" in plan and "block#" not in next(x for x in plan.split("\n") if "bit_or" in x).split("]")[0]
+
+
+def test_blown_up_rows_are_not_broadcast(spark):
+    data, config, out = blown_up(spark)
+    df = assemble(["TIME_SINCE(customer.level)", f"ACCUMULATE({X})"], data, config, out, display=False)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2
+    assert df.count() == 300 * 60
+
+
+def test_sequences_of_the_live_table_count_missing_blocks(spark):
+    live = spark.createDataFrame([(1, FIRST, 1.0), (1, FIRST + 2, 2.0), (2, FIRST + 1, 4.0), (3, FIRST + 70, None)], "id long, block int, score double")
+    config = {"customer": {"key": "id", "date_key": "block"}}
+    out = {"customer": "customer.id", "block": ["1995-01-01", "2001-08-05"]}
+    rows = assemble(["ACCUMULATE(customer.score)", "ACCUMULATE(customer.score,2)", "FUTURE_UNTIL(customer.score)"], {"customer": live}, config, out, display=False).collect()
+    assert sorted((r["customer"], r["block"], *r[:3]) for r in rows) == [(1, FIRST, 1.0, 1.0, 0), (1, FIRST + 2, 3.0, 2.0, 0), (2, FIRST + 1, 4.0, 4.0, 0), (3, FIRST + 70, 0.0, 0.0, -999)]
+
+
+def test_repeated_blocks_of_one_word(spark):
+    data, config, out = blown_up(spark, 5)
+    data["customer"] = data["customer"].union(data["customer"].where(f"id = 3 AND block = {FIRST + 7}"))
+    with pytest.raises(Exception, match="keys of table customer repeat: 3"):
+        assemble(["customer.name"], data, config, out, display=False).collect()
+    assert assemble([X], data, config, out, display=False).count() == 5 * 60
