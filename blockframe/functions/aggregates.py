@@ -17,9 +17,32 @@ def _aggregate(p: Planner, table: Table, tree, make, kind=None, fill=None, spars
     return Frame(source, source.output(tree.name, lambda: make(col(name), arg.type)), kind or arg.type, tree.name, fill, {g.name: g.name for g in groups}, table.name, sparse)
 
 
+def exact_sum(v):
+    """A sum of doubles that is the same in whatever order rows are added; null without values.
+
+    A double is cut into signed whole numbers of 32 bits, in units of 2^32, 1, 2^-32, 2^-64 and 2^-96, and whole numbers
+    add without rounding. Where a value is 2^62 or more, not finite, or has bits below 2^-96, the plain sum is taken."""
+    x, step = v.cast("double"), 1 << 32
+    unit = F.lit(float(step))
+    fits = (F.abs(x) < F.lit(float(1 << 62))) & ((x * F.lit(float(1 << 96))) % F.lit(1.0) == 0)
+    parts = (x / unit, x % unit, *((x * F.lit(float(1 << e))) % unit for e in (32, 64, 96)))
+    sums = [F.coalesce(F.sum(F.when(fits, p.cast("long"))), F.lit(0).cast("long")) for p in parts]
+    scale = [F.lit(float(step) ** e) for e in (1, 0, -1, -2, -3)]
+    # a negative sum is worked out as a positive one, so that carries leave no digits that cancel
+    sign = F.when(sum((s * k for s, k in zip(sums[1:], scale[1:])), sums[0] * scale[0]) < 0, -1).otherwise(1).cast("long")
+    carry, digits = F.lit(0).cast("long"), []
+    for s in sums[:0:-1]:
+        total = s * sign + carry
+        digits.append(total.bitwiseAND(F.lit(step - 1)))
+        carry = F.shiftright(total, 32)
+    whole = (sums[0] * sign + carry) * scale[0] + digits[3]
+    exact = (whole + (digits[2] * scale[2] + (digits[1] * scale[3] + digits[0] * scale[4]))) * sign
+    return F.when((F.count(x) > 0) & (F.count(x) == F.count(F.when(fits, 1))), exact).otherwise(F.sum(x))
+
+
 @function("SUM", 1, "yes", "default")
 def sum_(p, table, tree):
-    return _aggregate(p, table, tree, lambda v, k: F.coalesce(F.sum(v.cast("double")), F.lit(0.0)), T.DoubleType(), 0)
+    return _aggregate(p, table, tree, lambda v, k: F.coalesce(exact_sum(v), F.lit(0.0)), T.DoubleType(), 0)
 
 
 @function("COUNT", 1, "yes", "default")
@@ -29,7 +52,7 @@ def count(p, table, tree):
 
 @function("MEAN", 1, "yes", "default")
 def mean(p, table, tree):
-    return _aggregate(p, table, tree, lambda v, k: F.avg(v.cast("double")), T.DoubleType())
+    return _aggregate(p, table, tree, lambda v, k: F.when(F.count(v) > 0, exact_sum(v) / F.count(v)), T.DoubleType())
 
 
 @function("EXISTS", 1, "yes", "default")

@@ -339,3 +339,37 @@ def test_repeated_blocks_of_one_word(spark):
     with pytest.raises(Exception, match="keys of table customer repeat: 3"):
         assemble(["customer.name"], data, config, out, display=False).collect()
     assert assemble([X], data, config, out, display=False).count() == 5 * 60
+
+
+def test_sums_do_not_depend_on_the_order_of_rows(spark):
+    from blockframe.functions.aggregates import exact_sum
+
+    rng = random.Random(5)
+    groups = [
+        [0.1, 0.2, 0.3], [-0.1], [1e16, 1.0, -1e16], [0.1] * 10, [-0.1] * 7 + [0.7], [2.0**61] * 9, [5e-300, 1.0], [1e300, 1e300], [float("inf"), 1.0], [None], [],
+        *([rng.uniform(-1, 1) * 10 ** rng.randint(-2, 12) for _ in range(rng.randint(1, 40))] for _ in range(200)),
+    ]
+    seen = []
+    for turn in range(3):
+        rows = [(i, v) for i, g in enumerate(groups) for v in rng.sample(g, len(g))]
+        df = spark.createDataFrame(rows, "g int, v double").repartition(turn + 2)
+        seen.append({r.g: r.s for r in df.groupBy("g").agg(exact_sum(F.col("v")).alias("s")).collect()})
+    assert seen[0] == seen[1] == seen[2]
+    for i, g in enumerate(groups):
+        if g and g != [None] and i not in (7, 8):
+            want = math.fsum(g)
+            assert seen[0][i] == want or math.isclose(seen[0][i], want, rel_tol=2.0**-52), (g, seen[0][i])
+        if len(g) == 1:
+            assert seen[0][i] == g[0]
+    assert seen[0][7] == math.inf or seen[0][7] == 2e300
+    assert seen[0][8] == math.inf and seen[0][9] is None
+
+
+def test_ranks_tie_where_sums_are_of_the_same_values(spark):
+    """Added one after the other, three sums of the same values in different orders are 0.6 and 0.6000000000000001."""
+    amounts = {1: [0.1, 0.2, 0.3], 2: [0.3, 0.2, 0.1], 3: [0.2, 0.3, 0.1], 4: [5.0]}
+    rows = [(10 * k + i, k, "1995-01-15", a) for k, v in amounts.items() for i, a in enumerate(v)]
+    data = {"customer": spark.createDataFrame([(k, FIRST) for k in amounts], "id long, block int"), "fact": spark.createDataFrame(rows, "id long, customer long, at string, amount double").coalesce(1)}
+    config = {"customer": {"key": "id", "date_key": "block"}, "fact": {"key": "id", "pointers": {"customer": "customer.id"}}}
+    got = assemble(["RANK(Fact.SUM(amount|customer,DATE(at)))"], data, config, {"customer": "customer.id", "block": ["1995-01-01", "1999-12-05"]}, display=False).collect()
+    assert {r["customer"]: r[0] for r in got} == {1: 0.5, 2: 0.5, 3: 0.5, 4: 1.0}
